@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgrid.llm import mixing, packing, simhash
+from quillgrid.llm import media, mixing, packing, simhash
 from quillgrid.llm.common import table
 
 
@@ -15,6 +15,10 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal(found.fp).alias("fingerprint"), "component_id")
 
 
+def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.documents_as_media(table(spark, sf_dir, "documents"))
+
+
 def op9_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix(table(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
