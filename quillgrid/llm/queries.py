@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillgrid.llm import media, mixing, packing, simhash, toxicity
+from quillgrid.llm import cotraining, linededup, media, mixing, packing, simhash, toxicity
 from quillgrid.llm.common import table
 
 
@@ -19,6 +20,15 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal(found.fp).alias("fingerprint"), "component_id")
 
 
+def op4_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = cotraining.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "content_score", "metadata_score", "quality_score", F.col("quality_keep").alias("keep"))
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "lines_before", "lines_deleted")
+
+
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.documents_as_media(table(spark, sf_dir, "documents"))
 
