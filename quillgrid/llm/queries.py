@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgrid.llm import cotraining, linededup, media, mixing, packing, simhash, toxicity
+from quillgrid.llm import ann, cotraining, linededup, media, mixing, packing, simhash, tokencounts, tokenpack, toxicity
 from quillgrid.llm.common import table
 
 
@@ -20,6 +20,11 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal(found.fp).alias("fingerprint"), "component_id")
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = tokencounts.token_counts(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return counts.withColumnRenamed("key", "doc_id")
+
+
 def op4_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = cotraining.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.select("doc_id", "content_score", "metadata_score", "quality_score", F.col("quality_keep").alias("keep"))
@@ -29,6 +34,15 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "lines_before", "lines_deleted")
 
 
+def op6_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = tokenpack.pack_token_ids(table(spark, sf_dir, "documents"))
+    return packed.select("sequence_id", "n_tokens", tokenpack.crc32("ids").alias("ids_crc32"), "cu_seqlens", "doc_ids", "doc_starts", "position_resets")
+
+
+def op7_collision_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.documents_as_media(table(spark, sf_dir, "documents"))
 
