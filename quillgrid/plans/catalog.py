@@ -1,11 +1,415 @@
-"""Registered queries of the retrieval engine with the SQL each must agree with."""
+"""Registered queries of the retrieval engine, each over whole test tables, with the SQL it must agree with."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries():
-    return {}
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from quillgrid.functions import text as X
+from quillgrid.operators import chunking, context, evaluation, filters, retrieval, tables
+from quillgrid.streaming import ingest
 
-def oracle_sql():
-    return {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+# Pieces of SQL that several oracles share. White space of the test tables is blank and newline only.
+TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
+TERMS = r"list_transform(regexp_extract_all({0}, '[\p{{L}}\p{{N}}_]+'), lambda x: replace(replace(lower(x), 'ß', 'ss'), 'µ', 'μ'))"
+TOKENS = f"regexp_extract_all({{0}}, '{TOKEN.replace('{', '{{').replace('}', '}}')}')"
+
+
+def terms_sql(column: str) -> str:
+    return TERMS.format(column)
+
+
+def tokens_sql(column: str) -> str:
+    return TOKENS.format(column)
+
+
+def register(sql: str | None = None):
+    def add(made):
+        QUERIES[made.__name__] = made
+        if sql is not None:
+            SQL[made.__name__] = sql
+        return made
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents")
+
+
+def r6(column: Column) -> Column:
+    return F.round(column, 6)
+
+
+@register(f"SELECT doc_id, len({tokens_sql('text')}) AS tokens FROM documents")
+def token_counts(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", X.token_count(F.col("text")).alias("tokens"))
+
+
+_CHUNKS = rf"""
+WITH t AS (SELECT doc_id, text, regexp_extract_all(text, '\s*(?:{TOKEN})') p, regexp_extract_all(text, '(\s*)(?:{TOKEN})', 1) w FROM documents),
+n AS (SELECT *, unnest(range(0, greatest(0, ceil((len(p) - 200) / 180.0))::BIGINT + 1)) position FROM t WHERE len(p) > 0),
+s AS (SELECT *, position * 180 a, least(position * 180 + 200, len(p)) z FROM n),
+c AS (SELECT *, length(array_to_string(p[1:a], '')) + length(w[a + 1]) char_start, length(array_to_string(p[1:z], '')) char_end FROM s),
+chunks AS (SELECT doc_id, position::INT position, a::INT token_start, z::INT token_end, (z - a)::INT token_count, char_start::INT char_start, char_end::INT char_end,
+  substring(text, char_start + 1, char_end - char_start) AS text FROM c)
+"""
+
+
+def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.chunk_fixed(documents(spark, sf_dir), "doc_id", "text")
+
+
+@register(_CHUNKS + "SELECT * FROM chunks")
+def chunk_fixed(spark, sf_dir):
+    return chunks(spark, sf_dir).withColumns({c: F.col(c).cast("int") for c in ("char_start", "char_end")})
+
+
+@register(_CHUNKS + "SELECT count(*) chunks, sum(token_count)::BIGINT tokens, round(avg(token_count), 6) mean_tokens, median(token_count)::DOUBLE median_tokens, quantile_disc(token_count, 0.95)::BIGINT p95_tokens, min(token_count) min_tokens, max(token_count) max_tokens FROM chunks")
+def chunk_stats(spark, sf_dir):
+    return chunking.chunk_stats(chunks(spark, sf_dir))
+
+
+@register(_CHUNKS + "SELECT d.doc_id, count(c.doc_id) chunk_count, coalesce(max(token_end), 0)::INT token_count FROM documents d LEFT JOIN chunks c ON d.doc_id = c.doc_id GROUP BY 1")
+def document_rollup(spark, sf_dir):
+    return chunking.document_rollup(documents(spark, sf_dir).select("doc_id"), chunks(spark, sf_dir), "doc_id")
+
+
+@register()
+def chunk_recursive(spark, sf_dir):
+    return chunking.chunk_recursive(documents(spark, sf_dir), "doc_id", "text")
+
+
+@register("SELECT doc_id, sha256(text) content_hash FROM documents QUALIFY row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) = 1")
+def content_dedup(spark, sf_dir):
+    hashed = documents(spark, sf_dir).select("doc_id", F.sha2("text", 256).alias("content_hash"))
+    return filters.unique_first(hashed, None, "content_hash", ["doc_id"]).select("doc_id", "content_hash")
+
+
+@register("SELECT doc_id, source, lang FROM documents WHERE source IN ('src1', 'src2') AND lang IN ('en', 'de')")
+def filtered_documents(spark, sf_dir):
+    where = filters.search_filters(filenames=["src1", "src2"], media_types=["en", "de"], filename_col="source", media_col="lang")
+    return documents(spark, sf_dir).where(where).select("doc_id", "source", "lang")
+
+
+@register("SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 50 OFFSET 20")
+def document_page(spark, sf_dir):
+    return filters.page(documents(spark, sf_dir).select("doc_id", "n_chars"), [F.desc("n_chars"), F.col("doc_id")], 20, 50)
+
+
+@register("SELECT event_id, event_type FROM events WHERE json_extract_string(props, '$.k') = '3'")
+def metadata_filter(spark, sf_dir):
+    return table(spark, sf_dir, "events").where(filters.metadata_equals(F.col("props"), {"k": 3})).select("event_id", "event_type")
+
+
+@register("SELECT event_id FROM events WHERE json_contains(props, '{\"k\": 2}')")
+def metadata_containment(spark, sf_dir):
+    return table(spark, sf_dir, "events").where(filters.metadata_contains(F.col("props"), {"k": 2})).select("event_id")
+
+
+@register("SELECT doc_id, source FROM documents WHERE contains(lower(source), 'rc1')")
+def filename_filter(spark, sf_dir):
+    return documents(spark, sf_dir).where(filters.filename_contains(F.col("source"), "RC1")).select("doc_id", "source")
+
+
+_QUERIES = "q AS (SELECT item_id qid, array_to_string(string_split(text, ' ')[1:5], ' ') query FROM benchmark)"
+
+
+def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item asks with its first five words."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.array_join(F.slice(F.split("text", " "), 1, 5), " ").alias("query"))
+
+
+_KEYWORD = f"""{_QUERIES}, qt AS (SELECT DISTINCT qid, unnest({terms_sql('query')}) term FROM q),
+dt AS (SELECT doc_id, {terms_sql('text')} terms FROM documents),
+e AS (SELECT doc_id, len(terms) length, unnest(terms) term FROM dt),
+keyword AS (SELECT qid, doc_id, count(*) / any_value(length) score FROM e JOIN qt USING (term) GROUP BY ALL),
+kr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id::VARCHAR) AS rank FROM keyword)"""
+
+
+@register(f"WITH {_KEYWORD} SELECT qid, doc_id, round(score, 6) score, rank::INT AS rank FROM kr WHERE rank <= 10")
+def keyword_topk(spark, sf_dir):
+    scored = retrieval.keyword_scores(documents(spark, sf_dir), benchmark_queries(spark, sf_dir), "doc_id", "text")
+    return retrieval.top_k(scored, 10, "doc_id").select("qid", "doc_id", r6(F.col("score")).alias("score"), "rank")
+
+
+_BM25 = f"""{_QUERIES}, qt AS (SELECT DISTINCT qid, unnest({terms_sql('query')}) term FROM q),
+dt AS (SELECT doc_id, {terms_sql('text')} terms FROM documents),
+st AS (SELECT count(*) n, avg(len(terms)) mean FROM dt),
+e AS (SELECT doc_id, len(terms) length, unnest(terms) term FROM dt),
+tf AS (SELECT term, doc_id, length, count(*) tf FROM e WHERE term IN (SELECT term FROM qt) GROUP BY ALL),
+df AS (SELECT term, count(*) df FROM tf GROUP BY 1),
+bm AS (SELECT qid, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / mean))) score FROM tf JOIN df USING (term) JOIN qt USING (term), st GROUP BY ALL),
+br AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id::VARCHAR) AS rank FROM bm)"""
+
+
+@register(f"WITH {_BM25} SELECT qid, doc_id, round(score, 6) score, rank::INT AS rank FROM br WHERE rank <= 10")
+def bm25_topk(spark, sf_dir):
+    scored = retrieval.bm25_scores(documents(spark, sf_dir), benchmark_queries(spark, sf_dir), "doc_id", "text").withColumn("score", F.round("score", 9))
+    return retrieval.top_k(scored, 10, "doc_id").select("qid", "doc_id", r6(F.col("score")).alias("score"), "rank")
+
+
+# Every vector whose id is divisible by 50 asks; ties of rounded scores go by id.
+_VECTOR = """v AS (SELECT vec_id, embedding::DOUBLE[] e FROM embeddings),
+vs AS (SELECT a.vec_id qid, b.vec_id doc_id, round(coalesce(list_dot_product(a.e, b.e) / nullif(sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e)), 0), 0), 9) score FROM v a, v b WHERE a.vec_id % 50 = 0),
+vr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id::VARCHAR) AS rank FROM vs)"""
+
+
+def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
+
+
+def vector_ranked(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "doc_id")
+    scored = retrieval.vector_scores(rows, vector_queries(spark, sf_dir), "doc_id", "embedding").withColumn("score", F.round("score", 9))
+    return retrieval.top_k(scored, k, "doc_id")
+
+
+@register(f"WITH {_VECTOR} SELECT qid, doc_id, round(score, 6) score, rank::INT AS rank FROM vr WHERE rank <= 10")
+def vector_topk_batch(spark, sf_dir):
+    return vector_ranked(spark, sf_dir, 10).select("qid", "doc_id", r6(F.col("score")).alias("score"), "rank")
+
+
+_TEXT_QUERIES = "q AS (SELECT doc_id qid, array_to_string(string_split(text, ' ')[1:5], ' ') query FROM documents JOIN embeddings ON doc_id = vec_id WHERE doc_id % 50 = 0)"
+
+
+def text_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a vector, of ids divisible by 50, ask with their first five words and their vector."""
+    met = documents(spark, sf_dir).join(vector_queries(spark, sf_dir), F.col("doc_id") == F.col("qid"))
+    return met.select("qid", F.array_join(F.slice(F.split("text", " "), 1, 5), " ").alias("query"), "vector")
+
+
+_HYBRID = f"""{_KEYWORD.replace(_QUERIES, _TEXT_QUERIES).replace('FROM documents)', 'FROM documents JOIN embeddings ON doc_id = vec_id)').replace(_TEXT_QUERIES.replace('FROM documents)', ''), _TEXT_QUERIES)},
+v AS (SELECT doc_id vec_id, embedding::DOUBLE[] e FROM embeddings JOIN documents ON doc_id = vec_id),
+vs AS (SELECT a.vec_id qid, b.vec_id doc_id, round(coalesce(list_dot_product(a.e, b.e) / nullif(sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e)), 0), 0), 9) score FROM v a, v b WHERE a.vec_id % 50 = 0),
+vr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id::VARCHAR) AS rank FROM vs),
+u AS (SELECT qid, doc_id, 0.7 / (60 + rank) w, score vsc, NULL::DOUBLE ksc FROM vr WHERE rank <= 40 UNION ALL SELECT qid, doc_id, 0.3 / (60 + rank), NULL, score FROM kr WHERE rank <= 40),
+f AS (SELECT qid, doc_id, round(sum(w) * 61, 9) score, max(vsc) vector_score, max(ksc) keyword_score FROM u GROUP BY ALL),
+fr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id::VARCHAR) AS rank FROM f)"""
+
+
+def hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = documents(spark, sf_dir).join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
+    asked = text_queries(spark, sf_dir)
+    by_vector = retrieval.top_k(retrieval.vector_scores(rows, asked, "doc_id", "embedding").withColumn("score", F.round("score", 9)), 40, "doc_id")
+    by_keyword = retrieval.top_k(retrieval.keyword_scores(rows, asked, "doc_id", "text"), 40, "doc_id")
+    fused = retrieval.fuse(by_vector, by_keyword, "doc_id").withColumn("score", F.round("score", 9))
+    return retrieval.top_k(fused, 10, "doc_id")
+
+
+@register(f"WITH {_HYBRID} SELECT qid, doc_id, round(score, 6) score, round(vector_score, 6) vector_score, round(keyword_score, 6) keyword_score, rank::INT AS rank FROM fr WHERE rank <= 10")
+def hybrid_rrf(spark, sf_dir):
+    return hybrid(spark, sf_dir).select("qid", "doc_id", *[r6(F.col(c)).alias(c) for c in ("score", "vector_score", "keyword_score")], "rank")
+
+
+@register(f"""WITH {_BM25}, {_KEYWORD[len(_QUERIES) + 2:].replace('qt AS', 'qt2 AS').replace('dt AS', 'dt2 AS').replace('FROM dt)', 'FROM dt2)').replace('e AS (SELECT doc_id, len', 'e2 AS (SELECT doc_id, len').replace('FROM e JOIN qt', 'FROM e2 JOIN qt2')},
+u AS (SELECT qid, doc_id, 0.6 / (60 + rank) w FROM br WHERE rank <= 20 UNION ALL SELECT qid, doc_id, 0.4 / (60 + rank) FROM kr WHERE rank <= 20),
+f AS (SELECT qid, doc_id, round(sum(w) * 61, 9) score FROM u GROUP BY ALL),
+fr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id::VARCHAR) AS rank FROM f)
+SELECT qid, doc_id, round(score, 6) score, rank::INT AS rank FROM fr WHERE rank <= 10""")
+def weighted_rrf(spark, sf_dir):
+    docs, asked = documents(spark, sf_dir), benchmark_queries(spark, sf_dir)
+    by_bm25 = retrieval.top_k(retrieval.bm25_scores(docs, asked, "doc_id", "text").withColumn("score", F.round("score", 9)), 20, "doc_id")
+    by_keyword = retrieval.top_k(retrieval.keyword_scores(docs, asked, "doc_id", "text"), 20, "doc_id")
+    fused = retrieval.weighted_rrf([(by_bm25, 0.6), (by_keyword, 0.4)], "doc_id").withColumn("score", F.round("score", 9))
+    return retrieval.top_k(fused, 10, "doc_id").select("qid", "doc_id", r6(F.col("score")).alias("score"), "rank")
+
+
+def _rerank_terms(column: str) -> str:
+    return rf"list_distinct(list_transform(list_filter({tokens_sql(column)}, lambda t: regexp_matches(t, '[\p{{L}}\p{{N}}]')), lambda x: replace(replace(lower(x), 'ß', 'ss'), 'µ', 'μ')))"
+
+
+_RERANK = f"""{_KEYWORD}, h AS (SELECT kr.qid, kr.doc_id, kr.score, kr.rank, query, text FROM kr JOIN q USING (qid) JOIN documents USING (doc_id) WHERE rank <= 20),
+s AS (SELECT *, {_rerank_terms('query')} a, {_rerank_terms('text')} b FROM h),
+o AS (SELECT *, coalesce(len(list_intersect(a, b)) / nullif(sqrt(len(a)::DOUBLE * len(b)), 0), 0) rerank_score, min(score) OVER (PARTITION BY qid) lo, max(score) OVER (PARTITION BY qid) hi FROM s),
+bl AS (SELECT *, round(0.7 * rerank_score + (1 - 0.7) * CASE WHEN abs(hi - lo) <= 1e-9 * greatest(abs(hi), abs(lo)) THEN 1.0 ELSE (score - lo) / (hi - lo) END, 9) blended FROM o),
+rr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY blended DESC, rank, doc_id::VARCHAR) place FROM bl)"""
+
+
+def reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, asked = documents(spark, sf_dir), benchmark_queries(spark, sf_dir)
+    hits = retrieval.top_k(retrieval.keyword_scores(docs, asked, "doc_id", "text"), 20, "doc_id")
+    met = hits.join(asked, "qid").join(docs.select("doc_id", "text", "source", "lang"), "doc_id")
+    scored = context.rerank(met, "doc_id").withColumn("blended", F.round("blended", 9))
+    order = Window.partitionBy("qid").orderBy(F.desc("blended"), "rank", F.col("doc_id").cast("string"))
+    return scored.withColumn("place", F.row_number().over(order))
+
+
+@register(f"WITH {_RERANK} SELECT qid, doc_id, round(rerank_score, 6) rerank_score, round(blended, 6) blended, place::INT place FROM rr")
+def rerank_lexical(spark, sf_dir):
+    return reranked(spark, sf_dir).select("qid", "doc_id", r6(F.col("rerank_score")).alias("rerank_score"), r6(F.col("blended")).alias("blended"), "place")
+
+
+_DEDUP = _RERANK + r""", dd AS (SELECT * FROM rr QUALIFY row_number() OVER (PARTITION BY qid, replace(replace(lower(regexp_replace(trim(text, ' ' || chr(10)), '\s+', ' ', 'g')), 'ß', 'ss'), 'µ', 'μ') ORDER BY place) = 1),
+du AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY place) unique_place FROM dd)"""
+
+
+@register(f"WITH {_DEDUP} SELECT qid, doc_id, place::INT place, unique_place::INT unique_place FROM du")
+def context_dedup(spark, sf_dir):
+    return context.deduplicate(reranked(spark, sf_dir)).select("qid", "doc_id", "place", "unique_place")
+
+
+_HEADER = "format('[{}] Source: {}; media_type={}; position={}; metadata={}', unique_place, source, lang, 0, '{}')"
+
+
+@register(rf"""WITH {_DEDUP.replace('query, text FROM kr', 'query, text, source, lang FROM kr')}, hd AS (SELECT *, len({tokens_sql(_HEADER)}) head, len({tokens_sql('text')}) size,
+  regexp_extract_all(text, '\s*(?:{TOKEN})') p FROM du),
+fb AS (SELECT *, 1200 - coalesce(sum(head + size) OVER (PARTITION BY qid ORDER BY unique_place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - head free FROM hd)
+SELECT qid, doc_id, unique_place::INT citation_id, least(size, free)::INT context_tokens, size > free AS truncated, sha256(CASE WHEN size <= free THEN text ELSE array_to_string(p[1:free::BIGINT], '') END) text_hash
+FROM fb WHERE unique_place <= 8 AND free > 0 AND size > 0""")
+def context_budget(spark, sf_dir):
+    unique = context.deduplicate(reranked(spark, sf_dir))
+    head = X.header(F.col("unique_place"), F.col("source"), F.col("lang"), F.lit(0), F.lit("{}"))
+    fitted = context.fit_budget(unique, head)
+    return fitted.select("qid", "doc_id", "citation_id", F.col("context_tokens").cast("int").alias("context_tokens"), "truncated", F.sha2("context_text", 256).alias("text_hash"))
+
+
+# Gold passages: benchmark texts found word for word in documents; retrieved: the chunks of those documents in order.
+_GOLD = _CHUNKS + """, gold AS (SELECT item_id qid, doc_id passage_id, doc_id, strpos(d.text, b.text) - 1 p_start, strpos(d.text, b.text) - 1 + length(b.text) p_end FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
+got AS (SELECT g.qid, g.passage_id, c.char_start, c.char_end, p_start, p_end, row_number() OVER (PARTITION BY g.qid ORDER BY g.doc_id, c.position) AS rank FROM gold g JOIN chunks c USING (doc_id)),
+cov AS (SELECT *, greatest(0, least(char_end, p_end) - greatest(char_start, p_start)) / (p_end - p_start) coverage, char_start <= p_start AND char_end >= p_end whole FROM got)"""
+
+
+def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each benchmark text has a known length, so documents are matched on a hash of their windows of that length's first words."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("passage"))
+    # an equality join on the passage's first eight words, then the whole passage
+    lead = lambda words: F.array_join(words, " ")
+    words = F.split("text", " ")
+    places = documents(spark, sf_dir).select("doc_id", "text", words.alias("_w")).select("doc_id", "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("_w") - 4)), lambda i: F.xxhash64(lead(F.slice("_w", i + 1, 4)))))).alias("_key"))
+    asked = items.withColumn("_key", F.xxhash64(lead(F.slice(F.split("passage", " "), 2, 4))))
+    met = places.join(retrieval.small(asked), "_key").where(F.col("text").contains(F.col("passage")))
+    start = F.expr("locate(passage, text) - 1")
+    return met.select("qid", F.col("doc_id").alias("passage_id"), F.col("doc_id").alias("source_id"), start.alias("char_start"), (start + F.length("passage")).alias("char_end"))
+
+
+def gold_and_hits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    passages = gold(spark, sf_dir)
+    rows = chunks(spark, sf_dir).select(F.col("doc_id").alias("source_id"), "position", "char_start", "char_end")
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy("source_id", "position"))
+    hits = passages.select("qid", "source_id").join(rows, "source_id").withColumn("rank", rank)
+    return passages, hits
+
+
+@register(_GOLD + " SELECT qid, passage_id, rank::INT AS rank, round(coverage, 6) coverage, whole FROM cov")
+def passage_coverage(spark, sf_dir):
+    passages, hits = gold_and_hits(spark, sf_dir)
+    return evaluation.coverage(hits, passages).select("qid", "passage_id", "rank", r6(F.col("coverage")).alias("coverage"), "whole")
+
+
+@register(_GOLD + """, cl AS (SELECT qid, passage_id, p_start, p_end, greatest(char_start, p_start) s, least(char_end, p_end) e FROM cov WHERE rank <= 20 AND least(char_end, p_end) > greatest(char_start, p_start)),
+m AS (SELECT *, max(e) OVER (PARTITION BY qid, passage_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) pe FROM cl)
+SELECT qid, passage_id, round(sum(greatest(0, e - greatest(s, coalesce(pe, s)))) / any_value(p_end - p_start), 6) coverage FROM m GROUP BY ALL""")
+def union_coverage(spark, sf_dir):
+    passages, hits = gold_and_hits(spark, sf_dir)
+    covered = evaluation.union_coverage(evaluation.coverage(hits, passages), 20)
+    return covered.select("qid", "passage_id", r6(F.col("coverage")).alias("coverage"))
+
+
+@register(_GOLD + """, tp AS (SELECT qid, count(*) passages FROM gold GROUP BY 1),
+gr AS (SELECT qid, rank, max(coverage) grade FROM cov GROUP BY ALL),
+rk AS (SELECT qid, min(rank) FILTER (grade >= 0.5) AS first, count(*) FILTER (grade >= 0.5 AND rank <= 5) r5, sum((pow(2, grade) - 1) / log2(rank + 1)) FILTER (rank <= 10) dcg FROM gr GROUP BY 1),
+bp AS (SELECT qid, passage_id, max(coverage) FILTER (rank <= 10) c, bool_or(whole) FILTER (rank <= 10) w FROM cov GROUP BY ALL),
+fl AS (SELECT qid, count(*) FILTER (c >= 0.5) found, count(*) FILTER (w) whole FROM bp GROUP BY 1)
+SELECT qid, round(coalesce(found, 0) / passages, 6) recall_at_10, round(coalesce(whole, 0) / passages, 6) boundary_completeness_at_10, round(coalesce(1 / first, 0), 6) mrr, round(coalesce(r5, 0) / 5, 6) precision_at_5,
+ round(least(1.0, coalesce(dcg / list_sum(list_transform(range(1, least(passages, 10) + 1), lambda i: 1 / log2(i + 1.0))), 0)), 6) ndcg_at_10
+FROM tp LEFT JOIN rk USING (qid) LEFT JOIN fl USING (qid)""")
+def retrieval_metrics(spark, sf_dir):
+    passages, hits = gold_and_hits(spark, sf_dir)
+    found = evaluation.query_metrics(hits, passages)
+    return found.select("qid", *[r6(F.col(c)).alias(c) for c in ("recall_at_10", "boundary_completeness_at_10", "mrr", "precision_at_5", "ndcg_at_10")])
+
+
+@register("SELECT event_type, count(value) n, round(avg(value), 6) mean, round(quantile_cont(value, 0.5), 6) p50, round(quantile_cont(value, 0.95), 6) p95, round(quantile_cont(value, 0.99), 6) p99 FROM events GROUP BY 1")
+def latency_percentiles(spark, sf_dir):
+    return evaluation.latency(table(spark, sf_dir, "events"), "value", ["event_type"])
+
+
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").withColumnRenamed("turn", "position")
+
+
+@register(f"""WITH m AS (SELECT conv_id, turn AS position, role, len({tokens_sql('text')}) token_count FROM conversations),
+b AS (SELECT *, row_number() OVER w AS back, sum(token_count) OVER (PARTITION BY conv_id ORDER BY position DESC ROWS UNBOUNDED PRECEDING) total FROM m WINDOW w AS (PARTITION BY conv_id ORDER BY position DESC))
+SELECT conv_id, position, role, token_count FROM b WHERE back <= 4 AND total <= 300""")
+def history_window(spark, sf_dir):
+    kept = context.history_window(messages(spark, sf_dir), "conv_id", "position", X.token_count(F.col("text")), most=4, budget=300)
+    return kept.select("conv_id", "position", "role", "token_count")
+
+
+@register("SELECT conv_id, count(*) messages, max(turn) + 1 next_position FROM conversations GROUP BY 1")
+def conversation_list(spark, sf_dir):
+    said = messages(spark, sf_dir)
+    return context.conversations(said.select("conv_id").distinct(), said, "conv_id")
+
+
+@register("SELECT conv_id, turn AS position, left(regexp_replace(trim(text, ' ' || chr(10)), '\\s+', ' ', 'g'), 80) title FROM conversations WHERE turn = 0")
+def conversation_titles(spark, sf_dir):
+    return messages(spark, sf_dir).where("position = 0").select("conv_id", "position", X.title(F.col("text")).alias("title"))
+
+
+@register(r"""WITH a AS (SELECT conv_id, turn, format('as [{}] and [{}] say, not [99]', turn % 3 + 1, conv_id % 5 + 1) answer FROM conversations WHERE role = 'assistant'),
+i AS (SELECT DISTINCT conv_id, turn, unnest(list_transform(regexp_extract_all(answer, '\[(\d+)\]', 1), lambda x: x::INT)) citation_id FROM a)
+SELECT conv_id, turn, citation_id FROM i WHERE citation_id <= 4""")
+def citations(spark, sf_dir):
+    answers = table(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", "turn", F.format_string("as [%d] and [%d] say, not [99]", F.col("turn") % 3 + 1, F.col("conv_id") % 5 + 1).alias("answer"))
+    keyed = answers.withColumn("message", F.struct("conv_id", "turn"))
+    available = keyed.select("message", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("citation_id"))
+    return context.cited(keyed, available, "message", "answer").select("message.conv_id", "message.turn", "citation_id")
+
+
+@register("""SELECT user_id % 10 AS profile, count(*) requests, count(*) FILTER (event_type <> 'error') successes,
+round(coalesce(count(*) FILTER (event_type IN ('view', 'click')) / nullif(count(*) FILTER (event_type <> 'error'), 0), 0), 6) hit_rate,
+round(quantile_cont(value, 0.95) FILTER (event_type IN ('view', 'click')), 3) warm_p95, round(quantile_cont(value, 0.95) FILTER (event_type NOT IN ('view', 'click', 'error')), 3) cold_p95 FROM events GROUP BY 1""")
+def cache_hit_rates(spark, sf_dir):
+    log = table(spark, sf_dir, "events").withColumn("profile", F.col("user_id") % 10)
+    return evaluation.cache_summary(log, ["profile"], F.col("event_type") != "error", F.col("event_type").isin("view", "click"), "value")
+
+
+@register("SELECT user_id, arg_max(event_type, event_id) AS status, max(event_id) AS event_id FROM events GROUP BY 1")
+def job_state_latest(spark, sf_dir):
+    log = table(spark, sf_dir, "events").select("user_id", "event_id", F.col("event_type").alias("status"))
+    return tables.latest(log, ["user_id"], "event_id").select("user_id", "status", "event_id")
+
+
+@register("""WITH a AS (SELECT event_type AS metric, avg(value) v FROM events WHERE event_id % 2 = 0 GROUP BY 1), b AS (SELECT event_type AS metric, avg(value) v FROM events WHERE event_id % 2 = 1 GROUP BY 1)
+SELECT metric, round(a.v, 6) baseline, round(b.v, 6) candidate, round(b.v - a.v, 6) AS delta, round((b.v - a.v) * 100 / abs(a.v), 6) relative_percent, CASE WHEN metric = 'error' THEN b.v < a.v ELSE b.v > a.v END improved FROM a JOIN b USING (metric)""")
+def run_compare(spark, sf_dir):
+    log = table(spark, sf_dir, "events")
+    half = lambda k: log.where(F.col("event_id") % 2 == k).groupBy(F.col("event_type").alias("metric")).agg(F.avg("value").alias("value"))
+    compared = evaluation.compare_runs(half(0), half(1), ("error",))
+    return compared.select("metric", *[r6(F.col(c)).alias(c) for c in ("baseline", "candidate", "delta", "relative_percent")], "improved")
+
+
+@register()
+def bootstrap_ci(spark, sf_dir):
+    halves = table(spark, sf_dir, "events").groupBy((F.col("user_id") % 40).alias("qid")).agg(F.avg(F.when(F.col("event_id") % 2 == 0, F.col("value"))).alias("a"), F.avg(F.when(F.col("event_id") % 2 == 1, F.col("value"))).alias("b"))
+    return evaluation.paired_bootstrap(halves.select("qid", F.col("a").alias("value")), halves.select("qid", F.col("b").alias("value")), "value", samples=1000)
+
+
+@register()
+def embed_deterministic(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select("item_id", X.embed_deterministic(64)(F.col("text")).alias("embedding"))
+
+
+@register()
+def rate_limit(spark, sf_dir):
+    requests = table(spark, sf_dir, "events").select(F.col("user_id").alias("client"), "ts", F.col("event_id").alias("request_id"))
+    return ingest.rate_limit_batch(requests, 3, 86_400.0)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
