@@ -30,12 +30,12 @@ MAX_GAP = 2
 LETTERS = 64  # codes: 0 none, 1-26 a-z, 27-61 all others by remainder, 62 start, 63 end
 PIECE = 24  # letters of a word that are compared at once; longer ones are read in overlapping pieces
 LANDMARKS = 384
-TRAIN_TOXIC = 1500  # documents that the machine is fitted on, the first by a hash of their id
-TRAIN_CLEAN = 5000
-NEGATIVES = 6_000
+TRAIN_TOXIC = 1200  # documents that the machine is fitted on, the first by a hash of their id
+TRAIN_CLEAN = 4000
+NEGATIVES = 4_000
 ROUNDS = 5
 COST = 10.0
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 THRESHOLD = 0.3
 
 _SPELLED = re.compile(r"(?<!\S)(?:[^\W\d_][\s.\-_*]+){2,}[^\W\d_](?!\S)")
@@ -168,7 +168,7 @@ class Machine:
 
 def _linear_svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, steps: int = 60) -> tuple[np.ndarray, float]:
     """Squared-hinge machine by Newton steps on the primal; a last column of ones is the bias."""
-    x = np.hstack([x, np.ones((len(x), 1), dtype=x.dtype)]).astype(np.float64)
+    x = np.hstack([x, np.ones((len(x), 1), dtype=x.dtype)])
     w, keep = np.zeros(x.shape[1]), np.eye(x.shape[1])
     keep[-1, -1] = 1e-3
     last = None
@@ -178,7 +178,8 @@ def _linear_svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, steps: int = 60)
             break
         last = active
         xa, ca = x[active], cost[active]
-        full = np.linalg.solve(keep + 2 * xa.T @ (ca[:, None] * xa), 2 * xa.T @ (ca * y[active]))
+        xa *= np.sqrt(ca)[:, None].astype(x.dtype)
+        full = np.linalg.solve(keep + 2 * (xa.T @ xa).astype(np.float64), 2 * xa.T @ (np.sqrt(ca) * y[active]))
         # halve the step until the objective falls
         loss = lambda v: v @ keep @ v / 2 + (cost * np.maximum(0, 1 - y * (x @ v)) ** 2).sum()
         step, here = 1.0, loss(w)
@@ -188,98 +189,96 @@ def _linear_svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, steps: int = 60)
     return w[:-1], float(w[-1])
 
 
-def _explaining(words: list[set[str]], y: np.ndarray, inside: dict[str, list[int]]) -> list[str]:
+def _explaining(docs: list[np.ndarray], y: np.ndarray, clean: np.ndarray, toxic: np.ndarray) -> list[int]:
     """First witnesses: words of toxic documents that are all but absent from clean ones, taken greedily, the one in most
     toxic documents first, each only if it explains documents that those before it don't; at last the likeliest word of the rest."""
     n_clean, n_toxic = max(1, int((y == 0).sum())), max(1, int(y.sum()))
-    odds = lambda w: (inside[w][1] + 0.01) / n_toxic / ((inside[w][0] + 0.5) / n_clean)
-    where: dict[str, list[int]] = {}
-    for d, (ws, t) in enumerate(zip(words, y, strict=True)):
-        if t:
-            for w in ws:
-                if inside[w][1] >= 2 and inside[w][0] <= 0.02 * inside[w][1]:
-                    where.setdefault(w, []).append(d)
+    odds = (toxic + 0.01) / n_toxic / ((clean + 0.5) / n_clean)
+    likely = (toxic >= 2) & (clean <= 0.02 * toxic)
+    where: dict[int, list[int]] = {}
+    for d in np.flatnonzero(y):
+        for w in docs[d][likely[docs[d]]].tolist():
+            where.setdefault(w, []).append(int(d))
     chosen, done = [], set()
     for w in sorted(where, key=lambda w: (-len(where[w]), w)):
         own = set(where[w])
         # a word in many toxic documents and no clean one is hardly there by chance; a rarer one must explain what is left
-        if (len(own) >= 5 and odds(w) > 30) or len(own - done) >= max(2, 0.4 * len(own)):
+        if (len(own) >= 5 and odds[w] > 30) or len(own - done) >= max(2, 0.4 * len(own)):
             chosen.append(w)
             done |= own
     if not chosen:
-        toxic = [ws for ws, t in zip(words, y, strict=True) if t and ws]
-        chosen = sorted({max(sorted(ws), key=odds) for ws in toxic})
-    return chosen[:2000] or ["\x02"]
+        chosen = sorted({int(docs[d][np.argmax(odds[docs[d]])]) for d in np.flatnonzero(y) if len(docs[d])})
+    return chosen[:2000]
 
 
-def train(texts: list[str | None], toxic: list[int], seed: int = 17) -> Machine:
-    """Fit on whole labelled texts. Without a toxic or a clean text every score is the toxic share."""
+def train(texts: list[str | None], toxic: list[int], share: float | None = None, seed: int = 17) -> Machine:
+    """Fit on whole labelled texts; ``share`` is the toxic share of all labelled documents, the sample's own if not given. Without a toxic or a clean text, or without words, every score is the toxic share."""
     rng = np.random.default_rng(seed)
     y = np.array([int(bool(t)) for t in toxic])
-    if len(y) == 0 or y.min() == y.max():
+    # words by number; of each document the words of its sentences
+    number: dict[str, int] = {}
+    sentences: list[list[np.ndarray]] = []
+    for text in texts:
+        own = [{p for u in units(s) if (w := letters_of(u)) for p in pieces_of(w)} for s in _SENTENCE.split((text or "").lower())]
+        sentences.append([np.array(sorted(number.setdefault(w, len(number)) for w in sorted(s)), dtype=np.int32) for s in own if s])
+    docs = [np.unique(np.concatenate(s)) if s else np.zeros(0, dtype=np.int32) for s in sentences]
+    if len(y) == 0 or y.min() == y.max() or not any(len(d) for d, t in zip(docs, y, strict=True) if t):
         share = float(y.mean()) if len(y) else 0.0
         return Machine(np.zeros(LETTERS**3, dtype=np.float32), 0.0, 1.0, -float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))))
-    # sentences: sets of words of letters; each document's words by sentence
-    docs = [[{p for u in units(s) if (w := letters_of(u)) for p in pieces_of(w)} for s in _SENTENCE.split((x or "").lower())] for x in texts]
-    words = [set().union(*d) if d else set() for d in docs]
-    inside: dict[str, list[int]] = {}
-    for ws, t in zip(words, y, strict=True):
-        for w in ws:
-            inside.setdefault(w, [0, 0])[t] += 1
+    names = list(number)
     n_clean, n_toxic = int((y == 0).sum()), int(y.sum())
-    positive = _explaining(words, y, inside)
-    clean_words = sorted(w for w, (c, t) in inside.items() if c)
-    frequent = sorted(clean_words, key=lambda w: (-inside[w][0], w))[: NEGATIVES // 3]
-    negative = sorted(set(frequent) | set(rng.choice(clean_words, min(len(clean_words), NEGATIVES), replace=False).tolist())) if clean_words else []
-    hard: list[str] = []
+    in_clean, in_toxic = (np.bincount(np.concatenate([d for d, t in zip(docs, y, strict=True) if t == v] or [np.zeros(0, dtype=np.int32)]), minlength=len(names)) for v in (0, 1))
+    positive = _explaining(docs, y, in_clean, in_toxic)
+    clean_words = np.flatnonzero(in_clean)
+    often = clean_words[np.lexsort((clean_words, -in_clean[clean_words]))][: NEGATIVES // 2]
+    negative = sorted((set(often.tolist()) | set(rng.choice(clean_words, min(len(clean_words), NEGATIVES), replace=False).tolist())) - set(positive))
+    hard: list[int] = []
     machine = basis = None
     for turn in range(ROUNDS):
         if turn < 3:
             # landmarks: insults, the clean words most like them so far, and any others
             half = LANDMARKS // 2
             first = positive[:half] + [w for w in hard[: half // 2] if w not in set(positive)]
-            landmarks = first + [negative[i] for i in sorted(rng.choice(len(negative), min(len(negative), LANDMARKS - len(first)), replace=False))]
-            basis = Landmarks.of(landmarks)
+            chosen = first + [negative[i] for i in sorted(rng.choice(len(negative), min(len(negative), LANDMARKS - len(first)), replace=False))]
+            basis = Landmarks.of([names[w] for w in chosen])
             values, vectors = np.linalg.eigh((basis.columns.T @ basis.columns).astype(np.float64))
             whiten = vectors / np.sqrt(np.maximum(values, 1e-3))
-            features: dict[str, np.ndarray] = {}
-
-        def of(ws: list[str], basis=basis, whiten=whiten, features=features) -> np.ndarray:
-            new = [w for w in ws if w not in features]
-            if new:
-                features.update(zip(new, (basis.kernel(new) @ whiten).astype(np.float32), strict=True))
-            return np.array([features[w] for w in ws])
-
+        x = (basis.kernel([names[w] for w in positive + negative]) @ whiten).astype(np.float32)
         labels = np.array([1.0] * len(positive) + [-1.0] * len(negative))
-        seen = np.array([np.log1p(inside[w][1]) for w in positive] + [1.0] * len(negative))
+        seen = np.concatenate([np.log1p(in_toxic[positive]), np.ones(len(negative))])
         seen[: len(positive)] *= 0.5 * len(negative) / max(1e-9, seen[: len(positive)].sum())
-        v, bias = _linear_svm(of(positive + negative), labels, COST * seen / 2)
+        v, bias = _linear_svm(x, labels, COST * seen / 2)
+        del x
         machine = Machine(basis.fold(whiten @ v), bias)
-        every = sorted(inside)
-        value = dict(zip(every, machine.values(every).tolist(), strict=True))
+        value = np.concatenate([machine.values(names[at : at + 20_000]) for at in range(0, len(names), 20_000)])
         # a witness for each toxic document: the most insulting word of its most insulting sentence
-        witnesses = {max(max((s for s in d if s), key=lambda s: max(map(value.__getitem__, s))), key=value.__getitem__) for d, t, ws in zip(docs, y, words, strict=True) if t and ws}
-        surely = {w for w, (c, t) in inside.items() if not c and t >= 5 and value[w] > 0}
-        positive = sorted({w for w in witnesses if not inside[w][0] and value[w] > 0} | surely | {w for w in positive if value[w] > 0}, key=lambda w: (-inside[w][1], w))[:3000]
-        hard = sorted((w for w in clean_words if value[w] > -0.9 and w not in set(positive)), key=lambda w: (-value[w], w))[:NEGATIVES]
+        best = [max(s, key=lambda ws: value[ws].max()) for s, t in zip(sentences, y, strict=True) if t and s]
+        witnesses = {int(ws[np.argmax(value[ws])]) for ws in best}
+        surely = set(np.flatnonzero((in_clean == 0) & (in_toxic >= 5) & (value > 0)).tolist())
+        positive = sorted({w for w in witnesses if not in_clean[w] and value[w] > 0} | surely | {w for w in positive if value[w] > 0}, key=lambda w: (-in_toxic[w], w))[:3000] or positive
+        close = clean_words[value[clean_words] > -0.9]
+        hard = [w for w in close[np.lexsort((close, -value[close]))].tolist() if w not in set(positive)][:NEGATIVES]
         negative = sorted((set(negative) | set(hard)) - set(positive))
-    final = dict(zip(clean_words, machine.values(clean_words).tolist(), strict=True)) if clean_words else {}
-    close = {w for w, v in final.items() if v > -1 and inside[w][0] > 0.02 * inside[w][1]}
+    close = clean_words[(value[clean_words] > -1) & (in_clean[clean_words] > 0.02 * in_toxic[clean_words])]
     # the curve is fitted on toxic documents and on every second clean one, with only the others' words cleared:
     # words of documents that the machine has not seen are not cleared either
-    clean = [d for d in range(len(y)) if not y[d]]
-    machine.cleared = dict.fromkeys(close.intersection(*[set().union(*(words[d] for d in clean[::2]))]), -1.0)
-    used = np.array(sorted({d for d in range(len(y)) if y[d]} | set(clean[1::2])) if len(clean) > 1 else range(len(y)))
-    top, goals = machine.largest([texts[d] for d in used]), y[used]
+    clean = np.flatnonzero(y == 0)
+    known = np.unique(np.concatenate([docs[d] for d in clean[::2]]))
+    machine.cleared = dict.fromkeys((names[w] for w in np.intersect1d(close, known)), -1.0)
+    used = np.sort(np.concatenate([np.flatnonzero(y), clean[1::2] if len(clean) > 1 else clean]))
+    top, goals = np.concatenate([machine.largest([texts[d] for d in used[at : at + 500]]) for at in range(0, len(used), 500)]), y[used]
     machine.known.clear()
-    machine.cleared = dict.fromkeys(close, -1.0)
+    machine.cleared = dict.fromkeys((names[w] for w in close), -1.0)
+    # clean documents weigh as in all labelled documents, not as in the sample
+    odds = (1 - share) / share if share and share < 1 else n_clean / n_toxic
+    cost = np.where(goals == 1, 1.0, odds * (goals == 1).sum() / max(1, (goals == 0).sum()))
     # logistic curve over the largest value (Platt), with a fixed small ridge
     a, b = 1.0, 0.0
     goal = np.where(goals == 1, (n_toxic + 1) / (n_toxic + 2), 1 / (n_clean + 2))
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(a * top + b, -30, 30)))
-        g = np.array([((p - goal) * top).sum() + 1e-3 * a, (p - goal).sum()])
-        r = p * (1 - p) + 1e-9
+        g = np.array([(cost * (p - goal) * top).sum() + 1e-3 * a, (cost * (p - goal)).sum()])
+        r = cost * p * (1 - p) + 1e-9
         h = np.array([[(r * top * top).sum() + 1e-3, (r * top).sum()], [(r * top).sum(), r.sum() + 1e-6]])
         da, db = np.linalg.solve(h, g)
         scale = min(1.0, 2.0 / max(1e-9, abs(da), abs(db)))
@@ -295,8 +294,9 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", max_toxic: int = TRAIN_TOXIC, max_clean: int = TRAIN_CLEAN) -> list:
-    """(text, toxic) of a bounded sample of labelled documents outside the held-out quarter: the first by a hash of the id."""
+def training_rows(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", max_toxic: int = TRAIN_TOXIC, max_clean: int = TRAIN_CLEAN) -> tuple[list, float | None]:
+    """Rows and toxic share: a bounded sample of labelled documents outside the held-out quarter, the first by a hash of
+    the id, and the share of all such labels."""
     known = labels.select(F.col(doc_id).alias("_id"), F.col(toxic).cast("int").alias("_toxic")).where(F.col("_toxic").isNotNull() & F.col("_id").isNotNull() & ~held_out(F.col("_id")))
     known = known.groupBy("_id").agg(F.max("_toxic").alias("_toxic"))
     chosen = None
@@ -305,7 +305,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
         chosen = some if chosen is None else chosen.union(some)
     # at most max_toxic + max_clean ids: a bounded side
     joined = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_id")
-    return joined.select("_id", "_text", "_toxic").collect()
+    share = known.agg(F.avg((F.col("_toxic") > 0).cast("double"))).first()[0]
+    return joined.select("_id", "_text", "_toxic").collect(), share
 
 
 def score_documents(docs: DataFrame, machine: Machine, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -326,6 +327,7 @@ def score_documents(docs: DataFrame, machine: Machine, doc_id: str = "doc_id", t
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    rows = sorted(training_rows(docs, labels), key=lambda r: (r["_id"], r["_text"] or ""))
-    machine = train([r["_text"] for r in rows], [r["_toxic"] for r in rows])
+    rows, share = training_rows(docs, labels)
+    rows.sort(key=lambda r: (r["_id"], r["_text"] or ""))
+    machine = train([r["_text"] for r in rows], [r["_toxic"] for r in rows], share)
     return score_documents(docs, machine)
