@@ -24,10 +24,10 @@ from pyspark.sql import functions as F
 from quillgrid.llm.common import materialize
 
 K = 20
-PROJECTIONS = 96
+PROJECTIONS = 128
 SHARD = 2048  # expected vectors of a shard
 BLOCK = 512  # expected queries of a block
-SHARE = 0.3  # of a shard's different vectors: candidates at which windows stop widening
+SHARE = 0.4  # of a shard's different vectors: candidates at which windows stop widening
 WIDEN = 1.25
 SEED = 20
 
