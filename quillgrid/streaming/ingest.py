@@ -14,6 +14,10 @@ from quillgrid.operators.filters import unique_first
 from quillgrid.sources.files import parse_texts
 
 
+#: The schema of Spark's binary file source, which a stream must be given.
+BINARY_FILE = "path string, modificationTime timestamp, length long, content binary"
+
+
 def _read(spark: SparkSession, path: str, columns: str) -> DataFrame:
     try:
         return spark.read.parquet(path)
@@ -41,7 +45,7 @@ def ingest_batch(files: DataFrame, batch_id: int, root: str, size: int = SIZE, o
 
 def ingest_stream(spark: SparkSession, inbox: str, root: str, size: int = SIZE, overlap: int = OVERLAP) -> StreamingQuery:
     """Whatever lies in the inbox and wasn't taken yet, in micro-batches, then stop; the checkpoint resumes it."""
-    files = spark.readStream.format("binaryFile").option("maxFilesPerTrigger", 1000).load(inbox)
+    files = spark.readStream.format("binaryFile").schema(BINARY_FILE).option("maxFilesPerTrigger", 1000).load(inbox)
     return files.writeStream.foreachBatch(lambda df, n: ingest_batch(df, n, root, size, overlap)).option("checkpointLocation", f"{root}/_checkpoint").trigger(availableNow=True).start()
 
 
