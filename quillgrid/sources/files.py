@@ -91,23 +91,42 @@ def storage_path(content_hash: Column, filename: Column) -> Column:
     return F.concat(F.left(content_hash, F.lit(2)), F.lit("/"), content_hash, X.suffix(filename))
 
 
+def _table(spark: SparkSession, path: str) -> DataFrame | None:
+    """A Parquet table, or None where there is none yet."""
+    try:
+        return spark.read.parquet(path)
+    except Exception as problem:
+        if "PATH_NOT_FOUND" not in str(problem) and "UNABLE_TO_INFER_SCHEMA" not in str(problem):
+            raise
+        return None
+
+
+def read_stored(spark: SparkSession, root: str) -> DataFrame | None:
+    """(path, content, content_hash, prefix, stored_at) of stored content, without what was deleted since."""
+    rows, gone = _table(spark, f"{root}/content"), _table(spark, f"{root}/deleted")
+    if rows is None or gone is None:
+        return rows
+    last = gone.groupBy("content_hash").agg(F.max("deleted_at").alias("deleted_at"))
+    met = rows.join(last, "content_hash", "left").where("deleted_at is null or stored_at > deleted_at")
+    return met.select(*rows.columns)
+
+
 def store(files: DataFrame, root: str) -> DataFrame:
     """Append content that isn't stored yet, partitioned by the first two hex digits; returns what was new."""
     from quillgrid.operators.filters import unique_first
 
     spark = files.sparkSession
     hashed = files.select("path", "content", F.sha2("content", 256).alias("content_hash"))
-    try:
-        existing = spark.read.parquet(root).select("content_hash")
-    except Exception as problem:
-        if "PATH_NOT_FOUND" not in str(problem) and "UNABLE_TO_INFER_SCHEMA" not in str(problem):
-            raise
-        existing = None
-    new = unique_first(hashed, existing, "content_hash", ["path"]).withColumn("prefix", F.left("content_hash", F.lit(2)))
-    new.write.mode("append").partitionBy("prefix").parquet(root)
+    new = unique_first(hashed, read_stored(spark, root), "content_hash", ["path"]).withColumns({"prefix": F.left("content_hash", F.lit(2)), "stored_at": F.current_timestamp()})
+    new.write.mode("append").partitionBy("prefix").parquet(f"{root}/content")
     return new.select("path", "content_hash")
 
 
+def delete_stored(hashes: DataFrame, root: str) -> None:
+    """A tombstone for each content hash; the bytes go when the table is next rewritten."""
+    hashes.select("content_hash", F.current_timestamp().alias("deleted_at")).write.mode("append").parquet(f"{root}/deleted")
+
+
 def inside_root(uri: Column, root: str) -> Column:
     """Only file URIs below the root, without steps upwards."""
     return uri.startswith(f"file:{root.rstrip('/')}/") & ~uri.contains("/../")

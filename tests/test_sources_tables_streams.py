@@ -35,7 +35,12 @@ def test_store_and_files(spark, tmp_path):
     root = f"{tmp_path}/store"
     files.store(rows, root)
     files.store(rows, root)
-    assert spark.read.parquet(root).count() == 2
+    assert files.read_stored(spark, root).count() == 2
+    other = files.read_stored(spark, root).where("path = '/x/c.txt'").select("content_hash")
+    files.delete_stored(other, root)
+    assert [bytes(r.content) for r in files.read_stored(spark, root).collect()] == [b"same"]
+    files.store(rows, root)
+    assert files.read_stored(spark, root).count() == 2
     (tmp_path / "q.txt").write_text("# no\nwhat is  it\n\nwhere\n")
     assert files.read_queries(spark, f"{tmp_path}/q.txt").count() == 2
     (tmp_path / "q.txt").write_text("what is  it\nwhat is it\n")
