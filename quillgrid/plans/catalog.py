@@ -50,7 +50,7 @@ def r6(column: Column) -> Column:
     return F.round(column, 6)
 
 
-@register(f"SELECT doc_id, len({tokens_sql('text')}) AS tokens FROM documents")
+@register(f"SELECT doc_id, len({tokens_sql('text')})::INT AS tokens FROM documents")
 def token_counts(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", X.token_count(F.col("text")).alias("tokens"))
 
@@ -338,7 +338,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").withColumnRenamed("turn", "position")
 
 
-@register(f"""WITH m AS (SELECT conv_id, turn AS position, role, len({tokens_sql('text')}) token_count FROM conversations),
+@register(f"""WITH m AS (SELECT conv_id, turn AS position, role, len({tokens_sql('text')})::INT token_count FROM conversations),
 b AS (SELECT *, row_number() OVER w AS back, sum(token_count) OVER (PARTITION BY conv_id ORDER BY position DESC ROWS UNBOUNDED PRECEDING) total FROM m WINDOW w AS (PARTITION BY conv_id ORDER BY position DESC))
 SELECT conv_id, position, role, token_count FROM b WHERE back <= 4 AND total <= 300""")
 def history_window(spark, sf_dir):
