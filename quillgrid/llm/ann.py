@@ -5,7 +5,8 @@ The index of a shard of vectors is, for each of PROJECTIONS random directions, t
 A query opens a window around its own projection in each array; windows widen together (virtual rehashing: each width is
 a coarser hash of the same array, and only what is new on both sides is counted). A vector that has been met in at least
 half the windows is a candidate. Widening ends when the candidates are a fixed share of the shard's different vectors;
-candidates, however many, are then verified by their exact inner products.
+candidates, however many, are then verified by their exact inner products. Windows start at the width where their mean
+content comes near the threshold; narrower ones couldn't hold enough candidates.
 
 Index shards and blocks of queries have bounded numbers of rows; each shard meets each block once, by an equality join.
 """
@@ -24,11 +25,12 @@ from pyspark.sql import functions as F
 from quillgrid.llm.common import materialize
 
 K = 20
-PROJECTIONS = 128
-SHARD = 2048  # expected vectors of a shard
-BLOCK = 512  # expected queries of a block
+PROJECTIONS = 80
+SHARD = 8192  # expected vectors of a shard
+BLOCK = 256  # expected queries of a block
 SHARE = 0.4  # of a shard's different vectors: candidates at which windows stop widening
-WIDEN = 1.25
+WIDEN = 1.12
+GROUP = 8  # shards that a task searches for a block of queries
 SEED = 20
 
 
@@ -56,68 +58,99 @@ class Shard:
         rest = np.sqrt(np.maximum(0.0, longest**2 - (self.vectors**2).sum(axis=1)))
         self.directions = np.random.default_rng(SEED).standard_normal((PROJECTIONS, self.vectors.shape[1] + 1))
         values = (np.hstack([self.vectors, rest[:, None]]) @ self.directions.T).T
-        self.order = np.argsort(values, axis=1, kind="stable").astype(np.int32)
+        self.order = np.argsort(values, axis=1, kind="stable")
         self.sorted = np.take_along_axis(values, self.order, axis=1)
         self.longest = longest
 
-    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query, id, score) of the k best candidates of each query."""
+    def first_widths(self, centres: np.ndarray, need: int) -> np.ndarray:
+        """For each query the width at which its windows should hold about enough: read off a coarse grid of widths over a few
+        of the arrays, as the mean number of collisions is what must come near the threshold."""
+        grid = self.longest * 0.2 * 1.5 ** np.arange(12)
+        some = range(0, PROJECTIONS, 8)
+        held = np.zeros((len(grid), len(centres)))
+        for g, w in enumerate(grid):
+            for p in some:
+                held[g] += np.searchsorted(self.sorted[p], centres[:, p] + w, side="right") - np.searchsorted(self.sorted[p], centres[:, p] - w, side="left")
+        share = held / (len(some) * len(self.vectors))
+        wanted = 0.5 - 0.1 * (1 - need / len(self.vectors)) ** 2
+        at = np.clip((share < wanted).sum(axis=0), 1, len(grid) - 1)
+        q = np.arange(len(centres))
+        low, high = share[at - 1, q], share[at, q]
+        part = np.clip((wanted - low) / np.maximum(high - low, 1e-9), 0, 1)
+        return np.exp(np.log(grid[at - 1]) * (1 - part) + np.log(grid[at]) * part)
+
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(ids, scores) of the k best candidates of each query."""
         n = len(self.vectors)
         # the direction of a query is what counts; scaled to the vectors' length its windows fit
         scaled = queries * (self.longest / np.sqrt((queries**2).sum(axis=1, keepdims=True)))
         centres = scaled @ self.directions[:, :-1].T
         need = min(n, k + 1 + math.ceil(SHARE * n))
-        widths = [0.05 * self.longest]
-        while widths[-1] < 16 * self.longest:
-            widths.append(widths[-1] * WIDEN)
-        left = np.empty((len(widths), PROJECTIONS, len(queries)), dtype=np.int32)
-        right = np.empty_like(left)
-        for r, w in enumerate(widths):
+        widths = self.first_widths(centres, need)
+        rows, out = list(self.order), [None] * len(queries)
+        counts: dict[int, np.ndarray] = {}
+        active, left, right = np.arange(len(queries)), None, None
+        while len(active):
+            lo, hi = np.empty((2, PROJECTIONS, len(active)), dtype=np.int64)
             for p in range(PROJECTIONS):
-                left[r, p] = np.searchsorted(self.sorted[p], centres[:, p] - w, side="left")
-                right[r, p] = np.searchsorted(self.sorted[p], centres[:, p] + w, side="right")
-        # before this width no half of the windows can hold enough
-        total = (right - left).sum(axis=1, dtype=np.int64)
-        out_q, out_v, out_s = [], [], []
-        for q, (own, query) in enumerate(zip(query_ids, queries, strict=True)):
-            counts = np.zeros(n, dtype=np.int16)
-            r = int(np.argmax(total[:, q] >= need * PROJECTIONS // 2)) if total[-1, q] >= need * PROJECTIONS // 2 else len(widths) - 1
-            lo, hi = left[r, :, q], right[r, :, q]
-            for p in range(PROJECTIONS):
-                counts[self.order[p, lo[p] : hi[p]]] += 1
-            while (found := np.flatnonzero(counts >= PROJECTIONS // 2)).size < need and r + 1 < len(widths):
-                r += 1
-                for p in range(PROJECTIONS):
-                    counts[self.order[p, left[r, p, q] : left[r - 1, p, q]]] += 1
-                    counts[self.order[p, right[r - 1, p, q] : right[r, p, q]]] += 1
-            if found.size < need:
-                found = np.arange(n)  # all windows are open
-            scores = self.vectors[found] @ query
-            best = np.argsort(-scores, kind="stable")
-            if len(best) > 3 * k:  # members of one more vector than k may be needed, and equal scores go by id
-                least = scores[best[min(len(best), k + 1) - 1]]
-                best = np.flatnonzero(scores >= least - 1e-9 * max(1.0, abs(least)))
-            ids = np.concatenate([self.members[found[b]] for b in best])
-            exact = np.repeat((self.vectors[found[best]] * query).sum(axis=1), [len(self.members[found[b]]) for b in best])
-            keep = ids != own
-            ids, exact = ids[keep], exact[keep]
-            top = np.lexsort((ids, -exact))[:k]
-            out_q.append(np.full(len(top), own))
-            out_v.append(ids[top])
-            out_s.append(exact[top])
-        return np.concatenate(out_q), np.concatenate(out_v), np.concatenate(out_s)
+                lo[p] = np.searchsorted(self.sorted[p], centres[active, p] - widths[active], side="left")
+                hi[p] = np.searchsorted(self.sorted[p], centres[active, p] + widths[active], side="right")
+            all_open = ((lo == 0) & (hi == n)).all(axis=0)
+            stay = []
+            for j, q in enumerate(active.tolist()):
+                if left is None:
+                    met = [row[a:b] for row, a, b in zip(rows, lo[:, j].tolist(), hi[:, j].tolist(), strict=True)]
+                    count = np.bincount(np.concatenate(met), minlength=n)
+                else:  # what the wider windows add on both sides
+                    met = [row[a:b] for row, a, b in zip(rows, lo[:, j].tolist(), left[:, j].tolist(), strict=True)]
+                    met += [row[a:b] for row, a, b in zip(rows, right[:, j].tolist(), hi[:, j].tolist(), strict=True)]
+                    count = counts.pop(q) + np.bincount(np.concatenate(met), minlength=n)
+                found = np.flatnonzero(count >= PROJECTIONS // 2)
+                if len(found) < need and not all_open[j]:
+                    counts[q] = count
+                    stay.append(j)
+                else:
+                    out[q] = self.verify(found, int(query_ids[q]), queries[q], k)
+            left, right, active = lo[:, stay], hi[:, stay], active[stay]
+            widths[active] *= WIDEN
+        return out
+
+    def verify(self, found: np.ndarray, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Exact inner products of the candidates; the k best of their rows, ties to the smaller id, without the query's own."""
+        vectors = self.vectors[found]
+        scores = vectors @ query
+        if len(found) > k + 1:  # rows of the k + 1 best different vectors, and of any that tie with the last of them
+            least = np.partition(scores, len(scores) - k - 1)[len(scores) - k - 1]
+            keep = scores >= least - 1e-9 * max(1.0, abs(least))
+            found, vectors = found[keep], vectors[keep]
+        exact = (vectors * query).sum(axis=1)
+        members = [self.members[f] for f in found]
+        ids, exact = np.concatenate(members), np.repeat(exact, [len(m) for m in members])
+        ids, exact = ids[ids != own], exact[ids != own]
+        top = np.lexsort((ids, -exact))[:k]
+        return ids[top], exact[top]
 
 
 def _search(batches: Iterator[pd.DataFrame], longest: float, k: int) -> Iterator[pd.DataFrame]:
+    """Rows are tiles, shard by shard; a query's best over all the tiles of this task come out once, at the end."""
     last, shard = None, None
+    best: dict[tuple[int, bytes], tuple[np.ndarray, np.ndarray]] = {}
     for batch in batches:
         for number, ids, vectors, query_ids, queries in zip(batch["shard"], batch["ids"], batch["vectors"], batch["query_ids"], batch["queries"], strict=True):
             if last != number:
                 ids = np.frombuffer(ids, dtype="<i8")
                 last, shard = number, Shard(ids, np.frombuffer(vectors, dtype="<f8").reshape(len(ids), -1), longest, k)
             query_ids = np.frombuffer(query_ids, dtype="<i8")
-            q, v, s = shard.search(query_ids, np.frombuffer(queries, dtype="<f8").reshape(len(query_ids), -1), k)
-            yield pd.DataFrame({"query_id": q, "vec_id": v, "score": s})
+            queries = np.frombuffer(queries, dtype="<f8").reshape(len(query_ids), -1)
+            for q, vector, (v, s) in zip(query_ids.tolist(), queries, shard.search(query_ids, queries, k), strict=True):
+                key = (q, vector.tobytes())
+                if key in best:
+                    v, s = np.concatenate([best[key][0], v]), np.concatenate([best[key][1], s])
+                    top = np.lexsort((v, -s))[:k]
+                    v, s = v[top], s[top]
+                best[key] = (v, s)
+    if best:
+        yield pd.DataFrame({"query_id": np.repeat([q for q, _ in best], [len(v) for v, _ in best.values()]), "vec_id": np.concatenate([v for v, _ in best.values()]), "score": np.concatenate([s for _, s in best.values()])})
 
 
 def nearest(vectors: DataFrame, queries: Column, vec_id: str = "vec_id", embedding: str = "embedding", k: int = K) -> DataFrame:
@@ -138,7 +171,9 @@ def nearest(vectors: DataFrame, queries: Column, vec_id: str = "vec_id", embeddi
     asked = same.where(queries).withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit("query")), F.lit(blocks)))
     packed = asked.groupBy("block").applyInPandas(partial(_pack, key="block"), "block long, ids binary, vectors binary")
     blocked = packed.select("block", F.col("ids").alias("query_ids"), F.col("vectors").alias("queries"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"))
-    tiles = index.join(blocked, "shard").repartition(max(1, shards * blocks // 4), "shard", "block")
+    group = F.floor(F.col("shard") / GROUP)
+    tasks = max(1, math.ceil(shards / GROUP) * blocks)
+    tiles = index.join(blocked, "shard").repartition(2 * tasks, "block", group).sortWithinPartitions("shard", "block")
     found = tiles.select("shard", "ids", "vectors", "query_ids", "queries").mapInPandas(partial(_search, longest=math.sqrt(facts.longest), k=k), "query_id long, vec_id long, score double").distinct()
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
