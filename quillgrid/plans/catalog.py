@@ -179,6 +179,18 @@ def vector_topk_batch(spark, sf_dir):
     return vector_ranked(spark, sf_dir, 10).select("qid", "doc_id", r6(F.col("score")).alias("score"), "rank")
 
 
+@register(f"WITH {_VECTOR} SELECT doc_id, round(score, 6) score, rank::INT AS rank FROM vr WHERE qid = 0 AND rank <= 10")
+def vector_topk(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "doc_id")
+    scored = retrieval.vector_scores(rows, vector_queries(spark, sf_dir).where("qid = 0"), "doc_id", "embedding").withColumn("score", F.round("score", 9))
+    return retrieval.top_k(scored, 10, "doc_id").select("doc_id", r6(F.col("score")).alias("score"), "rank")
+
+
+@register("SELECT conv_id, turn AS position, role, text FROM conversations WHERE conv_id IN (1, 2)")
+def conversation_messages(spark, sf_dir):
+    return messages(spark, sf_dir).where(F.col("conv_id").isin(1, 2)).select("conv_id", "position", "role", "text")
+
+
 _TEXT_QUERIES = "q AS (SELECT doc_id qid, array_to_string(string_split(text, ' ')[1:5], ' ') query FROM documents JOIN embeddings ON doc_id = vec_id WHERE doc_id % 50 = 0)"
 
 
