@@ -119,7 +119,8 @@ def deletions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_l
     each = rows.dropDuplicates(["rid"])
     telling = F.array_distinct(F.transform(F.filter(F.arrays_zip("hashes", "words"), lambda x: x["words"] >= min_line_words), lambda x: x["hashes"]))
     held = each.select("rid", F.struct(F.col("id").isNull(), "id", "rid").alias("place"), F.explode(telling).alias("hash"))
-    first = held.groupBy("hash").agg(F.count("*").alias("n"), F.min("place").alias("first")).where("n > 1").select("hash", F.col("first.rid").alias("early"))
+    # written and read again, so that the join below deals both sides out itself and a frequent line's rows can be split
+    first = materialize(held.groupBy("hash").agg(F.count("*").alias("n"), F.min("place").alias("first")).where("n > 1").select("hash", F.col("first.rid").alias("early")), "first-holders")
     pairs = held.select("rid", "hash").join(first, "hash").where("rid <> early").select("rid", "early").distinct()
     sides = each.select("rid", F.col("hashes").alias("later"), "words")
     joined = pairs.join(sides, "rid").join(each.select(F.col("rid").alias("early"), F.col("hashes").alias("earlier")), "early")
