@@ -211,9 +211,9 @@ def media_store(texts: DataFrame, text: str) -> DataFrame:
 
 
 def read_back(media: DataFrame) -> DataFrame:
-    """What the stored bytes say, one row a digest."""
+    """What the stored bytes say, one row a digest; written, so that a join with many references to one digest can split them."""
     read = media.select("digest", "media").mapInPandas(_read, READ)
-    return read.groupBy("digest").agg(*[F.min(c).alias(c) for c in read.columns if c != "digest"])
+    return materialize(read.groupBy("digest").agg(*[F.min(c).alias(c) for c in read.columns if c != "digest"]), "media-read")
 
 
 def documents_as_media(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
