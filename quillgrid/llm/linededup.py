@@ -1,10 +1,15 @@
 """Line deduplication by pairwise alignment.
 
-Documents that overlap are found through shared line hashes: for a line that several documents hold, each later one is
-paired with the earliest. Rare lines name the partners that matter; frequent lines, of which pairs of all holders would
-grow with the square, pair with their earliest holder in the same way, so that no line is left out and the pairs are at
-most the lines. A pair is aligned by patience diff over its line hashes, and aligned common blocks of enough words are
-deleted from the later document.
+Only a block of enough words can be deleted, so documents that overlap are found through the hashes of windows: the
+shortest runs of lines, from each line on and up to each line, that reach these words. A line of enough words is its own
+window. Every block that two documents share holds a window around each of its lines, so no length of line is left out.
+For a window that several documents hold, each later one is paired with the earliest, so that pairs of frequent windows
+don't grow with the square. A pair is aligned by patience diff over its line hashes, and aligned common blocks of enough
+words are deleted from the later document. Exact copies of an earlier text, of any length, lose all their lines at once
+and pair with nothing.
+
+Words are runs between blanks; in scripts that are written without blanks, each ideograph or kana is a word, and each four
+characters of Thai, Lao, Tibetan, Burmese or Khmer.
 
 Earlier and later are by doc_id, null last, then by a hash of the row. Only hashes are exchanged; texts move once, to
 meet their deletions.
@@ -17,14 +22,19 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import partial
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillgrid.llm.common import materialize
 
-MIN_LINE_WORDS = 3  # a line of fewer words names no partner
 MIN_BLOCK_WORDS = 5  # an aligned block of fewer words stays
+_IDEOGRAPHS, _ABUGIDAS = r"\x{3040}-\x{30FF}\x{3400}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{3FFFF}", r"\x{0E00}-\x{0FFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}"
+WORD = rf"[^\x20\x09-\x0D{_IDEOGRAPHS}{_ABUGIDAS}]+|[{_IDEOGRAPHS}]|[{_ABUGIDAS}]{{1,4}}"
+_BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2^64
 
 
 def _anchors(a: list[int], b: list[int], i0: int, i1: int, j0: int, j1: int) -> list[tuple[int, int]]:
@@ -98,6 +108,37 @@ def blocks(matches: list[tuple[int, int]], words: list[int], least: int) -> list
     return out
 
 
+def windows(hashes: np.ndarray, words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, starts, ends): the shortest runs of lines that begin or end at each line and have at least ``least`` words.
+
+    A key is a polynomial over the run's line hashes modulo 2^64: equal runs have equal keys wherever they stand."""
+    n = len(words)
+    sums = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
+    if sums[-1] < least:
+        none = np.zeros(0, dtype=np.int64)
+        return none, none, none
+    ends = np.searchsorted(sums, sums[:-1] + least, "left")
+    starts = np.searchsorted(sums, sums[1:] - least, "right") - 1
+    runs = np.concatenate([np.arange(n) * (n + 1) + ends, starts * (n + 1) + np.arange(1, n + 1)])
+    runs = np.unique(runs[np.concatenate([ends <= n, starts >= 0])])
+    starts, ends = runs // (n + 1), runs % (n + 1)
+    powers = np.cumprod(np.full(n, _BASE, dtype=np.uint64))
+    inverse = np.cumprod(np.full(n, pow(_BASE, -1, 1 << 64), dtype=np.uint64))
+    totals = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(hashes.view(np.uint64) * powers)])
+    return ((totals[ends] - totals[starts]) * inverse[starts]).view(np.int64), starts, ends
+
+
+def _with_windows(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        hashes, words = batch.column("hashes"), batch.column("words")
+        h, w, at = hashes.values.to_numpy(zero_copy_only=False), words.values.to_numpy(zero_copy_only=False), hashes.offsets.to_numpy()
+        first = words.offsets.to_numpy()
+        found = [windows(h[at[i] : at[i + 1]], w[first[i] : first[i + 1]], least) for i in range(len(batch))]
+        offsets = pa.array(np.concatenate([[0], np.cumsum([len(keys) for keys, _, _ in found])]).astype(np.int32))
+        columns = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(part).astype(kind))) if found else pa.array([], pa.list_(pa.from_numpy_dtype(kind))) for part, kind in zip(zip(*found, strict=True) if found else [()] * 3, (np.int64, np.int32, np.int32), strict=True)]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, "keys", "starts", "ends"])
+
+
 def _align(batches: Iterator[pd.DataFrame], least: int) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
@@ -110,32 +151,44 @@ def _row_id(doc_id: Column, text: Column) -> Column:
     return F.xxhash64(doc_id, text)
 
 
-def deletions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_line_words: int = MIN_LINE_WORDS, min_block_words: int = MIN_BLOCK_WORDS) -> DataFrame:
+def _read(docs: DataFrame, doc_id: str, text: str, least: int) -> DataFrame:
+    """(rid, place, copy, hashes, words, keys, starts, ends) of each different row; copy is the hash of a text that isn't empty."""
+    rid, lines = _row_id(F.col(doc_id), F.col(text)), F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
+    read = docs.select(rid.alias("rid"), F.col(doc_id).alias("id"), F.when(F.length(text) > 0, F.xxhash64(text)).alias("copy"), lines.alias("lines"))
+    words = F.transform("lines", lambda x: F.regexp_count(x, F.lit(WORD)))
+    rows = read.select("rid", F.struct(F.col("id").isNull(), "id", "rid").alias("place"), "copy", F.transform("lines", lambda x: F.xxhash64(x)).alias("hashes"), words.alias("words"))
+    schema = T.StructType([*rows.schema.fields, T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("starts", T.ArrayType(T.IntegerType())), T.StructField("ends", T.ArrayType(T.IntegerType()))])
+    return materialize(rows.mapInArrow(partial(_with_windows, least=least), schema).dropDuplicates(["rid"]), "lines")
+
+
+def deletions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_block_words: int = MIN_BLOCK_WORDS) -> DataFrame:
     """(rid, lines): for each row (by hash of doc_id and text) that loses any, the places of the lines it loses."""
-    lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
-    read = docs.select(_row_id(F.col(doc_id), F.col(text)).alias("rid"), F.col(doc_id).alias("id"), lines.alias("lines"))
-    words = F.transform("lines", lambda x: F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+")))
-    rows = materialize(read.select("rid", "id", F.transform("lines", lambda x: F.xxhash64(x)).alias("hashes"), words.alias("words")), "lines")
-    each = rows.dropDuplicates(["rid"])
-    telling = F.array_distinct(F.transform(F.filter(F.arrays_zip("hashes", "words"), lambda x: x["words"] >= min_line_words), lambda x: x["hashes"]))
-    held = each.select("rid", F.struct(F.col("id").isNull(), "id", "rid").alias("place"), F.explode(telling).alias("hash"))
-    # written and read again, so that the join below deals both sides out itself and a frequent line's rows can be split
+    each = _read(docs, doc_id, text, min_block_words)
+    # written and read again, so that the joins below deal both sides out themselves and a frequent key's rows can be split
+    twins = materialize(each.where("copy is not null").groupBy("copy").agg(F.count("*").alias("n"), F.min("place").alias("first")).where("n > 1").select("copy", F.col("first.rid").alias("early")), "first-copies")
+    copies = materialize(each.select("rid", "copy", F.size("words").alias("n")).join(twins, "copy").where("rid <> early").select("rid", "n"), "copies")
+    held = each.join(copies, "rid", "left_anti").select("rid", "place", F.explode(F.array_distinct("keys")).alias("hash"))
     first = materialize(held.groupBy("hash").agg(F.count("*").alias("n"), F.min("place").alias("first")).where("n > 1").select("hash", F.col("first.rid").alias("early")), "first-holders")
     pairs = held.select("rid", "hash").join(first, "hash").where("rid <> early").select("rid", "early").distinct()
+    lost = _lost(pairs, each, min_block_words).groupBy("rid").agg(F.collect_list("line").alias("lines"))
+    return lost.unionByName(copies.select("rid", F.sequence(F.lit(0), F.col("n") - 1).alias("lines")))
+
+
+def _lost(pairs: DataFrame, each: DataFrame, least: int) -> DataFrame:
+    """(rid, line): what the later documents of ``pairs`` (rid, early) lose."""
     sides = each.select("rid", F.col("hashes").alias("later"), "words")
     joined = pairs.join(sides, "rid").join(each.select(F.col("rid").alias("early"), F.col("hashes").alias("earlier")), "early")
-    lost = joined.select("rid", "later", "words", "earlier").mapInPandas(partial(_align, least=min_block_words), "rid long, line int").distinct()
-    return lost.groupBy("rid").agg(F.collect_list("line").alias("lines"))
+    return joined.select("rid", "later", "words", "earlier").mapInPandas(partial(_align, least=least), "rid long, line int").distinct()
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_line_words: int = MIN_LINE_WORDS, min_block_words: int = MIN_BLOCK_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_block_words: int = MIN_BLOCK_WORDS) -> DataFrame:
     """``docs`` with the text of each row less the lines that an earlier document has, and lines_before, lines_deleted.
 
-    A row that loses nothing keeps its text to the byte; an exact copy of an earlier document keeps an empty text. Rows
+    A row that loses nothing keeps its text to the byte; an exact copy of an earlier document, however short, keeps an empty text. Rows
     that repeat doc_id and text are one document and don't delete each other's lines. Null text stays null (0 lines
     deleted). A null doc_id is later than any other. No rows: none. Columns lines_before and lines_deleted are replaced
     if ``docs`` has them; all others pass unread."""
-    gone = deletions(docs, doc_id, text, min_line_words, min_block_words).select(F.col("rid").alias("_rid"), F.col("lines").alias("_gone"))
+    gone = deletions(docs, doc_id, text, min_block_words).select(F.col("rid").alias("_rid"), F.col("lines").alias("_gone"))
     others = [c for c in docs.columns if c not in ("lines_before", "lines_deleted")]
     met = docs.withColumn("_rid", _row_id(F.col(doc_id), F.col(text))).join(gone, "_rid", "left")
     lines = F.split(F.col(text), "\n", -1)

@@ -103,6 +103,16 @@ def test_lines_go_from_the_later_document_only(spark):
     assert found[7].text == both[3][1]  # one short line is no block
 
 
+def test_short_lines_scripts_without_blanks_and_short_copies_go(spark):
+    menu = "\n".join(f"dish{i} sauce{i}" for i in range(30))
+    han = "".join(chr(0x4E00 + 7 * i) for i in range(40))
+    thai = "".join(chr(0x0E01 + i % 40) for i in range(40))
+    rows = [(1, "top of one\n" + menu), (2, "head of another\n" + menu + "\nend"), (3, "one\n" + han), (4, "two\n" + han), (5, "one\n" + thai), (6, "two\n" + thai), (7, "just two"), (8, "just two"), (9, "a\nb\nc"), (10, "a\nb\nd"), (11, ""), (12, "")]
+    found = {r.doc_id: (r.text, r.lines_deleted) for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[2] == ("head of another\nend", 30) and found[4] == ("two", 1) and found[6] == ("two", 1) and found[8] == ("", 1)
+    assert all(found[i] == (t, 0) for i, t in rows if i in (1, 3, 5, 7, 9, 10, 11, 12))
+
+
 def test_line_dedup_of_odd_rows(odd, odd_rows, none):
     found = linededup.dedup_lines(odd).collect()
     assert len(found) == len(odd_rows)
