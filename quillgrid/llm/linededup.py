@@ -3,10 +3,13 @@
 Only a block of enough words can be deleted, so documents that overlap are found through the hashes of windows: the
 shortest runs of lines, from each line on and up to each line, that reach these words. A line of enough words is its own
 window. Every block that two documents share holds a window around each of its lines, so no length of line is left out.
-For a window that several documents hold, each later one is paired with the earliest, so that pairs of frequent windows
-don't grow with the square. A pair is aligned by patience diff over its line hashes, and aligned common blocks of enough
-words are deleted from the later document. Exact copies of an earlier text, of any length, lose all their lines at once
-and pair with nothing.
+A pair is aligned by patience diff over its line hashes, and aligned common blocks of enough words are deleted from the
+later document. Exact copies of an earlier text, of any length, lose all their lines at once and pair with nothing.
+
+For a window that several documents hold, each later one is paired with the earliest, then, in rounds, with its next
+earlier holders, four times as many in each round as before, as long as a line of the window is left. So what goes is what
+alignment with every earlier document would delete, while pairs of frequent windows grow with the square only where
+alignment keeps failing.
 
 Words are runs between blanks; in scripts that are written without blanks, each ideograph or kana is a word, and each four
 characters of Thai, Lao, Tibetan, Burmese or Khmer.
@@ -25,7 +28,7 @@ from functools import partial
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,6 +37,7 @@ from quillgrid.llm.common import materialize
 MIN_BLOCK_WORDS = 5  # an aligned block of fewer words stays
 _IDEOGRAPHS, _ABUGIDAS = r"\x{3040}-\x{30FF}\x{3400}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{3FFFF}", r"\x{0E00}-\x{0FFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}"
 WORD = rf"[^\x20\x09-\x0D{_IDEOGRAPHS}{_ABUGIDAS}]+|[{_IDEOGRAPHS}]|[{_ABUGIDAS}]{{1,4}}"
+ROUND_GROWTH = 4  # each round tries this many times the holders of the round before
 _BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2^64
 
 
@@ -147,6 +151,19 @@ def _align(batches: Iterator[pd.DataFrame], least: int) -> Iterator[pd.DataFrame
         yield pd.DataFrame(rows, columns=["rid", "line"]).astype({"rid": "int64", "line": "int32"})
 
 
+def _open(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        rows = []
+        for rid, keys, starts, ends, lines in zip(batch["rid"], batch["keys"], batch["starts"], batch["ends"], batch["lines"], strict=True):
+            gone = np.zeros(ends.max() + 1, dtype=np.int64)
+            if lines is not None:
+                gone[[at for at in lines if at < len(gone)]] = 1
+            sums = np.concatenate([[0], np.cumsum(gone)])
+            left = keys[sums[ends] - sums[starts] < ends - starts]
+            rows += [(rid, key) for key in np.unique(left)]
+        yield pd.DataFrame(rows, columns=["rid", "hash"]).astype({"rid": "int64", "hash": "int64"})
+
+
 def _row_id(doc_id: Column, text: Column) -> Column:
     return F.xxhash64(doc_id, text)
 
@@ -168,10 +185,32 @@ def deletions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_b
     twins = materialize(each.where("copy is not null").groupBy("copy").agg(F.count("*").alias("n"), F.min("place").alias("first")).where("n > 1").select("copy", F.col("first.rid").alias("early")), "first-copies")
     copies = materialize(each.select("rid", "copy", F.size("words").alias("n")).join(twins, "copy").where("rid <> early").select("rid", "n"), "copies")
     held = each.join(copies, "rid", "left_anti").select("rid", "place", F.explode(F.array_distinct("keys")).alias("hash"))
-    first = materialize(held.groupBy("hash").agg(F.count("*").alias("n"), F.min("place").alias("first")).where("n > 1").select("hash", F.col("first.rid").alias("early")), "first-holders")
-    pairs = held.select("rid", "hash").join(first, "hash").where("rid <> early").select("rid", "early").distinct()
-    lost = _lost(pairs, each, min_block_words).groupBy("rid").agg(F.collect_list("line").alias("lines"))
-    return lost.unionByName(copies.select("rid", F.sequence(F.lit(0), F.col("n") - 1).alias("lines")))
+    first = materialize(held.groupBy("hash").agg(F.count("*").alias("n"), F.min("place").alias("first")).where("n > 1").select("hash", "n", F.col("first.rid").alias("early")), "first-holders")
+    tried = materialize(held.select("rid", "hash").join(first, "hash").where("rid <> early").select("rid", "early").distinct(), "pairs")
+    lost = materialize(_lost(tried, each, min_block_words), "lost")
+    todo = _untried(each, tried, lost).join(first.where("n > 2"), "hash").where("rid <> early").select("rid", "hash")
+    todo = materialize(todo, "untried")
+    holders = held.join(todo.select("hash").distinct(), "hash", "left_semi")
+    ranked = materialize(holders.select("rid", "hash", (F.row_number().over(Window.partitionBy("hash").orderBy("place")) - 1).alias("at")), "holders")
+    todo = materialize(todo.join(ranked, ["rid", "hash"]).where("at > 1"), "untried")
+    begin, many = 1, ROUND_GROWTH
+    while not todo.isEmpty():
+        each_try = todo.select("rid", "hash", F.explode(F.sequence(F.lit(begin), F.least(F.lit(begin + many), "at") - 1)).alias("at"))
+        pairs = each_try.join(ranked.withColumnRenamed("rid", "early"), ["hash", "at"]).select("rid", "early").distinct()
+        pairs = materialize(pairs.join(tried, ["rid", "early"], "left_anti"), "pairs")
+        lost, tried = lost.unionByName(materialize(_lost(pairs, each, min_block_words), "lost")), tried.unionByName(pairs)
+        begin, many = begin + many, many * ROUND_GROWTH
+        later = todo.where(F.col("at") > begin)
+        todo = materialize(later.join(_untried(each, later, lost), ["rid", "hash"], "left_semi"), "untried")
+    gone = lost.groupBy("rid").agg(F.collect_set("line").alias("lines"))
+    return gone.unionByName(copies.select("rid", F.sequence(F.lit(0), F.col("n") - 1).alias("lines")))
+
+
+def _untried(each: DataFrame, of: DataFrame, lost: DataFrame) -> DataFrame:
+    """(rid, hash): the windows of the documents in ``of`` of which a line is left."""
+    met = each.join(of.select("rid").distinct(), "rid", "left_semi").where(F.size("keys") > 0)
+    gone = lost.groupBy("rid").agg(F.collect_set("line").alias("lines"))
+    return met.select("rid", "keys", "starts", "ends").join(gone, "rid", "left").select("rid", "keys", "starts", "ends", "lines").mapInPandas(_open, "rid long, hash long")
 
 
 def _lost(pairs: DataFrame, each: DataFrame, least: int) -> DataFrame:

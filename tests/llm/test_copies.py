@@ -103,6 +103,32 @@ def test_lines_go_from_the_later_document_only(spark):
     assert found[7].text == both[3][1]  # one short line is no block
 
 
+def plain_lines(rows):
+    """Every document against every earlier one."""
+    size = lambda line: len(line.split())
+    out = {}
+    for i, text in rows:
+        lines, gone = text.split("\n"), set()
+        for k, other in rows:
+            if k < i:
+                earlier = other.split("\n")
+                names = {x: n for n, x in enumerate([*lines, *earlier])}
+                gone |= set(linededup.blocks(linededup.patience([names[x] for x in lines], [names[x] for x in earlier]), [size(x) for x in lines], 5))
+                gone |= set(range(len(lines))) if other == text else set()
+        out[i] = "\n".join(x for n, x in enumerate(lines) if n not in gone)
+    return out
+
+
+def test_lines_go_by_any_earlier_holder(spark):
+    rng = random.Random(4)
+    pool = [" ".join(f"w{i}x{j}" for j in range(i % 8)) for i in range(25)]
+    rows = [(i, "\n".join([f"own {i}", *rng.choices(pool, k=rng.randint(1, 15))])) for i in range(70)]
+    shared = [f"line {i} of more than five words" for i in range(20)]
+    rows += [(100 + i, "\n".join(rng.sample(shared, 20))) for i in range(40)] + [(200, "\n".join(["mine", *shared, *shared])), (201, "mine\n" + rows[3][1])]
+    found = {r.doc_id: r.text for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert found == plain_lines(rows)
+
+
 def test_short_lines_scripts_without_blanks_and_short_copies_go(spark):
     menu = "\n".join(f"dish{i} sauce{i}" for i in range(30))
     han = "".join(chr(0x4E00 + 7 * i) for i in range(40))
