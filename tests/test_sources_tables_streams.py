@@ -127,6 +127,33 @@ def test_ingestion_resumes_and_skips_duplicates(spark, tmp_path):
     assert spark.read.parquet(f"{root}/chunks").count() == 3
 
 
+def test_ingestion_takes_pdfs_and_indexes(spark, tmp_path):
+    def pages(content):
+        if content != b"ok":
+            raise ValueError("encrypted PDF")
+        return ["First page", "Second one"]
+
+    def broken(texts):
+        return [[1.0] for _ in texts] if "plain" in texts[0] else [[0.5] * 4 for _ in texts]
+
+    inbox, root = tmp_path / "in", f"{tmp_path}/store"
+    inbox.mkdir()
+    (inbox / "a.pdf").write_bytes(b"ok")
+    (inbox / "b.pdf").write_bytes(b"bad")
+    (inbox / "c.txt").write_text("plain text")
+    ingest.ingest_stream(spark, str(inbox), root, 4, 1, pages, broken, "m", 4).awaitTermination(120)
+    found = {r.filename: r for r in spark.read.parquet(f"{root}/documents").collect()}
+    assert {n: r.status for n, r in found.items()} == {"a.pdf": "ready", "b.pdf": "failed", "c.txt": "ready"}
+    assert "encrypted" in found["b.pdf"].error_message and found["a.pdf"].page_count == 2 and found["a.pdf"].text == "First page\n\nSecond one"
+    indexed = lambda: {r.document_id: (r.embedding, r.embedding_model) for r in ingest.read_embeddings(spark, root).collect()}
+    assert indexed() == {found["a.pdf"].document_id: ([0.5] * 4, "m")}
+    assert [r.error for r in spark.read.parquet(f"{root}/embeddings").where("error is not null").collect()] == ["the embedding provider returned an invalid vector"]
+    ingest.index_again(spark, root, lambda texts: [[0.25] * 4 for _ in texts], "n", 4)  # what is indexed is skipped
+    assert indexed() == {found["a.pdf"].document_id: ([0.5] * 4, "m"), found["c.txt"].document_id: ([0.25] * 4, "n")}
+    ingest.index_again(spark, root, lambda texts: [[0.75] * 4 for _ in texts], "o", 4, force=True)
+    assert {v for _, v in indexed().values()} == {"o"} and len(indexed()) == 2
+
+
 def test_rate_limits(spark, tmp_path):
     times = [0, 10, 20, 61, 62, 75]
     wanted = [True, True, False, True, False, True]
