@@ -107,11 +107,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     of its fingerprint, which is null only if no row there has a doc_id. An empty table gives no rows. Other columns,
     whatever their names, are not read."""
     prints = materialize(docs.select(F.col(doc_id).alias("doc_id"), fingerprint_column(F.col(text)).alias("fp")), "fingerprints")
+    return _grouped(prints).select("doc_id", "fp", "component_id")
+
+
+def _grouped(prints: DataFrame) -> DataFrame:
+    """Rows with doc_id and fp, and the component_id of each."""
     roots = connected_components(links(prints))
     each = prints.groupBy("fp").agg(F.min("doc_id").alias("least")).join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     named = each.groupBy("root").agg(F.min("least").alias("component_id"))
     by_print = each.join(named, "root").select("fp", "component_id")
-    return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(by_print, "fp")
 
 
 def hexadecimal(fp: Column) -> Column:
@@ -121,7 +126,10 @@ def hexadecimal(fp: Column) -> Column:
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` of which one stays of each near-duplicate group: the one with the smallest doc_id.
 
-    Repeated rows of that doc_id stay together; a group without any doc_id stays whole."""
-    found = near_duplicates(docs, doc_id, text).select(F.col("doc_id").alias("_id"), "component_id").distinct()
-    stays = found.where(F.col("component_id").isNull() | (F.col("_id") == F.col("component_id"))).select("_id")
-    return docs.join(stays, docs[doc_id].eqNullSafe(stays["_id"]), "left_semi")
+    Repeated rows of that doc_id in the group stay together; rows of one doc_id with texts of different groups are judged
+    each in its own group. A group without any doc_id stays whole."""
+    text_hash = F.xxhash64(F.col(text))
+    prints = materialize(docs.select(F.col(doc_id).alias("doc_id"), text_hash.alias("_hash"), fingerprint_column(F.col(text)).alias("fp")), "fingerprints")
+    found = _grouped(prints).where(F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id")))
+    stays = found.select(F.col("doc_id").alias("_id"), "_hash").distinct()
+    return docs.join(stays, docs[doc_id].eqNullSafe(stays["_id"]) & (F.xxhash64(docs[text]) == stays["_hash"]), "left_semi")

@@ -73,6 +73,12 @@ def test_keep_one_leaves_a_document_of_each_group(odd):
     assert {0, 3, 6, 8} <= set(kept) and not {1, 2, 4, 5} & set(kept)
 
 
+def test_keep_one_judges_each_row_in_its_own_group(spark):
+    rows = [(4, ""), (11, None), (11, "a long text of its own"), (None, ""), (None, "another text without any id here"), (7, "third one")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {tuple(r) for r in kept} == {rows[0], rows[2], rows[4], rows[5]} and len(kept) == 4
+
+
 def test_components_of_random_graphs_and_a_chain(spark):
     rng = random.Random(1)
     pairs = [(rng.randrange(80), rng.randrange(80)) for _ in range(60)] + [(i, i + 1) for i in range(100, 140)] + [(200, 200), (None, 3)]
