@@ -93,11 +93,16 @@ def mismatches(measured: DataFrame, truth: DataFrame, key: str, value: str) -> D
 
 
 def cache_summary(log: DataFrame, by: list[str], ok: Column, hit: Column, latency_ms: str) -> DataFrame:
-    """Requests, successes, hit rate and latency of hits and misses."""
+    """Requests, successes, hit rate and latency of hits and misses."""
     ms = F.col(latency_ms)
     return log.groupBy(*by).agg(F.count("*").alias("requests"), F.count_if(ok).alias("successes"), F.round(F.coalesce(F.try_divide(F.count_if(ok & hit), F.count_if(ok)), F.lit(0.0)), 6).alias("hit_rate"), F.round(F.percentile(F.when(ok & hit, ms), F.lit(0.95)), 3).alias("warm_p95"), F.round(F.percentile(F.when(ok & ~hit, ms), F.lit(0.95)), 3).alias("cold_p95"))
 
 
+def profile_medians(runs: DataFrame, measures: list[str], totals: tuple[str, ...] = ("requests", "errors")) -> DataFrame:
+    """(mode, repeat_rate) with the number of runs, sums of totals and the median of each measure, nulls left out."""
+    return runs.groupBy("mode", "repeat_rate").agg(F.count("*").alias("runs"), *[F.sum(c).alias(c) for c in totals], *[F.round(F.median(c), 3).alias(c) for c in measures])
+
+
 def check_control(baseline: DataFrame, candidate: DataFrame, fields: list[str] | None = None) -> None:
     """An error naming the control fields in which two one-row runs differ."""
     a, b = baseline.first(), candidate.first()

@@ -32,10 +32,11 @@ def next_positions(messages: DataFrame, key: str) -> DataFrame:
     return messages.groupBy(key).agg((F.max("position") + 1).alias("position"))
 
 
-def claim(jobs: DataFrame, worker: str, now: datetime) -> DataFrame:
-    """The oldest eligible job as claimed by a worker; no row if there is none."""
+def claim(jobs: DataFrame, worker: str, now: datetime, job_id: str | None = None) -> DataFrame:
+    """The oldest eligible job, or the given one if it is eligible, as claimed by a worker; no row if there is none."""
     at = F.lit(now)
-    first = jobs.where(eligible_jobs(at)).orderBy("created_at", "id").limit(1)
+    asked = jobs if job_id is None else jobs.where(F.col("id") == job_id)
+    first = asked.where(eligible_jobs(at)).orderBy("created_at", "id").limit(1)
     return first.withColumns({"status": F.lit("parsing"), "progress": F.lit(10), "attempts": F.col("attempts") + 1, "worker_id": F.lit(worker), "locked_at": at, "started_at": F.coalesce("started_at", at)})
 
 

@@ -65,3 +65,9 @@ def test_stability_and_mismatches(spark):
     got = spark.createDataFrame([(1, "x"), (2, "y"), (3, None)], "i int, v string")
     true = spark.createDataFrame([(1, "x"), (2, "z"), (3, None)], "i int, v string")
     assert tuple(E.mismatches(got, true, "i", "v").first()) == (1, 3)
+
+
+def test_medians_of_profiles(spark):
+    runs = spark.createDataFrame([("full", 0.8, 100, 1, 5.0), ("full", 0.8, 100, 0, 8.0), ("full", 0.8, 90, 0, None), ("full", 0.4, 10, 0, 3.0)], "mode string, repeat_rate double, requests int, errors int, p95_ms double")
+    found = {r.repeat_rate: (r.runs, r.requests, r.errors, r.p95_ms) for r in E.profile_medians(runs, ["p95_ms"]).collect()}
+    assert found == {0.8: (3, 290, 1, 6.5), 0.4: (1, 10, 0, 3.0)}

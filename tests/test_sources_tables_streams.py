@@ -76,6 +76,13 @@ def test_jobs(spark):
     assert tables.after_failure(jobs.where("id = 'c'"), "no", NOW, max_attempts=1).first().status == "failed"
 
 
+def test_claim_of_a_given_job(spark):
+    schema = "id string, status string, progress int, attempts int, worker_id string, error_message string, created_at timestamp, started_at timestamp, locked_at timestamp, next_attempt_at timestamp"
+    jobs = spark.createDataFrame([(i, s, 0, 0, None, None, NOW + timedelta(seconds=n), None, None, None) for n, (i, s) in enumerate([("a", "queued"), ("b", "queued"), ("c", "parsing")])], schema)
+    assert [(r.id, r.worker_id) for r in tables.claim(jobs, "w", NOW, "b").collect()] == [("b", "w")]
+    assert tables.claim(jobs, "w", NOW, "c").count() == 0
+
+
 def test_latest_and_tombstones(spark):
     log = spark.createDataFrame([(1, 1, "a", False), (1, 2, "b", False), (2, 1, "c", False), (2, 2, "c", True)], "k int, seq int, v string, gone boolean")
     assert [(r.k, r.v) for r in tables.latest(log, ["k"], "seq", "gone").collect()] == [(1, "b")]
