@@ -25,16 +25,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillgrid.llm.common import bounded_batches
+
 DECAY = 0.6
 MAX_GAP = 2
 LETTERS = 64  # codes: 0 none, 1-26 a-z, 27-61 all others by remainder, 62 start, 63 end
 PIECE = 24  # letters of a word that are compared at once; longer ones are read in overlapping pieces
-LANDMARKS = 384
+LANDMARKS = 640
 TRAIN_TOXIC = 1200  # documents that the machine is fitted on, the first by a hash of their id
 TRAIN_CLEAN = 4000
+TRAIN_CHARS = 20_000  # documents with more characters aren't in the sample, so that it is bounded in bytes too
 NEGATIVES = 4_000
 ROUNDS = 5
 COST = 10.0
+HARD = 4.0  # what a clean word that the machine took for an insult weighs, to another clean word's 1
 CACHE_WORDS = 300_000
 THRESHOLD = 0.3
 
@@ -133,8 +137,6 @@ class Machine:
     bias: float
     slope: float = 1.0
     middle: float = 0.0
-    #: Words of clean training sentences that the machine would put on or over its margin: they are no insults.
-    cleared: dict[str, float] = field(default_factory=dict, repr=False)
     known: dict[str, float] = field(default_factory=dict, repr=False)
 
     def values(self, words: list[str]) -> np.ndarray:
@@ -158,8 +160,7 @@ class Machine:
             self.known.clear()
         new = list(set().union(*found).difference(self.known))
         if new:
-            letters = [letters_of(w) for w in new]
-            self.known.update((w, self.cleared.get(k, v)) for w, k, v in zip(new, letters, self.values(letters).tolist(), strict=True))
+            self.known.update(zip(new, self.values([letters_of(w) for w in new]).tolist(), strict=True))
         return np.array([max(map(self.known.__getitem__, ws), default=self.bias) for ws in found])
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
@@ -235,17 +236,17 @@ def train(texts: list[str | None], toxic: list[int], share: float | None = None,
     hard: list[int] = []
     machine = basis = None
     for turn in range(ROUNDS):
-        if turn < 3:
+        if turn < ROUNDS - 1:
             # landmarks: insults, the clean words most like them so far, and any others
-            half = LANDMARKS // 2
-            first = positive[:half] + [w for w in hard[: half // 2] if w not in set(positive)]
+            third = LANDMARKS // 3
+            first = positive[:third] + [w for w in hard[:third] if w not in set(positive)]
             chosen = first + [negative[i] for i in sorted(rng.choice(len(negative), min(len(negative), LANDMARKS - len(first)), replace=False))]
             basis = Landmarks.of([names[w] for w in chosen])
             values, vectors = np.linalg.eigh((basis.columns.T @ basis.columns).astype(np.float64))
             whiten = vectors / np.sqrt(np.maximum(values, 1e-3))
         x = (basis.kernel([names[w] for w in positive + negative]) @ whiten).astype(np.float32)
         labels = np.array([1.0] * len(positive) + [-1.0] * len(negative))
-        seen = np.concatenate([np.log1p(in_toxic[positive]), np.ones(len(negative))])
+        seen = np.concatenate([np.log1p(in_toxic[positive]), np.where(np.isin(negative, hard), HARD, 1.0)])
         seen[: len(positive)] *= 0.5 * len(negative) / max(1e-9, seen[: len(positive)].sum())
         v, bias = _linear_svm(x, labels, COST * seen / 2)
         del x
@@ -259,16 +260,11 @@ def train(texts: list[str | None], toxic: list[int], share: float | None = None,
         close = clean_words[value[clean_words] > -0.9]
         hard = [w for w in close[np.lexsort((close, -value[close]))].tolist() if w not in set(positive)][:NEGATIVES]
         negative = sorted((set(negative) | set(hard)) - set(positive))
-    close = clean_words[(value[clean_words] > -1) & (in_clean[clean_words] > 0.02 * in_toxic[clean_words])]
-    # the curve is fitted on toxic documents and on every second clean one, with only the others' words cleared:
-    # words of documents that the machine has not seen are not cleared either
+    # the curve is fitted on toxic documents and on every second clean one
     clean = np.flatnonzero(y == 0)
-    known = np.unique(np.concatenate([docs[d] for d in clean[::2]]))
-    machine.cleared = dict.fromkeys((names[w] for w in np.intersect1d(close, known)), -1.0)
     used = np.sort(np.concatenate([np.flatnonzero(y), clean[1::2] if len(clean) > 1 else clean]))
     top, goals = np.concatenate([machine.largest([texts[d] for d in used[at : at + 500]]) for at in range(0, len(used), 500)]), y[used]
     machine.known.clear()
-    machine.cleared = dict.fromkeys((names[w] for w in close), -1.0)
     # clean documents weigh as in all labelled documents, not as in the sample
     odds = (1 - share) / share if share and share < 1 else n_clean / n_toxic
     cost = np.where(goals == 1, 1.0, odds * (goals == 1).sum() / max(1, (goals == 0).sum()))
@@ -296,7 +292,7 @@ def held_out(doc_id: Column) -> Column:
 
 def training_rows(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", max_toxic: int = TRAIN_TOXIC, max_clean: int = TRAIN_CLEAN) -> tuple[list, float | None]:
     """Rows and toxic share: a bounded sample of labelled documents outside the held-out quarter, the first by a hash of
-    the id, and the share of all such labels."""
+    the id, one row an id (of rows that repeat it, the least text), and the share of all such labels."""
     known = labels.select(F.col(doc_id).alias("_id"), F.col(toxic).cast("int").alias("_toxic")).where(F.col("_toxic").isNotNull() & F.col("_id").isNotNull() & ~held_out(F.col("_id")))
     known = known.groupBy("_id").agg(F.max("_toxic").alias("_toxic"))
     chosen = None
@@ -304,9 +300,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
         some = known.where((F.col("_toxic") > 0) == bool(value)).orderBy(F.xxhash64("_id"), "_id").limit(most)
         chosen = some if chosen is None else chosen.union(some)
     # at most max_toxic + max_clean ids: a bounded side
-    joined = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_id")
+    joined = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).where(F.coalesce(F.length("_text"), F.lit(0)) <= TRAIN_CHARS).join(F.broadcast(chosen), "_id")
     share = known.agg(F.avg((F.col("_toxic") > 0).cast("double"))).first()[0]
-    return joined.select("_id", "_text", "_toxic").collect(), share
+    return joined.groupBy("_id", "_toxic").agg(F.min("_text").alias("_text")).collect(), share
 
 
 def score_documents(docs: DataFrame, machine: Machine, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -322,12 +318,12 @@ def score_documents(docs: DataFrame, machine: Machine, doc_id: str = "doc_id", t
         own = shared.value
         return pd.Series(np.concatenate([own.scores(texts.iloc[i : i + 200].tolist()) for i in range(0, len(texts), 200)]) if len(texts) else np.zeros(0))
 
-    scored = docs.select(F.col(doc_id).alias("doc_id"), held_out(F.col(doc_id)).alias("held_out"), score(F.col(text)).alias("score"))
+    scored = bounded_batches(docs).select(F.col(doc_id).alias("doc_id"), held_out(F.col(doc_id)).alias("held_out"), score(F.col(text)).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows, share = training_rows(docs, labels)
-    rows.sort(key=lambda r: (r["_id"], r["_text"] or ""))
+    rows.sort(key=lambda r: r["_id"])
     machine = train([r["_text"] for r in rows], [r["_toxic"] for r in rows], share)
     return score_documents(docs, machine)
