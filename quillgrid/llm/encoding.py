@@ -13,7 +13,7 @@ import importlib.util
 import os
 import re
 from array import array
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable
 from functools import cache
 
 import numpy as np
@@ -48,6 +48,23 @@ def _byte_letters() -> dict[int, str]:
 
 
 _LETTERS = _byte_letters()
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII marks but the apostrophe, which may begin a piece with letters
+
+
+class _Known(dict):
+    """Units made at the first look-up; a full dictionary starts anew between texts."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, unit: str) -> bytes:
+        found = self[unit] = self.make(unit)
+        return found
+
+    def trim(self) -> None:
+        if len(self) > CACHE_UNITS:
+            self.clear()
 
 
 class WordTokens:
@@ -61,32 +78,28 @@ class WordTokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.units: dict[str, bytes] = {}
-        self.stops = {c: self._whole(c) for c in ".,"}
+        self.units, self.marks = _Known(self._unit), _Known(self._whole)
 
     def _whole(self, text: str) -> bytes:
         return array("H", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _word(self, letters: str) -> bytes:
         """Of lower-case letters only: one piece for the model, without the other steps."""
-        return array("H", [t.id for t in self.model.tokenize(letters.encode().decode("latin-1").translate(_LETTERS))]).tobytes()
+        piece = letters if letters.isascii() else letters.encode().decode("latin-1").translate(_LETTERS)
+        return array("H", [t.id for t in self.model.tokenize(piece)]).tobytes()
 
     def _unit(self, unit: str) -> bytes:
-        if unit.isalpha():
-            return self._word(unit)
-        if unit[-1] in self.stops and (word := unit[:-1]).isalpha():
-            return (self.units.get(word) or self._word(word)) + self.stops[unit[-1]]
-        return self._whole(unit)
-
-    def encode_all(self, texts: Sequence[str]) -> Iterable[np.ndarray]:
-        split = [None if _ODD_WORD.search(x) else x.lower().split() for x in texts]
-        known = self.units
-        if len(known) > CACHE_UNITS:
-            known.clear()
-        for w in set().union(*filter(None, split)).difference(known):
-            known[w] = self._unit(w)
-        for text, ws in zip(texts, split, strict=True):
-            yield np.frombuffer(self._whole(text) if ws is None else b"".join(map(known.__getitem__, ws)), dtype=self.dtype)
+        word = unit.rstrip(_MARKS)
+        if not word.isalpha():
+            return self._whole(unit)
+        return self._word(word) if len(word) == len(unit) else self._word(word) + self.marks[unit[len(word) :]]
+
+    def encode_all(self, texts: Iterable[str]) -> Iterable[np.ndarray]:
+        of = self.units.__getitem__
+        for text in texts:
+            self.units.trim()
+            self.marks.trim()
+            yield np.frombuffer(self._whole(text) if _ODD_WORD.search(text) else b"".join(map(of, text.lower().split())), dtype=self.dtype)
 
 
 class ByteTokens:
@@ -104,7 +117,7 @@ class ByteTokens:
         with open(path, "rb") as file:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
         self.encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.units: dict[str, bytes] = {}
+        self.units = _Known(lambda unit: self._ids(" " + unit))
         self.lengths = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
         for piece, rank in ranks.items():
             self.lengths[rank] = len(piece)
@@ -112,16 +125,16 @@ class ByteTokens:
     def _ids(self, text: str) -> bytes:
         return array("H", self.encoding.encode_ordinary(text)).tobytes()
 
-    def encode_all(self, texts: Sequence[str]) -> Iterable[np.ndarray]:
+    def encode_all(self, texts: Iterable[str]) -> Iterable[np.ndarray]:
         """A text's first unit is encoded as it is, each later one with the blank before it."""
-        split = [None if _odd_byte(x) else x.split(" ") for x in texts]
-        known = self.units
-        if len(known) > CACHE_UNITS:
-            known.clear()
-        for w in set().union(*(ws[1:] for ws in split if ws)).difference(known):
-            known[w] = self._ids(" " + w)
-        for text, ws in zip(texts, split, strict=True):
-            yield np.frombuffer(self._ids(text) if ws is None else self._ids(ws[0]) + b"".join(map(known.__getitem__, ws[1:])), dtype=self.dtype)
+        of = self.units.__getitem__
+        for text in texts:
+            self.units.trim()
+            if _odd_byte(text):
+                yield np.frombuffer(self._ids(text), dtype=self.dtype)
+            else:
+                first, *rest = text.split(" ")
+                yield np.frombuffer(self._ids(first) + b"".join(map(of, rest)), dtype=self.dtype)
 
     def encode(self, text: str) -> np.ndarray:
         return next(iter(self.encode_all([text])))

@@ -35,7 +35,7 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = tokenpack.pack_token_ids(table(spark, sf_dir, "documents"))
+    packed = tokenpack.write_matrices(tokenpack.pack_token_ids(table(spark, sf_dir, "documents")))
     return packed.select("sequence_id", "n_tokens", tokenpack.crc32("ids").alias("ids_crc32"), "cu_seqlens", "doc_ids", "doc_starts", "position_resets")
 
 

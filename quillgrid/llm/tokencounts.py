@@ -12,10 +12,11 @@ from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillgrid.llm.common import bounded_batches
 from quillgrid.llm.encoding import byte_tokens, clean, tokenizer_path
 
 RULES = ("majority", "start")
@@ -42,29 +43,24 @@ def sections_of(text: str, separator: str = "\n") -> list[str]:
     return [p + separator for p in parts[:-1]] + parts[-1:]
 
 
-def _count(batches: Iterator[pd.DataFrame], path: str, fields: list[str] | None, rule: str) -> Iterator[pd.DataFrame]:
+def _count(batches: Iterator[pa.RecordBatch], path: str, fields: list[str] | None, rule: str) -> Iterator[pa.RecordBatch]:
     tokens = byte_tokens(path)
     for batch in batches:
-        for at in range(0, len(batch), 200):
-            part = batch.iloc[at : at + 200]
-            if fields is None:
-                cut = [sections_of(clean(x)) for x in part["text"]]
-            else:
-                cut = [[clean(x) for x in row] for row in part[fields].itertuples(index=False)]
-            keys, section, start, chars, counts, crossings = [], [], [], [], [], []
-            for key, parts, ids in zip(part["key"], cut, tokens.encode_all(["".join(p) for p in cut]), strict=True):
-                sizes = np.array([len(p) for p in parts])
-                ends = np.cumsum([len(p.encode("utf-8", "surrogatepass")) for p in parts])
-                n, crossing = attribute(np.cumsum(tokens.lengths[ids]), ends, rule) if len(ids) else (np.zeros(len(parts), int), np.zeros(len(parts), int))
-                keys += [key] * len(parts)
-                section.append(np.arange(len(parts)))
-                start.append(np.cumsum(sizes) - sizes)
-                chars.append(sizes)
-                counts.append(n[: len(parts)])
-                crossings.append(crossing[: len(parts)])
-            if keys:
-                made = pd.DataFrame({"key": pd.array(keys, dtype="Int64")} | {name: np.concatenate(x) for name, x in (("section", section), ("start", start), ("n_chars", chars), ("n_tokens", counts), ("n_crossing", crossings))})
-                yield made
+        if fields is None:
+            cut = [sections_of(clean(x)) for x in batch.column("text").to_pylist()]
+        else:
+            cut = [[clean(x) for x in row] for row in zip(*(batch.column(f).to_pylist() for f in fields), strict=True)]
+        columns: list[list[np.ndarray]] = [[] for _ in range(6)]
+        for row, (parts, ids) in enumerate(zip(cut, tokens.encode_all(map("".join, cut)), strict=True)):
+            n = len(parts)
+            sizes = np.fromiter(map(len, parts), dtype=np.int64, count=n)
+            ends = np.cumsum(np.fromiter((len(p) if p.isascii() else len(p.encode("utf-8", "surrogatepass")) for p in parts), dtype=np.int64, count=n))
+            counts, crossing = attribute(np.cumsum(tokens.lengths[ids]), ends, rule) if len(ids) else (np.zeros(n, int), np.zeros(n, int))
+            for column, values in zip(columns, (np.full(n, row), np.arange(n), np.cumsum(sizes) - sizes, sizes, counts[:n], crossing[:n]), strict=True):
+                column.append(values)
+        if cut:
+            row, section, *rest = (np.concatenate(c) for c in columns)
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(row)), pa.array(section, pa.int32()), *(pa.array(c, pa.int64()) for c in rest)], ["key", "section", "start", "n_chars", "n_tokens", "n_crossing"])
 
 
 def token_counts(docs: DataFrame, key: str, text: str | None = None, fields: list[str] | None = None, tokenizer: str = "byte_bpe_50k.tiktoken", rule: str = "majority") -> DataFrame:
@@ -79,4 +75,4 @@ def token_counts(docs: DataFrame, key: str, text: str | None = None, fields: lis
         raise ValueError("give text or fields")
     names = None if fields is None else [f"f{i}" for i in range(len(fields))]
     columns = [F.col(text).alias("text")] if fields is None else [F.col(c).cast("string").alias(n) for c, n in zip(fields, names, strict=True)]
-    return docs.select(F.col(key).cast("long").alias("key"), *columns).mapInPandas(partial(_count, path=tokenizer_path(tokenizer), fields=names, rule=rule), OUT)
+    return bounded_batches(docs).select(F.col(key).cast("long").alias("key"), *columns).mapInArrow(partial(_count, path=tokenizer_path(tokenizer), fields=names, rule=rule), OUT)

@@ -14,11 +14,13 @@ from functools import partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillgrid.llm.common import bounded_batches, materialize
 from quillgrid.llm.encoding import byte_tokens, clean, tokenizer_path
 
 LENGTH = 2048
@@ -26,6 +28,8 @@ END = 50256
 BLOCK_TOKENS = 8_000_000  # held by a task at once
 
 OUT = "sequence_id long, n_tokens int, ids binary, cu_seqlens array<int>, doc_ids array<long>, doc_starts array<long>, position_resets array<int>"
+_OUT = pa.schema([("sequence_id", pa.int64()), ("n_tokens", pa.int32()), ("ids", pa.binary()), ("cu_seqlens", pa.list_(pa.int32())), ("doc_ids", pa.list_(pa.int64())), ("doc_starts", pa.list_(pa.int64())), ("position_resets", pa.list_(pa.int32()))])
+ROWS_AT_ONCE = 512  # of a matrix, handed to the JVM
 
 
 class Capacities:
@@ -77,35 +81,34 @@ def best_fit_decreasing(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def _rows(held: list[tuple[int | None, int, np.ndarray]], first: int, length: int) -> pd.DataFrame:
-    rows = []
-    for n, own in enumerate(best_fit_decreasing([len(ids) for _, _, ids in held], length), first):
-        pieces = [held[i] for i in own]
-        ends = np.cumsum([0] + [len(ids) for _, _, ids in pieces])
-        matrix = np.full(length, END, dtype="<u2")
-        matrix[: ends[-1]] = np.concatenate([ids for _, _, ids in pieces])
-        rows.append((n, int(ends[-1]), matrix.tobytes(), ends.astype("int32").tolist(), [d for d, _, _ in pieces], [s for _, s, _ in pieces], ends[:-1].astype("int32").tolist()))
-    return pd.DataFrame(rows, columns=["sequence_id", "n_tokens", "ids", "cu_seqlens", "doc_ids", "doc_starts", "position_resets"])
+def _rows(held: list[tuple[int | None, int, np.ndarray]], first: int, length: int) -> Iterator[pa.RecordBatch]:
+    bins = best_fit_decreasing([len(ids) for _, _, ids in held], length)
+    for at in range(0, len(bins), ROWS_AT_ONCE):
+        rows = []
+        for n, own in enumerate(bins[at : at + ROWS_AT_ONCE], first + at):
+            pieces = [held[i] for i in own]
+            ends = np.cumsum([0] + [len(ids) for _, _, ids in pieces]).tolist()
+            matrix = np.full(length, END, dtype="<u2")
+            matrix[: ends[-1]] = np.concatenate([ids for _, _, ids in pieces])
+            rows.append({"sequence_id": n, "n_tokens": ends[-1], "ids": matrix.tobytes(), "cu_seqlens": ends, "doc_ids": [d for d, _, _ in pieces], "doc_starts": [s for _, s, _ in pieces], "position_resets": ends[:-1]})
+        yield pa.RecordBatch.from_pylist(rows, _OUT)
 
 
-def _pack(batches: Iterator[pd.DataFrame], path: str, length: int, block_tokens: int) -> Iterator[pd.DataFrame]:
-    tokens = byte_tokens(path)
+def _pack(batches: Iterator[pa.RecordBatch], path: str, length: int, block_tokens: int) -> Iterator[pa.RecordBatch]:
+    tokens, end = byte_tokens(path), np.array([END], dtype="<u2")
     context = TaskContext.get()
     number = (context.partitionId() if context else 0) << 40
     held, size = [], 0
     for batch in batches:
-        for at in range(0, len(batch), 200):
-            part = batch.iloc[at : at + 200]
-            for doc_id, ids in zip(part["doc_id"], tokens.encode_all([clean(x) for x in part["text"]]), strict=True):
-                ids = np.append(ids, np.uint16(END))
-                held += [(None if pd.isna(doc_id) else int(doc_id), start, ids[start : start + length]) for start in range(0, len(ids), length)]
-                size += len(ids)
+        for doc_id, ids in zip(batch.column("doc_id").to_pylist(), tokens.encode_all(map(clean, batch.column("text").to_pylist())), strict=True):
+            ids = np.concatenate([ids, end])
+            held += [(doc_id, start, ids[start : start + length]) for start in range(0, len(ids), length)]
+            size += len(ids)
             if size >= block_tokens:
-                made = _rows(held, number, length)
-                number, held, size = number + len(made), [], 0
-                yield made
+                yield from _rows(held, number, length)
+                number, held, size = number + len(held), [], 0  # no block has more rows than pieces
     if held:
-        yield _rows(held, number, length)
+        yield from _rows(held, number, length)
 
 
 def pack_token_ids(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str = "byte_bpe_50k.tiktoken", length: int = LENGTH, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -115,12 +118,18 @@ def pack_token_ids(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     Null text is empty and gives the end id alone. A null doc_id stays null; repeated rows are packed each by itself; an
     empty table gives no rows. Other columns are not read."""
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(partial(_pack, path=tokenizer_path(tokenizer), length=length, block_tokens=block_tokens), OUT)
+    read = bounded_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return read.mapInArrow(partial(_pack, path=tokenizer_path(tokenizer), length=length, block_tokens=block_tokens), OUT)
 
 
-def write_matrices(packed: DataFrame, path: str) -> None:
-    """Packed rows as Parquet: column ``ids`` in order is the id matrix, the other columns its segment index."""
+def write_matrices(packed: DataFrame, path: str | None = None) -> DataFrame:
+    """Packed rows as Parquet, read back: column ``ids`` in order is the id matrix, the other columns its segment index.
+
+    Without a path they go to the shared folder."""
+    if path is None:
+        return materialize(packed, "matrices")
     packed.write.parquet(path)
+    return packed.sparkSession.read.schema(packed.schema).parquet(path)
 
 
 def unpack(packed: DataFrame) -> DataFrame:
