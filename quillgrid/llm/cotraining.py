@@ -1,10 +1,11 @@
 """Quality classifier by co-training.
 
-Two views of a document: its content (hashed byte trigrams of the text) and its page metadata (length, language, source,
-lines, and shares of letter cases, digits, marks and blanks). A logistic classifier for each view starts from the
-labelled sample. In each round a classifier labels the unlabelled documents it is surest of, good and bad, for the other
-one to learn from. At last each view is calibrated on labelled documents it hasn't learned from, and a document's score is the
-logistic mean of both. Fitting uses a bounded sample; every document is scored.
+Two views of a document that share no feature: its content (hashed byte trigrams of the text) and its page metadata (language,
+source, and the numbers of its characters, lines and words; which characters they are it doesn't see). A logistic classifier for each view
+starts from the labelled sample. In each round a classifier labels the unlabelled documents it is surest of, good and bad,
+for the other one to learn from. At last each view is calibrated on labelled documents it hasn't learned from, and a document's
+score is the logistic mean of both, each weighing what its calibration gives it. Fitting uses a bounded sample; every
+document is scored.
 """
 
 from __future__ import annotations
@@ -18,17 +19,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillgrid.llm.common import bounded_batches
+
 CONTENT = 2048  # hashed trigrams
 SAMPLE = 1500  # labelled documents of each class, the first by a hash of the id
 POOL = 3000  # unlabelled documents that the views label for each other
 ROUNDS = 4
-SURE = 60  # documents of each class that a view hands over in a round
-THRESHOLD = 0.5
-_MARKS = np.zeros(256, dtype=np.int64)
-for _kind, _bytes in enumerate(("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t\r", "\n", ".,;:'\"()-?", "!", "|", "#$%&*@^~<>{}[]\\/_+=`"), start=1):
-    _MARKS[np.frombuffer(_bytes.encode(), dtype=np.uint8)] = _kind
-_KINDS, _HASHED = 10, 24
-METADATA = _KINDS + 6 + _HASHED
+RIDGE = (1e-5, 1e-4)  # of the content and of the metadata view, whose few features say much where they are seldom
+SURE = 20  # documents of each class that a view hands over in a round
+THRESHOLD = 0.35  # what is rejected is gone, so doubtful documents stay
+#: Measures of a page on soft steps: (name, first step, width, steps).
+_MEASURES = (("log2 characters", 4.0, 1.0, 16), ("log2 characters a line", 3.0, 0.75, 16), ("log2 lines", 0.0, 0.75, 16), ("characters a word", 3.0, 0.4, 20))
+_HASHED = 64  # places of language and source
+METADATA = sum(n for *_, n in _MEASURES) + 1 + _HASHED
 
 
 def content_view(data: np.ndarray) -> np.ndarray:
@@ -44,22 +47,21 @@ def content_view(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def metadata_view(data: np.ndarray, lang: str | None, source: str | None) -> np.ndarray:
-    """Length, layout and origin; language and source fall into hashed places, null into one of its own."""
-    n = max(1, len(data))
-    kinds = np.bincount(_MARKS[data], minlength=_KINDS)[:_KINDS]
-    lines, words = kinds[5] + 1, kinds[4] + kinds[5] + 1
-    out = np.zeros(METADATA, dtype=np.float32)
-    out[:_KINDS] = np.sqrt(kinds / n)
-    out[_KINDS : _KINDS + 6] = (np.log1p(n) / 10, np.log1p(lines) / 5, np.log1p(n / lines) / 8, np.log1p(n / words) / 3, kinds[2] / max(1, kinds[1] + kinds[2]), (kinds[7] + kinds[8] + kinds[9]) / words)
-    for k, value in enumerate((lang, source)):
-        out[_KINDS + 6 + zlib.crc32(f"{k}{value}".encode("utf-8", "surrogatepass")) % _HASHED] += 0.3
+def metadata_view(n_chars: int | None, n_lines: int, n_words: int, lang: str | None, source: str | None) -> np.ndarray:
+    """Measures of length on soft steps, null n_chars a feature of its own; language and source fall into hashed places."""
+    size = max(1, n_chars or 0)
+    values = (np.log2(size), np.log2(size / n_lines), np.log2(n_lines), size / max(1, n_words))
+    soft = [np.exp(-(((np.clip(v, low, low + width * (n - 1)) - low) / width - np.arange(n)) ** 2)) for v, (_, low, width, n) in zip(values, _MEASURES, strict=True)]
+    out = np.concatenate([*soft, np.zeros(1 + _HASHED)]).astype(np.float32)
+    out[-1 - _HASHED] = n_chars is None
+    for value in (("lang", lang), ("source", source)):
+        out[len(out) - _HASHED + zlib.crc32(repr(value).encode("utf-8", "surrogatepass")) % _HASHED] += 0.3
     return out
 
 
-def views(text: str | None, lang: str | None, source: str | None) -> tuple[np.ndarray, np.ndarray]:
-    data = np.frombuffer((text if isinstance(text, str) else "").encode("utf-8", "surrogatepass"), dtype=np.uint8)
-    return content_view(data), metadata_view(data, lang if isinstance(lang, str) else None, source if isinstance(source, str) else None)
+def views(text: str | None, n_chars: int | None, lang: str | None, source: str | None) -> tuple[np.ndarray, np.ndarray]:
+    raw = (text or "").encode("utf-8", "surrogatepass")
+    return content_view(np.frombuffer(raw, dtype=np.uint8)), metadata_view(n_chars, raw.count(b"\n") + 1, len(raw.split()), lang, source)
 
 
 @dataclass
@@ -70,16 +72,16 @@ class Logistic:
     shift: float = 0.0
 
     @staticmethod
-    def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 300) -> Logistic:
-        """Class-balanced, by accelerated gradient steps."""
-        x = x.astype(np.float64)
-        cost = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y == 0).sum()))
-        rate = 1.0 / (0.25 * float((x**2).sum(axis=1).max() + 1) + ridge)
+    def fit(x: np.ndarray, y: np.ndarray, ridge: float, steps: int = 300) -> Logistic:
+        """By accelerated gradient steps; the bad, which are fewer, weigh up to half of what the good do."""
+        good, bad = max(1, (y > 0).sum()), max(1, (y == 0).sum())
+        cost = np.where(y > 0, 1 / good, max(1 / good, 0.5 / bad) if bad < good else 1 / bad) / 2
+        rate = 1.0 / (0.25 * float(np.einsum("ij,ij->i", x, x).max() + 1) + ridge)
         w, b = np.zeros(x.shape[1]), 0.0
         vw, vb, t = w, b, 1.0
         for _ in range(steps):
-            gap = cost * (1 / (1 + np.exp(-np.clip(x @ vw + vb, -30, 30))) - y)
-            nw, nb = vw - rate * (x.T @ gap + ridge * 1e-2 * vw), vb - rate * gap.sum()
+            gap = cost * (1 / (1 + np.exp(-np.clip(x @ vw.astype(x.dtype) + vb, -30, 30))) - y)
+            nw, nb = vw - rate * (x.T @ gap.astype(x.dtype) + ridge * vw), vb - rate * gap.sum()
             nt = (1 + np.sqrt(1 + 4 * t * t)) / 2
             vw, vb = nw + (t - 1) / nt * (nw - w), nb + (t - 1) / nt * (nb - b)
             w, b, t = nw, nb, nt
@@ -88,10 +90,11 @@ class Logistic:
     def margin(self, x: np.ndarray) -> np.ndarray:
         return x @ self.weights + self.bias
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray) -> None:
+    def calibrate(self, x: np.ndarray, y: np.ndarray, share: float = 0.5) -> None:
+        """A logistic curve over the margin; classes weigh as among all labels, of which ``share`` are good."""
         m, a, b = self.margin(x).astype(np.float64), 1.0, 0.0
         goal = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / ((y == 0).sum() + 2))
-        cost = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
+        cost = np.where(y > 0, share / max(1, y.sum()), (1 - share) / max(1, (y == 0).sum())) * len(y)
         for _ in range(60):
             p = 1 / (1 + np.exp(-np.clip(a * m + b, -30, 30)))
             r, gap = cost * p * (1 - p) + 1e-9, cost * (p - goal)
@@ -105,11 +108,11 @@ class Logistic:
         return np.clip(self.slope * self.margin(x) + self.shift, -12, 12)
 
 
-def cotrain(content: np.ndarray, metadata: np.ndarray, y: np.ndarray, pool_content: np.ndarray, pool_metadata: np.ndarray) -> tuple[Logistic, Logistic] | None:
-    """The two calibrated classifiers; None where the sample lacks a class. Every fifth labelled document only calibrates."""
+def cotrain(content: np.ndarray, metadata: np.ndarray, y: np.ndarray, pool_content: np.ndarray, pool_metadata: np.ndarray, share: float = 0.5) -> tuple[Logistic, Logistic] | None:
+    """The two calibrated classifiers; None where the sample lacks a class. Every third labelled document only calibrates."""
     if len(y) == 0 or y.min() == y.max():
         return None
-    held = np.arange(len(y)) % 5 == 0
+    held = np.arange(len(y)) % 3 == 0
     if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
         held = np.zeros(len(y), dtype=bool)
     both, pools = [content, metadata], [pool_content, pool_metadata]
@@ -120,7 +123,7 @@ def cotrain(content: np.ndarray, metadata: np.ndarray, y: np.ndarray, pool_conte
         for v in (0, 1):
             extra = sorted(given[v])
             x = np.vstack([both[v][~held], pools[v][extra]]) if extra else both[v][~held]
-            made.append(Logistic.fit(x, np.concatenate([y[~held], [given[v][k] for k in extra]])))
+            made.append(Logistic.fit(x, np.concatenate([y[~held], [given[v][k] for k in extra]]), RIDGE[v]))
         if turn == ROUNDS or not len(pools[0]):
             break
         for v in (0, 1):
@@ -132,62 +135,77 @@ def cotrain(content: np.ndarray, metadata: np.ndarray, y: np.ndarray, pool_conte
             given[1 - v] |= dict.fromkeys(bad, 0) | dict.fromkeys(good, 1)
     for v in (0, 1):
         check = held if held.any() else np.ones(len(y), dtype=bool)
-        made[v].calibrate(both[v][check], y[check])
+        made[v].calibrate(both[v][check], y[check], share)
     return made[0], made[1]
 
 
-def _sample(docs: DataFrame, labels: DataFrame, size: int, pool: int) -> tuple[list, list]:
-    """Views of a bounded labelled sample and of a bounded pool; only these rows reach the driver."""
+_FIELDS = ("text", "n_chars", "lang", "source")
+
+
+def _views_of(*columns: pd.Series) -> list[tuple[np.ndarray, np.ndarray]]:
+    some = lambda x: None if x is None or x != x else x
+    return [views(*map(some, row)) for row in zip(*columns, strict=True)]
+
+
+def _fields(docs: DataFrame, prefix: str = "") -> list:
+    """The columns that the views read; n_chars as double, which pandas holds null or not."""
+    return [F.col(prefix + c).cast("double" if c == "n_chars" else "string").alias(c) for c in _FIELDS]
+
+
+def _sample(docs: DataFrame, labels: DataFrame, size: int, pool: int) -> tuple[list, list, float]:
+    """Views of a bounded labelled sample and of a bounded pool, one row an id (of rows that repeat it, the least views), in
+    half precision; only these reach the driver, and the
+    share of good ones among all labels."""
 
     @F.pandas_udf(T.StructType([T.StructField("content", T.BinaryType()), T.StructField("metadata", T.BinaryType())]))
-    def both(text: pd.Series, lang: pd.Series, source: pd.Series) -> pd.DataFrame:
-        made = [views(*row) for row in zip(text, lang, source, strict=True)]
-        return pd.DataFrame({"content": [c.tobytes() for c, _ in made], "metadata": [m.tobytes() for _, m in made]})
+    def both(text: pd.Series, n_chars: pd.Series, lang: pd.Series, source: pd.Series) -> pd.DataFrame:
+        made = _views_of(text, n_chars, lang, source)
+        return pd.DataFrame({"content": [c.astype(np.float16).tobytes() for c, _ in made], "metadata": [m.astype(np.float16).tobytes() for _, m in made]})
 
     known = labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("_y")).where("_id is not null and _y is not null").groupBy("_id").agg(F.min("_y").alias("_y"))
     by_hash = [F.xxhash64("_id"), F.col("_id")]
     chosen = known.where("_y > 0").orderBy(*by_hash).limit(size).union(known.where("_y = 0").orderBy(*by_hash).limit(size))
-    read = docs.select(F.col("doc_id").alias("_id"), "text", "lang", "source")
+    read = bounded_batches(docs).select(F.col("doc_id").alias("_id"), *_fields(docs))
     labelled = read.join(F.broadcast(chosen), "_id")  # at most 2 * size ids
-    unlabelled = read.join(known.select("_id"), "_id", "left_anti").select("_id").distinct().orderBy(*by_hash).limit(pool)
-    others = read.join(F.broadcast(unlabelled), "_id")
-    pick = both("text", "lang", "source").alias("v")
-    return labelled.select("_id", "_y", pick).collect(), others.select("_id", pick).collect()
+    unlabelled = read.join(known.select("_id"), "_id", "left_anti").select("_id").where("_id is not null").distinct().orderBy(*by_hash).limit(pool)
+    others = read.join(F.broadcast(unlabelled.withColumn("_y", F.lit(None).cast("int"))), "_id")
+    one = lambda rows: rows.select("_id", "_y", both(*_FIELDS).alias("v")).groupBy("_id").agg(F.min("_y").alias("_y"), F.min("v").alias("v")).collect()
+    return one(labelled), one(others), known.agg(F.avg((F.col("_y") > 0).cast("double"))).first()[0] or 0.5
 
 
 def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE, pool: int = POOL) -> tuple[Logistic, Logistic] | None:
-    rows, others = _sample(docs, labels, size, pool)
-    rows, others = ([*{(r["_id"], r.v.content): r for r in sorted(x, key=lambda r: (r["_id"], bytes(r.v.content)))}.values()] for x in (rows, others))
-    rows.sort(key=lambda r: zlib.crc32(str(r["_id"]).encode()))
-    stack = lambda rs, f, n: np.array([np.frombuffer(r.v[f], dtype=np.float32) for r in rs]).reshape(-1, n)
+    rows, others, share = _sample(docs, labels, size, pool)
+    rows, others = (sorted(x, key=lambda r: (zlib.crc32(str(r["_id"]).encode()), r["_id"])) for x in (rows, others))
+    stack = lambda rs, f, n: np.array([np.frombuffer(r.v[f], dtype=np.float16) for r in rs], dtype=np.float32).reshape(-1, n)
     y = np.array([int(r["_y"] > 0) for r in rows])
-    return cotrain(stack(rows, "content", CONTENT), stack(rows, "metadata", METADATA), y, stack(others, "content", CONTENT), stack(others, "metadata", METADATA))
+    return cotrain(stack(rows, "content", CONTENT), stack(rows, "metadata", METADATA), y, stack(others, "content", CONTENT), stack(others, "metadata", METADATA), share)
+
+
+SCORES = ("content_score", "metadata_score", "quality_score", "quality_keep")
 
 
 def with_quality(docs: DataFrame, models: tuple[Logistic, Logistic] | None) -> DataFrame:
     """``docs`` with content_score, metadata_score, quality_score (0 to 1) and quality_keep. No models: all scores 1."""
+    others = [c for c in docs.columns if c not in SCORES]
     if models is None:
-        return docs.withColumns({"content_score": F.lit(1.0), "metadata_score": F.lit(1.0), "quality_score": F.lit(1.0), "quality_keep": F.lit(True)})
+        return docs.select(*[F.col(f"`{c}`") for c in others], *[F.lit(1.0).alias(c) for c in SCORES[:3]], F.lit(True).alias("quality_keep"))
     shared = docs.sparkSession.sparkContext.broadcast(models)
 
     @F.pandas_udf("content double, metadata double")
-    def logits(text: pd.Series, lang: pd.Series, source: pd.Series) -> pd.DataFrame:
+    def logits(text: pd.Series, n_chars: pd.Series, lang: pd.Series, source: pd.Series) -> pd.DataFrame:
         content, metadata = shared.value
-        out = np.zeros((len(text), 2))
-        for i, row in enumerate(zip(text, lang, source, strict=True)):
-            c, m = views(*row)
-            out[i] = float(content.logit(c)), float(metadata.logit(m))
-        return pd.DataFrame(out, columns=["content", "metadata"])
+        made = _views_of(text, n_chars, lang, source)
+        return pd.DataFrame({"content": [float(content.logit(c)) for c, _ in made], "metadata": [float(metadata.logit(m)) for _, m in made]}, dtype="float64")
 
-    scored = docs.withColumn("_logits", logits("text", "lang", "source"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r")  # so that no column's name meets those made here
+    scored = bounded_batches(docs).select(row).select("r", logits(*_fields(docs, "r.")).alias("z"))
     curve = lambda x: 1 / (1 + F.exp(-x))
-    mean = (F.col("_logits.content") + F.col("_logits.metadata")) / 2
-    scored = scored.withColumns({"content_score": curve(F.col("_logits.content")), "metadata_score": curve(F.col("_logits.metadata")), "quality_score": curve(mean)})
-    return scored.withColumn("quality_keep", F.col("quality_score") >= THRESHOLD).drop("_logits")
+    mean = curve((F.col("z.content") + F.col("z.metadata")) / 2)
+    return scored.select(*[F.col(f"r.`{c}`").alias(c) for c in others], curve(F.col("z.content")).alias("content_score"), curve(F.col("z.metadata")).alias("metadata_score"), mean.alias("quality_score"), (mean >= THRESHOLD).alias("quality_keep"))
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Every row of ``docs`` with its scores. Null text counts as empty, null lang or source as values of their own;
-    repeated rows score alike; score columns that ``docs`` brings are replaced; an empty table gives no rows; labels
-    without one of the classes keep everything."""
+    """Every row of ``docs`` with its scores. Null text counts as empty, null n_chars, lang or source as values of their own;
+    repeated rows score alike; score columns that ``docs`` brings are replaced, all others pass whatever their names; an
+    empty table gives no rows; labels without one of the classes keep everything."""
     return with_quality(docs, fit(docs, labels))
