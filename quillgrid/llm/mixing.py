@@ -7,7 +7,7 @@ of gradient and curvature over a histogram of (source, size), a sufficient stati
 
 Rates become whole copies by a threshold: copies = floor(r) + [u - frac(r) < shift_s] with u a hash of the document;
 shift_s is found by counting words in ever finer buckets, and single documents then close what is left of the gap.
-Everything that reaches the driver or is broadcast has one row (or a fixed number of rows) a source.
+Everything that reaches the driver or is broadcast has one row a source.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 import math
 from itertools import cycle
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgrid.llm.common import materialize
@@ -135,17 +135,13 @@ def _plan(units: DataFrame) -> DataFrame:
         rated = _rated(distinct.withColumnRenamed("size", "all").withColumnRenamed("one", "size").join(F.broadcast(now), "sk").where("lam is not null"))
         bucket = F.floor((F.col("edge") - F.col("shift")) / F.lit(width / BUCKETS))
         place = F.when(F.col("whole") >= MOST, F.lit(BUCKETS)).otherwise(F.greatest(F.lit(-1), F.least(bucket, F.lit(BUCKETS))).cast("int"))
-        counts = rated.select("sk", place.alias("at"), "all", (F.col("whole") * F.col("all")).alias("sure")).groupBy("sk", "at").agg(F.sum("all").alias("extra"), F.sum("sure").alias("sure")).collect()
-        sure, extra = dict.fromkeys(live, 0), {s: {} for s in live}
-        for r in counts:
-            sure[r.sk] += r.sure
-            extra[r.sk][r["at"]] = r.extra
-        for s in live:
-            taken, k = sure[s] + extra[s].get(-1, 0), 0
-            while k < BUCKETS and taken + extra[s].get(k, 0) <= goal[s]:
-                taken += extra[s].get(k, 0)
-                k += 1
-            shift[s] += k * width / BUCKETS
+        counts = rated.select("sk", "target", place.alias("at"), "all", (F.col("whole") * F.col("all")).alias("sure")).groupBy("sk", "at").agg(F.first("target").alias("target"), F.sum("all").alias("extra"), F.sum("sure").alias("sure"))
+        # at most BUCKETS + 2 rows a source: the first bucket that would take more than the target is found where they are
+        own = Window.partitionBy("sk")
+        up_to = F.sum(F.when(F.col("at") < BUCKETS, F.col("extra")).otherwise(0)).over(own.orderBy("at"))
+        beyond = (F.col("at") < BUCKETS) & (F.sum("sure").over(own) + up_to > F.col("target"))
+        for r in counts.select("sk", F.when(beyond, F.greatest("at", F.lit(0))).alias("k")).groupBy("sk").agg(F.min("k").alias("k")).collect():
+            shift[r.sk] += (BUCKETS if r.k is None else r.k) * width / BUCKETS
         width /= BUCKETS
 
     # single documents close the rest: each pass takes, for a source, the largest that fits into its gap
