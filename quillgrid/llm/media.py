@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillgrid.llm.common import materialize
+from quillgrid.llm.common import bounded_batches, materialize
 
 WIDTH = 576
 PAD = b"\xff"
@@ -99,7 +99,7 @@ def parts_of(pages: pd.Series) -> pd.Series:
 
 def interleave(pages: DataFrame, key: str, page: str) -> DataFrame:
     """(key, parts): a row for each row of ``pages``; null or empty HTML gives an empty sequence."""
-    return pages.select(F.col(key).alias("key"), parts_of(F.col(page)).alias("parts"))
+    return bounded_batches(pages).select(F.col(key).alias("key"), parts_of(F.col(page)).alias("parts"))
 
 
 def resolve(sequences: DataFrame, media: DataFrame) -> DataFrame:
@@ -207,7 +207,7 @@ def page_of(texts: pd.Series) -> pd.Series:
 
 def media_store(texts: DataFrame, text: str) -> DataFrame:
     """The written media table (digest, n_bytes, media) of the texts' payloads. A payload may stand in it more than once, from different tasks."""
-    return materialize(texts.select(F.col(text).alias("text")).mapInPandas(_store, MEDIA), "media")
+    return materialize(bounded_batches(texts).select(F.col(text).alias("text")).mapInPandas(_store, MEDIA), "media")
 
 
 def read_back(media: DataFrame) -> DataFrame:
