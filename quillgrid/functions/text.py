@@ -30,11 +30,6 @@ def tiles(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(rf"({SPACE}*)({TOKEN})"), F.lit(0))
 
 
-def gaps(text: Column) -> Column:
-    """The white space before each token."""
-    return F.regexp_extract_all(text, F.lit(rf"({SPACE}*)({TOKEN})"), F.lit(1))
-
-
 def casefold(text: Column) -> Column:
     """F3 for Latin script: lower case, sharp s as ss, the micro sign as mu."""
     return F.replace(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), F.lit("µ"), F.lit("μ"))
@@ -46,14 +41,25 @@ def casefold_exact(text: pd.Series) -> pd.Series:
     return text.map(str.casefold, na_action="ignore")
 
 
+def _folded(text: Column, pattern: str) -> Column:
+    """All matches, folded. Folding the whole text first is cheaper, and the same but for the dotted capital I, whose fold isn't one letter."""
+    each = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), casefold)
+    return F.when(F.contains(text, F.lit("İ")), each).otherwise(F.regexp_extract_all(casefold(text), F.lit(pattern), F.lit(0)))
+
+
 def terms(text: Column) -> Column:
     """folded words in order."""
-    return F.transform(F.regexp_extract_all(text, F.lit(rf"{WORD}+"), F.lit(0)), casefold)
+    return _folded(text, rf"{WORD}+")
+
+
+def term_count(text: Column) -> Column:
+    """How many there are; null counts 0."""
+    return F.coalesce(F.regexp_count(text, F.lit(rf"{WORD}+")), F.lit(0))
 
 
 def rerank_terms(text: Column) -> Column:
     """the different folded tokens that have a letter or digit."""
-    return F.array_distinct(F.transform(F.filter(tokens(text), lambda t: t.rlike(r"[\p{L}\p{N}]")), casefold))
+    return F.array_distinct(_folded(text, rf"_*[\p{{L}}\p{{N}}]{WORD}*"))
 
 
 def normalize(text: Column) -> Column:

@@ -24,19 +24,24 @@ def check_window(size: int, overlap: int) -> None:
 
 
 def chunk_fixed(docs: DataFrame, key: str, text: str, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
-    """(key, position, token_start, token_end, token_count, char_start, char_end, text), a row a window. Native throughout."""
+    """(key, position, token_start, token_end, token_count, char_start, char_end, text), a row a window. Native throughout.
+
+    A text is cut into tiles (a token with the white space before it) once; a window's own tiles, joined, give its text
+    and length, so what is handed on is little more than the text, however long it is."""
     check_window(size, overlap)
     step = size - overlap
-    cut = docs.select(F.col(key).alias(key), F.col(text).alias("_text"), X.tiles(F.col(text)).alias("_tiles"), X.gaps(F.col(text)).alias("_gaps")).where(F.size("_tiles") > 0)
-    last = F.greatest(F.lit(0), F.ceil((F.size("_tiles") - size) / F.lit(step))).cast("int")
-    rows = cut.select(key, "_text", "_tiles", "_gaps", F.explode(F.sequence(F.lit(0), last)).alias("position"))
-    start = F.col("position") * step
-    rows = rows.withColumn("token_start", start).withColumn("token_end", F.least(start + size, F.size("_tiles")))
-    before = F.length(F.array_join(F.slice("_tiles", F.lit(1), F.col("token_start")), ""))
-    rows = rows.withColumn("char_start", before + F.length(F.element_at("_gaps", F.col("token_start") + 1)))
-    rows = rows.withColumn("char_end", before + F.length(F.array_join(F.slice("_tiles", F.col("token_start") + 1, F.col("token_end") - F.col("token_start")), "")))
-    piece = F.substring(F.col("_text"), F.col("char_start") + 1, F.col("char_end") - F.col("char_start"))
-    return rows.select(key, "position", "token_start", "token_end", (F.col("token_end") - F.col("token_start")).alias("token_count"), "char_start", "char_end", piece.alias("text"))
+    cut = docs.select(F.col(key).alias(key), X.tiles(F.col(text)).alias("_tiles")).withColumn("_n", F.size("_tiles")).where("_n > 0")
+    last = F.greatest(F.lit(0), F.ceil((F.col("_n") - size) / F.lit(step))).cast("int")
+    joined = lambda a, n: F.array_join(F.slice("_tiles", a + 1, n), "")
+    sizes = F.transform(F.sequence(F.lit(0), last), lambda p: F.length(joined(p * step, F.lit(step))))
+    start = F.struct(F.lit(0).alias("total"), F.array().cast("array<int>").alias("before"))
+    before = F.aggregate(sizes, start, lambda a, x: F.struct((a["total"] + x).alias("total"), F.array_append(a["before"], a["total"]).alias("before")))["before"]
+    pieces = F.transform(F.sequence(F.lit(0), last), lambda p: F.struct(p.alias("position"), joined(p * step, F.lit(size)).alias("piece")))
+    windows = F.zip_with(pieces, before, lambda w, b: F.struct(w["position"].alias("position"), w["piece"].alias("piece"), b.alias("before")))
+    rows = cut.select(key, "_n", F.explode(windows).alias("_w")).select(key, "_n", "_w.*")
+    gap = F.length(F.regexp_extract("piece", rf"^{X.SPACE}*", 0))
+    rows = rows.withColumns({"token_start": F.col("position") * step, "token_end": F.least(F.col("position") * step + size, F.col("_n")), "_gap": gap})
+    return rows.select(key, "position", "token_start", "token_end", (F.col("token_end") - F.col("token_start")).alias("token_count"), (F.col("before") + F.col("_gap")).alias("char_start"), (F.col("before") + F.length("piece")).alias("char_end"), F.expr("substring(piece, _gap + 1)").alias("text"))
 
 
 _TOKEN = re.compile(r"\w+|[^\w\s]")

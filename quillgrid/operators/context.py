@@ -42,10 +42,22 @@ def rerank_external(hits: DataFrame, scores: DataFrame, key: str, weight: float
     return scored.withColumn("place", F.row_number().over(order))
 
 
-def deduplicate(hits: DataFrame, text: str = "text") -> DataFrame:
-    """Of hits of a query with the same folded text the first in place stays; places close up in ``unique_place``."""
-    first = Window.partitionBy("qid", "_same").orderBy("place")
-    kept = hits.withColumn("_same", X.dedup_key(F.col(text))).withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_same", "_n")
+def deduplicate(hits: DataFrame, text: str = "text", key: str | None = None) -> DataFrame:
+    """Hits of a query in place order, less those whose folded text, or whose id ``key``, an earlier kept hit has; places
+    close up in ``unique_place``. Without ``key`` ids are taken to be different.
+
+    A query's hits are a bounded list (its candidates), so the walk over ids and texts is one fold a query."""
+    same = X.dedup_key(F.col(text))
+    if key is None:
+        first = Window.partitionBy("qid", "_same").orderBy("place")
+        kept = hits.withColumn("_same", same).withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_same", "_n")
+    else:
+        listed = hits.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("place", F.col(key).cast("string").alias("id"), F.sha2(same, 256).alias("same")))).alias("_all"))
+        start = F.struct(F.array().cast("array<string>").alias("ids"), F.array().cast("array<string>").alias("texts"), F.array().cast("array<int>").alias("places"))
+        seen = lambda a, x: F.array_contains(a["ids"], x["id"]) | F.array_contains(a["texts"], x["same"])
+        add = lambda a, x: F.struct(F.array_append(a["ids"], x["id"]).alias("ids"), F.array_append(a["texts"], x["same"]).alias("texts"), F.array_append(a["places"], x["place"].cast("int")).alias("places"))
+        walked = F.aggregate("_all", start, lambda a, x: F.when(seen(a, x), a).otherwise(add(a, x)))
+        kept = hits.join(listed.select("qid", F.explode(walked["places"]).alias("place")), ["qid", "place"])
     return kept.withColumn("unique_place", F.row_number().over(Window.partitionBy("qid").orderBy("place")))
 
 

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Iterator
+from functools import partial
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Fields of a run that must agree before its metrics are compared.
 CONTROL = ["dataset_sha256", "mode", "top_k", "vector_weight", "relevance_threshold", "repetitions", "embedding_models"]
+RESAMPLES_AT_ONCE = 500
 #: Metrics of which less is better.
 LESS_IS_BETTER = ("irrelevant_at_5", "latency_mean_ms", "latency_p50_ms", "latency_p95_ms")
 
@@ -33,17 +37,23 @@ def coverage(chunks: DataFrame, passages: DataFrame) -> DataFrame:
     return met.withColumn("coverage", common / (F.col("p_end") - F.col("p_start"))).withColumn("whole", (F.col("char_start") <= F.col("p_start")) & (F.col("char_end") >= F.col("p_end")))
 
 
+def _union(covered: DataFrame, cuts: tuple[int, ...]) -> DataFrame:
+    """(qid, passage_id, k, coverage): of the first k chunks together, for each cut."""
+    cut = F.explode(F.filter(F.array(*[F.lit(k) for k in cuts]), lambda k: k >= F.col("rank")))
+    clipped = covered.select("qid", "passage_id", "p_start", "p_end", F.greatest("char_start", "p_start").alias("s"), F.least("char_end", "p_end").alias("e"), cut.alias("k")).where("e > s")
+    before = Window.partitionBy("qid", "passage_id", "k").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
+    new = F.greatest(F.lit(0), F.col("e") - F.greatest("s", F.coalesce(F.max("e").over(before), F.col("s"))))
+    return clipped.withColumn("new", new).groupBy("qid", "passage_id", "k").agg((F.sum("new") / F.first(F.col("p_end") - F.col("p_start"))).alias("coverage"))
+
+
 def union_coverage(covered: DataFrame, k: int) -> DataFrame:
     """(qid, passage_id, coverage) of the first k chunks together: clipped intervals, overlaps counted once."""
-    clipped = covered.where(F.col("rank") <= k).select("qid", "passage_id", "p_start", "p_end", F.greatest("char_start", "p_start").alias("s"), F.least("char_end", "p_end").alias("e")).where("e > s")
-    before = Window.partitionBy("qid", "passage_id").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
-    new = F.greatest(F.lit(0), F.col("e") - F.greatest("s", F.coalesce(F.max("e").over(before), F.col("s"))))
-    return clipped.withColumn("new", new).groupBy("qid", "passage_id").agg((F.sum("new") / F.first(F.col("p_end") - F.col("p_start"))).alias("coverage"))
+    return _union(covered, (k,)).drop("k")
 
 
 def query_metrics(chunks: DataFrame, passages: DataFrame, threshold: float = 0.5, cuts: tuple[int, ...] = (5, 10, 20)) -> DataFrame:
     """A row a query that has passages: recall, passage_coverage and boundary_completeness at each cut, mrr,
-    precision_at_5, irrelevant_at_5, ndcg_at_10."""
+    precision_at_5, irrelevant_at_5, ndcg_at_10. All cuts come out of the same aggregations."""
     if not 0 < threshold <= 1:
         raise ValueError("relevance_threshold must be above 0 and at most 1")
     covered = coverage(chunks, passages)
@@ -52,17 +62,16 @@ def query_metrics(chunks: DataFrame, passages: DataFrame, threshold: float = 0.5
     hit = F.col("grade") >= threshold
     gain = F.when(F.col("rank") <= 10, (F.pow(F.lit(2.0), "grade") - 1) / F.log2(F.col("rank") + F.lit(1)))
     ranked = grade.groupBy("qid").agg(F.min(F.when(hit, F.col("rank"))).alias("first"), F.count(F.when(hit & (F.col("rank") <= 5), 1)).alias("relevant_5"), F.sum(gain).alias("dcg"))
-    out = total.join(ranked, "qid", "left")
-    for k in cuts:
-        best = covered.where(F.col("rank") <= k).groupBy("qid", "passage_id").agg(F.max("coverage").alias("c"), F.max("whole").alias("w"))
-        flags = best.groupBy("qid").agg(F.count(F.when(F.col("c") >= threshold, 1)).alias("_found"), F.count(F.when(F.col("w"), 1)).alias("_whole"))
-        joined = union_coverage(covered, k).groupBy("qid").agg(F.sum("coverage").alias("_cover"))
-        out = out.join(flags, "qid", "left").join(joined, "qid", "left")
-        share = lambda c: F.coalesce(F.col(c), F.lit(0.0)) / F.col("passages")
-        out = out.withColumns({f"recall_at_{k}": share("_found"), f"passage_coverage_at_{k}": share("_cover"), f"boundary_completeness_at_{k}": share("_whole")}).drop("_found", "_cover", "_whole")
+    at = lambda k, c: F.max(F.when(F.col("rank") <= k, F.col(c)))
+    best = covered.groupBy("qid", "passage_id").agg(*[x for k in cuts for x in (at(k, "coverage").alias(f"c{k}"), at(k, "whole").alias(f"w{k}"))])
+    flags = best.groupBy("qid").agg(*[x for k in cuts for x in (F.count_if(F.col(f"c{k}") >= threshold).alias(f"found{k}"), F.count_if(f"w{k}").alias(f"whole{k}"))])
+    unions = _union(covered, cuts).groupBy("qid").agg(*[F.sum(F.when(F.col("k") == k, F.col("coverage"))).alias(f"cover{k}") for k in cuts])
+    out = total.join(ranked, "qid", "left").join(flags, "qid", "left").join(unions, "qid", "left")
+    share = lambda c: F.coalesce(F.col(c), F.lit(0.0)) / F.col("passages")
+    shares = [x for k in cuts for x in (share(f"found{k}").alias(f"recall_at_{k}"), share(f"cover{k}").alias(f"passage_coverage_at_{k}"), share(f"whole{k}").alias(f"boundary_completeness_at_{k}"))]
     ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("passages"), F.lit(10)).cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + F.lit(1.0)))
     relevant = F.coalesce("relevant_5", F.lit(0))
-    return out.withColumns({"mrr": F.coalesce(1 / F.col("first"), F.lit(0.0)), "precision_at_5": relevant / 5, "irrelevant_at_5": (5 - relevant).cast("double"), "ndcg_at_10": F.least(F.lit(1.0), F.coalesce(F.col("dcg") / ideal, F.lit(0.0)))}).drop("first", "relevant_5", "dcg", "passages")
+    return out.select("qid", *shares, F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("mrr"), (relevant / 5).alias("precision_at_5"), (5 - relevant).cast("double").alias("irrelevant_at_5"), F.least(F.lit(1.0), F.coalesce(F.col("dcg") / ideal, F.lit(0.0))).alias("ndcg_at_10"))
 
 
 def latency(df: DataFrame, value: str, by: list[str], points: tuple[float, ...] = (0.5, 0.95, 0.99), digits: int = 6) -> DataFrame:
@@ -111,29 +120,55 @@ def check_control(baseline: DataFrame, candidate: DataFrame, fields: list[str] |
         raise ValueError(f"runs differ in control fields: {', '.join(wrong)}")
 
 
-def compare_runs(baseline: DataFrame, candidate: DataFrame, less_is_better: tuple[str, ...] = LESS_IS_BETTER) -> DataFrame:
-    """(metric, baseline, candidate, delta, relative_percent, improved) over shared metrics; frames of (metric, value)."""
-    met = baseline.select("metric", F.col("value").alias("baseline")).join(candidate.select("metric", F.col("value").alias("candidate")), "metric")
+#: Fields of a run's summary that say how it was made, not how good it is.
+NOT_COMPARED = ("queries", "repetitions", "top_k")
+
+
+def compare_runs(baseline: DataFrame, candidate: DataFrame, less_is_better: tuple[str, ...] = LESS_IS_BETTER, not_compared: tuple[str, ...] = NOT_COMPARED) -> DataFrame:
+    """(metric, baseline, candidate, delta, relative_percent, improved) over shared metrics; frames of (metric, value)."""
+    met = baseline.select("metric", F.col("value").alias("baseline")).join(candidate.select("metric", F.col("value").alias("candidate")), "metric").where(~F.col("metric").isin(*not_compared))
     delta = F.col("candidate") - F.col("baseline")
     better = F.when(F.col("metric").isin(*less_is_better), delta < 0).otherwise(delta > 0)
     return met.select("metric", "baseline", "candidate", delta.alias("delta"), F.try_divide(delta * 100, F.abs("baseline")).alias("relative_percent"), better.alias("improved"))
 
 
+def check_same_queries(baseline: DataFrame, candidate: DataFrame, key: str = "qid") -> None:
+    """An error where two runs don't hold the same queries."""
+    a, b = baseline.select(key).distinct(), candidate.select(key).distinct()
+    if not (a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()):
+        raise ValueError("runs must hold the same queries")
+
+
+def _resampled(batches: Iterator[pd.DataFrame], samples: int, seed: int, reduction: bool) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for rows in batch["rows"]:
+            a, b = ([r[c] for r in rows] for c in ("a", "b"))
+            rng, n = random.Random(seed), len(a)
+            for at in range(0, samples, RESAMPLES_AT_ONCE):
+                effects = []
+                for _ in range(min(RESAMPLES_AT_ONCE, samples - at)):
+                    picks = [rng.randrange(n) for _ in range(n)]
+                    x, y = sum(a[i] for i in picks) / n, sum(b[i] for i in picks) / n
+                    effects.append(((x - y) if reduction else (y - x)) / x * 100 if x else 0.0)
+                yield pd.DataFrame({"effect": effects})
+
+
 def paired_bootstrap(baseline: DataFrame, candidate: DataFrame, value: str, samples: int = 10_000, seed: int = 42, reduction: bool = False) -> DataFrame:
     """(lower, upper) of the 95 % interval of the relative change of the mean in percent (its fall, for ``reduction``)
     over resampled queries; a resample whose baseline is 0 counts as no change.
 
-    Both frames hold (qid, value) of the same queries, else an error. A resample is drawn by the driver's generator, so that
-    it can be drawn again; each is one row of query numbers and sums are made distributed."""
+    Both frames hold (qid, value) of the same queries, else an error. The draws are those of one seeded generator, so that
+    they can be drawn again: one task holds a number a query and makes them, a slice of resamples at a time."""
     met = baseline.select("qid", F.col(value).alias("a")).join(candidate.select("qid", F.col(value).alias("b")), "qid", "full")
-    rows = met.orderBy("qid").collect()  # a stated query set
-    if not rows or any(r.a is None or r.b is None for r in rows):
+    if met.isEmpty() or not met.where("a is null or b is null").isEmpty():
         raise ValueError("runs must hold the same queries")
-    rng, n, spark = random.Random(seed), len(rows), baseline.sparkSession
-    draws = spark.createDataFrame([(s, [rng.randrange(n) for _ in range(n)]) for s in range(samples)], "sample int, picks array<int>")
-    a, b = (F.array(*[F.lit(float(r[k])) for r in rows]) for k in ("a", "b"))
-    total = lambda v: F.aggregate(F.transform("picks", lambda i: F.get(v, i)), F.lit(0.0), lambda s, x: s + x)
-    change = F.coalesce(F.try_divide((total(b) - total(a)) * (-100 if reduction else 100), total(a)), F.lit(0.0))
-    effect = draws.select(change.alias("effect"))
+    listed = met.agg(F.array_sort(F.collect_list(F.struct("qid", F.col("a").cast("double").alias("a"), F.col("b").cast("double").alias("b")))).alias("rows"))
+    effect = listed.mapInPandas(partial(_resampled, samples=samples, seed=seed, reduction=reduction), "effect double")
     ordered = effect.agg(F.array_sort(F.collect_list("effect")).alias("e"), F.count("*").alias("n"))  # one number a sample
     return ordered.select(F.get("e", F.floor(0.025 * (F.col("n") - 1)).cast("int")).alias("lower"), F.get("e", F.ceil(0.975 * (F.col("n") - 1)).cast("int")).alias("upper"))
+
+
+def corpus_totals(documents: DataFrame, stable: DataFrame) -> DataFrame:
+    """Documents, sums of their chunk_count and token_count, and the number of queries whose ranking isn't stable."""
+    counts = documents.agg(F.count("*").alias("documents"), F.coalesce(F.sum("chunk_count"), F.lit(0)).alias("chunks"), F.coalesce(F.sum("token_count"), F.lit(0)).alias("tokens"))
+    return counts.crossJoin(F.broadcast(stable.agg(F.count_if(~F.col("stable")).alias("unstable_rankings"))))  # a row each

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,9 +10,13 @@ from quillgrid.functions import text as X
 BROADCAST_ROWS = 10_000  # queries (a stated set) that may be broadcast; more are joined by shuffle
 
 
+def is_small(df: DataFrame) -> bool:
+    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+
 def small(df: DataFrame) -> DataFrame:
     """A side that is broadcast only behind a check of its size."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    return F.broadcast(df) if is_small(df) else df
 
 
 def top_k(scored: DataFrame, k: int, key: str, score: str = "score") -> DataFrame:
@@ -31,32 +33,42 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 def postings(texts: DataFrame, key: str, text: str) -> DataFrame:
     """(key, term, tf, length): counts of each folded word in each text. Materialise it, by term, to serve many searches."""
-    terms = texts.select(F.col(key), F.explode(X.terms(F.col(text))).alias("term"))
-    tf = terms.groupBy(key, "term").agg(F.count("*").alias("tf"))
-    return tf.join(texts.select(F.col(key), F.size(X.terms(F.col(text))).alias("length")), key)
+    return _counted(texts.select(F.col(key), X.term_count(F.col(text)).alias("length"), F.explode(X.terms(F.col(text))).alias("term")), key)
+
+
+def _counted(words: DataFrame, key: str) -> DataFrame:
+    return words.groupBy(key, "term", "length").agg(F.count("*").alias("tf"))
+
+
+def corpus_figures(texts: DataFrame, text: str) -> DataFrame:
+    """One row, the number of texts and the mean number of words; words are counted, not cut out."""
+    return texts.agg(F.count("*").alias("n"), F.avg(X.term_count(F.col(text))).alias("mean"))
+
+
+def _asked(texts: DataFrame, queries: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(words, hits): the queries' different words, and counts of those of them that occur in each text."""
+    words = query_terms(queries)
+    held = F.broadcast if is_small(words) else (lambda df: df)
+    occurring = texts.select(F.col(key), X.term_count(F.col(text)).alias("length"), F.explode(X.terms(F.col(text))).alias("term"))
+    return held(words), _counted(occurring.join(held(words.select("term").distinct()), "term"), key)
 
 
 def keyword_scores(texts: DataFrame, queries: DataFrame, key: str, text: str) -> DataFrame:
     """A5: (qid, key, score): share of a text's words that are words of the query; any one makes a hit."""
-    words = small(query_terms(queries))
-    terms = texts.select(F.col(key), X.terms(F.col(text)).alias("_terms")).select(key, F.size("_terms").alias("length"), F.explode("_terms").alias("term"))
-    return terms.join(words, "term").groupBy("qid", key).agg((F.count("*") / F.first("length")).alias("score"))
+    words, hits = _asked(texts, queries, key, text)
+    return hits.join(words, "term").groupBy("qid", key).agg((F.sum("tf") / F.first("length")).alias("score"))
 
 
 def bm25_scores(texts: DataFrame, queries: DataFrame, key: str, text: str, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(qid, key, score). Corpus figures are over all texts; only postings of query terms are counted."""
     if k1 <= 0 or not 0 <= b <= 1:
         raise ValueError("k1 must be positive and b between 0 and 1")
-    sized = texts.select(F.col(key), X.terms(F.col(text)).alias("_terms")).withColumn("length", F.size("_terms"))
-    corpus = sized.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-    words = small(query_terms(queries))
-    wanted = small(words.select("term").distinct())
-    tf = sized.select(key, "length", F.explode("_terms").alias("term")).join(wanted, "term").groupBy("term", key, "length").agg(F.count("*").alias("tf"))
+    words, tf = _asked(texts, queries, key, text)
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-    rows = tf.join(df, "term").join(words, "term").crossJoin(F.broadcast(corpus))  # one row of corpus figures
-    return rows.groupBy("qid", key).agg(F.sum(part).alias("score"))
+    rows = tf.join(df, "term").crossJoin(F.broadcast(corpus_figures(texts, text)))  # one row of corpus figures
+    return rows.select(key, "term", part.alias("part")).join(words, "term").groupBy("qid", key).agg(F.sum("part").alias("score"))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -67,7 +79,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def vector_scores(vectors: DataFrame, queries: DataFrame, key: str, vector: str) -> DataFrame:
-    """(qid, key, score) of each query against each present vector. Queries are a small stated set, checked in size."""
+    """(qid, key, score) of each query against each present vector, exactly. Queries are a small stated set, checked in size."""
     asked = queries.select("qid", F.col("vector").alias("_q"))
     if asked.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
         raise ValueError(f"more than {BROADCAST_ROWS} query vectors: search in blocks")
@@ -95,18 +107,22 @@ def weighted_rrf(rankings: list[tuple[DataFrame, float]], key: str, rrf_k: int =
     return union.groupBy("qid", key).agg((F.sum("w") / best if best else F.lit(0.0)).alias("score"))
 
 
-def search(texts: DataFrame, queries: DataFrame, key: str = "chunk_id", text: str = "text", vector: str = "embedding", mode: str = "hybrid", top: int = 10, vector_weight: float = 0.7, where: Column | None = None, candidate_multiplier: int = 4, rrf_k: int = 60) -> DataFrame:
-    """(qid, key, score, vector_score, keyword_score, rank). queries: qid, query, vector (needed unless keyword only).
-
-    Filters hold before ranking. A branch of weight 0 isn't planned at all; each branch gives top * multiplier candidates."""
+def branches(mode: str, top: int, vector_weight: float) -> tuple[bool, bool]:
+    """The arguments of a search, checked; whether it looks by vector, and by words."""
     if mode not in ("vector", "keyword", "hybrid"):
         raise ValueError("unknown mode")
     if top <= 0 or not 0 <= vector_weight <= 1:
         raise ValueError("top_k must be positive and vector_weight between 0 and 1")
+    return mode == "vector" or (mode == "hybrid" and vector_weight > 0), mode == "keyword" or (mode == "hybrid" and vector_weight < 1)
+
+
+def search(texts: DataFrame, queries: DataFrame, key: str = "chunk_id", text: str = "text", vector: str = "embedding", mode: str = "hybrid", top: int = 10, vector_weight: float = 0.7, where: Column | None = None, candidate_multiplier: int = 4, rrf_k: int = 60) -> DataFrame:
+    """(qid, key, score, vector_score, keyword_score, rank). queries: qid, query, vector (needed unless keyword only).
+
+    Filters hold before ranking. A branch of weight 0 isn't planned at all; each branch gives top * multiplier candidates."""
+    use_vector, use_keyword = branches(mode, top, vector_weight)
     rows = texts if where is None else texts.where(where)
     many = top * candidate_multiplier if mode == "hybrid" else top
-    use_vector = mode == "vector" or (mode == "hybrid" and vector_weight > 0)
-    use_keyword = mode == "keyword" or (mode == "hybrid" and vector_weight < 1)
     by_vector = top_k(vector_scores(rows, queries, key, vector), many, key) if use_vector else None
     by_keyword = top_k(keyword_scores(rows, queries, key, text), many, key) if use_keyword else None
     none = F.lit(None).cast("double")
@@ -118,3 +134,19 @@ def search(texts: DataFrame, queries: DataFrame, key: str = "chunk_id", text: st
     return top_k(fuse(empty if by_vector is None else by_vector, empty if by_keyword is None else by_keyword, key, vector_weight, rrf_k), top, key)
 
 
+#: The fields of a hit, in order.
+HIT = ["chunk_id", "document_id", "filename", "media_type", "text", "position", "token_start", "token_end", "char_start", "char_end", "page_numbers", "metadata", "score", "vector_score", "keyword_score"]
+
+
+def hits_of(found: DataFrame, chunks: DataFrame, documents: DataFrame) -> DataFrame:
+    """(qid, rank and the fields of HIT): what a search found, with its chunks and their documents."""
+    named = documents.select(F.col("id").alias("document_id"), "filename", "media_type")
+    met = small(found.select("qid", "rank", "chunk_id", "score", "vector_score", "keyword_score")).join(chunks, "chunk_id").join(named, "document_id")
+    absent = [c for c in HIT if c not in met.columns]
+    return met.withColumns({c: F.lit(None).cast("array<int>" if c == "page_numbers" else "string") for c in absent}).select("qid", "rank", *HIT)
+
+
+def text_match(text: Column, query: Column, every: bool = True) -> Column:
+    """P5: whether all different words of the query (or any of them) are words of the text; a query without words matches nothing."""
+    asked, held = F.array_distinct(X.terms(query)), X.terms(text)
+    return (F.size(asked) > 0) & (F.size(F.array_except(asked, held)) == 0 if every else F.arrays_overlap(asked, held))

@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 import json
 import random
-from datetime import datetime, timedelta
+import time
+from collections.abc import Callable
+from datetime import UTC, datetime, timedelta
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,21 +39,24 @@ def claim(jobs: DataFrame, worker: str, now: datetime, job_id: str | None = None
     at = F.lit(now)
     asked = jobs if job_id is None else jobs.where(F.col("id") == job_id)
     first = asked.where(eligible_jobs(at)).orderBy("created_at", "id").limit(1)
-    return first.withColumns({"status": F.lit("parsing"), "progress": F.lit(10), "attempts": F.col("attempts") + 1, "worker_id": F.lit(worker), "locked_at": at, "started_at": F.coalesce("started_at", at)})
+    taken = {"status": F.lit("parsing"), "progress": F.lit(10), "attempts": F.col("attempts") + 1, "worker_id": F.lit(worker), "locked_at": at, "started_at": F.coalesce("started_at", at), "next_attempt_at": F.lit(None).cast("timestamp"), "error_message": F.lit(None).cast("string")}
+    return first.withColumns({c: v for c, v in taken.items() if c in jobs.columns})
 
 
-def recover_stale(jobs: DataFrame, before: datetime) -> DataFrame:
-    """Active jobs whose lease ran out are queued again; attempts stay."""
+def recover_stale(jobs: DataFrame, before: datetime, now: datetime | None = None) -> DataFrame:
+    """Active jobs whose lease ran out are queued again, to be taken at once; attempts and progress stay."""
     stale = stale_jobs(F.lit(before))
-    none = lambda c: F.when(stale, F.lit(None)).otherwise(F.col(c)).cast(jobs.schema[c].dataType)
-    return jobs.withColumns({"worker_id": none("worker_id"), "locked_at": none("locked_at"), "status": F.when(stale, "queued").otherwise(F.col("status")), "progress": F.when(stale, 0).otherwise(F.col("progress"))})
+    put = lambda c, value: F.when(stale, value).otherwise(F.col(c)).cast(jobs.schema[c].dataType)
+    values = {"worker_id": F.lit(None), "locked_at": F.lit(None), "status": F.lit("queued"), "next_attempt_at": F.lit(now), "error_message": F.lit("recovered stale worker lease"), "finished_at": F.lit(None)}
+    return jobs.withColumns({c: put(c, v) for c, v in values.items() if c in jobs.columns})
 
 
 def after_failure(jobs: DataFrame, error: str, now: datetime, max_attempts: int = 3, backoff_s: float = 2.0) -> DataFrame:
     """Queued again behind a doubling pause, or failed at the last attempt."""
     again = F.col("attempts") < max_attempts
     pause = F.make_dt_interval(secs=F.lit(backoff_s) * F.pow(F.lit(2.0), F.col("attempts") - 1))
-    return jobs.withColumns({"status": F.when(again, "queued").otherwise("failed"), "error_message": F.lit(error), "next_attempt_at": F.when(again, F.lit(now) + pause), "locked_at": F.lit(None).cast("timestamp"), "worker_id": F.lit(None).cast("string")})
+    more = {"progress": F.when(again, 0).otherwise(F.col("progress")).cast("int"), "finished_at": F.when(~again, F.lit(now))}
+    return jobs.withColumns({c: v for c, v in more.items() if c in jobs.columns} | {"status": F.when(again, "queued").otherwise("failed"), "error_message": F.lit(error), "next_attempt_at": F.when(again, F.lit(now) + pause), "locked_at": F.lit(None).cast("timestamp"), "worker_id": F.lit(None).cast("string")})
 
 
 def canonical_json(value: Any) -> str:
@@ -81,21 +86,29 @@ class QueryCache:
         self.version = 1
         self.events: list[tuple[str, str]] = []
 
-    def get(self, cache: str, key: str, now: datetime) -> tuple[str, Any]:
-        """(status, value): disabled, miss, expired or hit."""
+    def _find(self, cache: str, key: str) -> tuple[datetime, Any] | None:
+        return self.rows[cache].get(key)
+
+    def _keep(self, cache: str, key: str, until: datetime, value: Any) -> None:
+        self.rows[cache][key] = (until, value)
+
+    def get(self, cache: str, key: str, now: datetime, valid: Callable[[Any], bool] = lambda value: True) -> tuple[str, Any]:
+        """(status, value): disabled, miss, expired, invalid (a stored value that ``valid`` refuses) or hit."""
+        found = self._find(cache, key) if self.on[cache] else None
         if not self.on[cache]:
             status, value = "disabled", None
-        elif key not in self.rows[cache]:
+        elif found is None:
             status, value = "miss", None
+        elif found[0] <= now:
+            status, value = "expired", None
         else:
-            until, value = self.rows[cache][key]
-            status, value = ("expired", None) if until <= now else ("hit", value)
+            status, value = ("hit", found[1]) if valid(found[1]) else ("invalid", None)
         self.events.append((cache, status))
         return status, value
 
     def put(self, cache: str, key: str, value: Any, now: datetime) -> None:
         if self.on[cache]:
-            self.rows[cache][key] = (now + self.ttl[cache], value)
+            self._keep(cache, key, now + self.ttl[cache], value)
 
     def corpus_version(self) -> int:
         return self.version if self.on["retrieval"] else 0
@@ -124,6 +137,59 @@ class QueryCache:
         return spark.createDataFrame(self.events, "cache string, status string").groupBy("cache", "status").agg(F.count("*").alias("n"))
 
 
+CACHE_LOG = "cache string, key string, payload string, expires_at timestamp, version long, seq long"
+
+
+class StoredCache(QueryCache):
+    """The same over an append-only log in a folder: values as JSON, the last row of a key counts, a bump
+    of the corpus version is a row too. What one service stores another finds, after a restart as well."""
+
+    def __init__(self, spark: SparkSession, root: str, **options: Any):
+        super().__init__(**options)
+        self.spark, self.path = spark, f"{root}/query-cache"
+
+    def _log(self) -> DataFrame:
+        return self.spark.createDataFrame([], CACHE_LOG) if not exists(self.spark, self.path) else self.spark.read.schema(CACHE_LOG).parquet(self.path)
+
+    def _append(self, cache: str, key: str | None, payload: str | None, until: datetime | None, version: int | None) -> None:
+        self.spark.createDataFrame([(cache, key, payload, until, version, time.time_ns())], CACHE_LOG).coalesce(1).write.mode("append").parquet(self.path)
+
+    def _find(self, cache: str, key: str) -> tuple[datetime, Any] | None:
+        log = self._log()
+        cleared = log.where("cache = 'clear'").agg(F.coalesce(F.max("seq"), F.lit(0)).alias("at")).first().at
+        row = log.where((F.col("cache") == cache) & (F.col("key") == key) & (F.col("seq") > cleared)).agg(F.max_by(F.struct("payload", F.unix_micros("expires_at").alias("until")), "seq").alias("r")).first().r
+        return None if row is None else (datetime.fromtimestamp(row.until / 1e6, UTC), json.loads(row.payload))
+
+    def _keep(self, cache: str, key: str, until: datetime, value: Any) -> None:
+        self._append(cache, key, canonical_json(value), until, None)
+
+    def corpus_version(self) -> int:
+        if not self.on["retrieval"]:
+            return 0
+        return self._log().where("cache = 'version'").agg(F.coalesce(F.max("version"), F.lit(1)).alias("v")).first().v
+
+    def invalidate(self, reason: str) -> int:
+        """Rows of older versions stay in the log, out of reach: every result's key holds the version."""
+        version = self._log().where("cache = 'version'").agg(F.coalesce(F.max("version"), F.lit(1)).alias("v")).first().v + 1
+        self._append("version", reason, None, None, version)
+        self.events.append(("invalidation", reason))
+        return version
+
+    def clear(self) -> None:
+        self._append("clear", None, None, None, None)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, in any store that Spark knows."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def request_counters(log: DataFrame) -> DataFrame:
+    """Requests and summed seconds by (method, route, status) of a request log with duration_ms."""
+    return log.groupBy("method", "route", "status").agg(F.count("*").alias("requests"), F.round(F.sum("duration_ms") / 1000, 6).alias("seconds"))
+
+
 def exposition(counts: DataFrame, name: str, labels: list[str], value: str = "n") -> DataFrame:
     """Counters as exposition lines."""
     parts = [F.concat(F.lit(f'{c}="'), X.escape_label(F.col(c)), F.lit('"')) for c in labels]

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from functools import partial
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -128,8 +128,34 @@ def delete_stored(hashes: DataFrame, root: str) -> None:
 
 
 def inside_root(uri: Column, root: str) -> Column:
-    """Only file URIs below the root, without steps upwards."""
-    return uri.startswith(f"file:{root.rstrip('/')}/") & ~uri.contains("/../")
+    """Only file URIs below the root, without steps upwards, written plainly or as percent codes."""
+    plain = F.try_url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
+    path = F.regexp_replace(plain, "^file://(localhost)?(?=/)", "file:")
+    return F.coalesce(path.startswith(f"file:{root.rstrip('/')}/") & ~path.rlike(r"(^|[/\\\\])\.\.([/\\\\]|$)"), F.lit(False))
+
+
+def read_inside(spark: SparkSession, uris: list[str], root: str) -> DataFrame:
+    """(path, content) of stated URIs; an error names those outside the root."""
+    asked = spark.createDataFrame([(u,) for u in uris], "uri string")
+    outside = [r.uri for r in asked.where(~inside_root(F.col("uri"), root)).collect()]
+    if outside:
+        raise ValueError(f"not below the storage root: {', '.join(outside)}")
+    return spark.read.format("binaryFile").load(uris).select("path", "content")
+
+
+def check_counts(rows: DataFrame, wanted: int, what: str) -> None:
+    """An error where a dataset doesn't have as many rows as its manifest says."""
+    if (n := rows.count()) != wanted:
+        raise ValueError(f"{n} {what}, {wanted} expected")
+
+
+def page_spans(pages: DataFrame, key: str, number: str, text: str) -> DataFrame:
+    """W10, S3 over rows of pages: (key, page_number, char_start, char_end) in the text that a blank line joins them to; blank pages are left out."""
+    stripped = F.regexp_replace(F.col(text), rf"^{X.SPACE}+|{X.SPACE}+$", "")
+    kept = pages.select(key, F.col(number).alias("page_number"), F.length(stripped).alias("_n")).where("_n > 0")
+    before = Window.partitionBy(key).orderBy("page_number").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.col("_n") + 2).over(before), F.lit(0))
+    return kept.select(key, "page_number", start.alias("char_start"), (start + F.col("_n")).alias("char_end"))
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
@@ -144,6 +170,32 @@ def read_json_object(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.option("multiLine", True).option("mode", "FAILFAST").schema(schema).json(path)
 
 
+def read_manifest(spark: SparkSession, path: str, contents: DataFrame) -> DataFrame:
+    """The sources that a manifest {"sources": [{source_path, sha256, page_count, character_count}]} pins; contents
+    (source_path, content, text, page_count) must be those bytes, texts and pages, else an error names the first that aren't."""
+    pinned = read_json_object(spark, path, "sources array<struct<source_path:string,sha256:string,page_count:int,character_count:int>>").select(F.explode("sources").alias("s")).select("s.*")
+    have = contents.select("source_path", F.sha2("content", 256).alias("_sha"), F.length("text").alias("_chars"), F.col("page_count").alias("_pages"))
+    met = pinned.join(have, "source_path", "left")
+    differs = lambda wanted, got: F.col(wanted).isNotNull() & ~F.col(wanted).eqNullSafe(F.col(got))
+    wrong = [r.source_path for r in met.where(differs("sha256", "_sha") | differs("character_count", "_chars") | differs("page_count", "_pages")).orderBy("source_path").limit(20).collect()]
+    if wrong:
+        raise ValueError(f"sources differ from the manifest: {', '.join(wrong)}")
+    return pinned
+
+
+def read_run(spark: SparkSession, path: str, metrics: str) -> DataFrame:
+    """A run's summary; its objects ``metadata`` and ``metrics`` must be there."""
+    found = read_json_object(spark, path, f"metadata map<string,string>, metrics struct<{metrics}>")
+    if not found.where("metadata is null or metrics is null").isEmpty():
+        raise ValueError("a run needs the objects metadata and metrics")
+    return found
+
+
+def gold_record(row_id: Column, question: Column, passages: Column) -> Column:
+    """A line of a gold dataset as JSON; its hash is :func:`quillgrid.functions.text.query_id` of the question's."""
+    return F.to_json(F.struct(row_id.alias("id"), question.alias("question"), passages.alias("relevant_passages")))
+
+
 def read_queries(spark: SparkSession, path: str) -> DataFrame:
     """One query a line without # comments; queries that repeat after normalising are an error."""
     found = spark.read.text(path).select(X.normalize(F.col("value")).alias("query")).where("query <> '' and not startswith(query, '#')")
@@ -162,7 +214,7 @@ def write_results(per_query: DataFrame, summary: DataFrame, path: str) -> None:
 def parse_metrics(lines: DataFrame) -> DataFrame:
     """(name, value) of exposition lines; comments are skipped."""
     kept = lines.where("value <> '' and not startswith(value, '#')")
-    return kept.select(F.regexp_extract("value", r"^(\S+)\s+\S+$", 1).alias("name"), F.try_to_number(F.regexp_extract("value", r"^\S+\s+(\S+)$", 1), F.lit("999999999999.999999")).cast("double").alias("value"))
+    return kept.select(F.regexp_extract("value", r"^(\S+)\s+\S+$", 1).alias("name"), F.regexp_replace(F.regexp_extract("value", r"^\S+\s+(\S+)$", 1), "^[+](?=[0-9.I])", "").try_cast("double").alias("value"))
 
 
 def log_lines(records: DataFrame) -> DataFrame:
@@ -184,9 +236,14 @@ def locate_passages(annotations: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def gold_violations(gold: DataFrame, documents: DataFrame) -> DataFrame:
-    """(id, problem) of gold passages whose hash, range, text or length (8 words at least) is wrong; none if all hold."""
-    met = gold.join(documents.select("source_path", F.col("text").alias("_text")), "source_path", "left")
+    """(id, problem) of gold passages whose hash, range, text, page or length (8 words at least) is wrong; none if all hold.
+
+    Pages are compared where gold has a page_number and documents have the spans of their pages."""
+    paged = "page_number" in gold.columns and "spans" in documents.columns
+    met = gold.join(documents.select("source_path", F.col("text").alias("_text"), *([F.col("spans").alias("_spans")] if paged else [])), "source_path", "left")
     checks = {"missing source": F.col("_text").isNull(), "hash": F.sha2("reference_text", 256) != F.col("text_sha256"), "text": F.expr("substring(_text, char_start + 1, char_end - char_start)") != F.col("reference_text"), "too short": F.size(F.split(X.normalize(F.col("reference_text")), " ")) < 8}
+    if paged:
+        checks["page"] = ~F.array_contains(pages_of_range(F.col("_spans"), F.col("char_start"), F.col("char_end")), F.col("page_number"))
     problems = F.filter(F.array(*[F.when(F.coalesce(wrong, F.lit(False)), F.lit(name)) for name, wrong in checks.items()]), lambda p: p.isNotNull())
     repeated = gold.groupBy("id").count().where("count > 1").select("id", F.lit("duplicate id").alias("problem"))
     return met.select("id", F.explode(problems).alias("problem")).unionByName(repeated)
