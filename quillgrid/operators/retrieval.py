@@ -33,7 +33,12 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 def postings(texts: DataFrame, key: str, text: str) -> DataFrame:
     """(key, term, tf, length): counts of each folded word in each text. Materialise it, by term, to serve many searches."""
-    return _counted(texts.select(F.col(key), X.term_count(F.col(text)).alias("length"), F.explode(X.terms(F.col(text))).alias("term")), key)
+    return _counted(_words(texts, key, text), key)
+
+
+def _words(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, length, term): every word of every text; words are cut out once, and counted before they become rows."""
+    return texts.select(F.col(key), X.terms(F.col(text)).alias("_terms")).select(key, F.size("_terms").alias("length"), F.explode("_terms").alias("term"))
 
 
 def _counted(words: DataFrame, key: str) -> DataFrame:
@@ -49,8 +54,7 @@ def _asked(texts: DataFrame, queries: DataFrame, key: str, text: str) -> tuple[D
     """(words, hits): the queries' different words, and counts of those of them that occur in each text."""
     words = query_terms(queries)
     held = F.broadcast if is_small(words) else (lambda df: df)
-    occurring = texts.select(F.col(key), X.term_count(F.col(text)).alias("length"), F.explode(X.terms(F.col(text))).alias("term"))
-    return held(words), _counted(occurring.join(held(words.select("term").distinct()), "term"), key)
+    return held(words), _counted(_words(texts, key, text).join(held(words.select("term").distinct()), "term"), key)
 
 
 def keyword_scores(texts: DataFrame, queries: DataFrame, key: str, text: str) -> DataFrame:
@@ -150,3 +154,11 @@ def text_match(text: Column, query: Column, every: bool = True) -> Column:
     """P5: whether all different words of the query (or any of them) are words of the text; a query without words matches nothing."""
     asked, held = F.array_distinct(X.terms(query)), X.terms(text)
     return (F.size(asked) > 0) & (F.size(F.array_except(asked, held)) == 0 if every else F.arrays_overlap(asked, held))
+
+
+def text_matches(texts: DataFrame, queries: DataFrame, key: str, text: str) -> DataFrame:
+    """P5 for many queries: (qid, key) where every word of the query is one of the text's, over the postings of query words."""
+    words, hits = _asked(texts, queries, key, text)
+    wanted = words.groupBy("qid").agg(F.count("*").alias("_wanted"))
+    met = hits.select(key, "term").join(words, "term").groupBy("qid", key).agg(F.count("*").alias("_met"))
+    return met.join(wanted, "qid").where("_met = _wanted").select("qid", key)

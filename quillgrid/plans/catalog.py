@@ -121,12 +121,12 @@ def filename_filter(spark, sf_dir):
     return documents(spark, sf_dir).where(filters.filename_contains(F.col("source"), "RC1")).select("doc_id", "source")
 
 
-_QUERIES = "q AS (SELECT item_id qid, array_to_string(string_split(text, ' ')[1:5], ' ') query FROM benchmark)"
+_QUERIES = "q AS (SELECT item_id qid, text query FROM benchmark)"
 
 
 def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every benchmark item asks with its first five words."""
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.array_join(F.slice(F.split("text", " "), 1, 5), " ").alias("query"))
+    """Every benchmark item asks with its whole text."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
 
 
 _KEYWORD = f"""{_QUERIES}, qt AS (SELECT DISTINCT qid, unnest({terms_sql('query')}) term FROM q),
@@ -186,23 +186,24 @@ def vector_topk(spark, sf_dir):
     return retrieval.top_k(scored, 10, "doc_id").select("doc_id", r6(F.col("score")).alias("score"), "rank")
 
 
-@register("SELECT conv_id, turn AS position, role, text FROM conversations WHERE conv_id IN (1, 2)")
+@register("SELECT conv_id, turn AS position, role, text FROM conversations ORDER BY 1, 2")
 def conversation_messages(spark, sf_dir):
-    return messages(spark, sf_dir).where(F.col("conv_id").isin(1, 2)).select("conv_id", "position", "role", "text")
+    return messages(spark, sf_dir).select("conv_id", "position", "role", "text").orderBy("conv_id", "position")
 
 
-_TEXT_QUERIES = "q AS (SELECT doc_id qid, array_to_string(string_split(text, ' ')[1:5], ' ') query FROM documents JOIN embeddings ON doc_id = vec_id WHERE doc_id % 50 = 0)"
+_TEXT_QUERIES = "q AS (SELECT item_id qid, text query FROM benchmark JOIN embeddings ON item_id = vec_id)"
 
 
 def text_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with a vector, of ids divisible by 50, ask with their first five words and their vector."""
-    met = documents(spark, sf_dir).join(vector_queries(spark, sf_dir), F.col("doc_id") == F.col("qid"))
-    return met.select("qid", F.array_join(F.slice(F.split("text", " "), 1, 5), " ").alias("query"), "vector")
+    """Every benchmark item asks with its whole text and the vector of its number."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
+    return benchmark_queries(spark, sf_dir).join(vectors, "qid")
 
 
-_HYBRID = f"""{_KEYWORD.replace(_QUERIES, _TEXT_QUERIES).replace('FROM documents)', 'FROM documents JOIN embeddings ON doc_id = vec_id)').replace(_TEXT_QUERIES.replace('FROM documents)', ''), _TEXT_QUERIES)},
+_HYBRID = f"""{_KEYWORD.replace(_QUERIES, _TEXT_QUERIES).replace('FROM documents)', 'FROM documents JOIN embeddings ON doc_id = vec_id)')},
 v AS (SELECT doc_id vec_id, embedding::DOUBLE[] e FROM embeddings JOIN documents ON doc_id = vec_id),
-vs AS (SELECT a.vec_id qid, b.vec_id doc_id, round(coalesce(list_dot_product(a.e, b.e) / nullif(sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e)), 0), 0), 9) score FROM v a, v b WHERE a.vec_id % 50 = 0),
+av AS (SELECT item_id vec_id, embedding::DOUBLE[] e FROM embeddings JOIN benchmark ON item_id = vec_id),
+vs AS (SELECT a.vec_id qid, b.vec_id doc_id, round(coalesce(list_dot_product(a.e, b.e) / nullif(sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e)), 0), 0), 9) score FROM av a, v b),
 vr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id::VARCHAR) AS rank FROM vs),
 u AS (SELECT qid, doc_id, 0.7 / (60 + rank) w, score vsc, NULL::DOUBLE ksc FROM vr WHERE rank <= 40 UNION ALL SELECT qid, doc_id, 0.3 / (60 + rank), NULL, score FROM kr WHERE rank <= 40),
 f AS (SELECT qid, doc_id, round(sum(w) * 61, 9) score, max(vsc) vector_score, max(ksc) keyword_score FROM u GROUP BY ALL),
@@ -267,7 +268,7 @@ du AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY place) unique_plac
 
 @register(f"WITH {_DEDUP} SELECT qid, doc_id, place::INT place, unique_place::INT unique_place FROM du")
 def context_dedup(spark, sf_dir):
-    return context.deduplicate(reranked(spark, sf_dir)).select("qid", "doc_id", "place", "unique_place")
+    return context.deduplicate(reranked(spark, sf_dir), key="doc_id").select("qid", "doc_id", "place", "unique_place")
 
 
 _HEADER = "format('[{}] Source: {}; media_type={}; position={}; metadata={}', unique_place, source, lang, 0, '{}')"
@@ -285,31 +286,38 @@ def context_budget(spark, sf_dir):
     return fitted.select("qid", "doc_id", "citation_id", F.col("context_tokens").cast("int").alias("context_tokens"), "truncated", F.sha2("context_text", 256).alias("text_hash"))
 
 
-# Gold passages: benchmark texts found word for word in documents; retrieved: the chunks of those documents in order.
-_GOLD = _CHUNKS + """, gold AS (SELECT item_id qid, doc_id passage_id, doc_id, strpos(d.text, b.text) - 1 p_start, strpos(d.text, b.text) - 1 + length(b.text) p_end FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
-got AS (SELECT g.qid, g.passage_id, c.char_start, c.char_end, p_start, p_end, row_number() OVER (PARTITION BY g.qid ORDER BY g.doc_id, c.position) AS rank FROM gold g JOIN chunks c USING (doc_id)),
+# Gold passages: benchmark texts found word for word in documents; hits: the 20 best chunks of each item by BM25, asked with its whole text.
+_CHUNK_BM25 = _BM25.replace(f"dt AS (SELECT doc_id, {terms_sql('text')} terms FROM documents)", f"dt AS (SELECT doc_id || '-' || position doc_id, {terms_sql('text')} terms FROM chunks)")
+_GOLD = _CHUNKS + ", " + _CHUNK_BM25 + """, gold AS (SELECT item_id qid, doc_id passage_id, doc_id, strpos(d.text, b.text) - 1 p_start, strpos(d.text, b.text) - 1 + length(b.text) p_end FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
+hits AS (SELECT br.qid, br.rank, c.doc_id, c.char_start, c.char_end FROM br JOIN chunks c ON br.doc_id = c.doc_id || '-' || c.position WHERE rank <= 20),
+got AS (SELECT g.qid, g.passage_id, h.char_start, h.char_end, p_start, p_end, h.rank FROM gold g JOIN hits h USING (qid, doc_id)),
 cov AS (SELECT *, greatest(0, least(char_end, p_end) - greatest(char_start, p_start)) / (p_end - p_start) coverage, char_start <= p_start AND char_end >= p_end whole FROM got)"""
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each benchmark text has a known length, so documents are matched on a hash of their windows of that length's first words."""
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("passage"))
-    # an equality join on the passage's first eight words, then the whole passage
-    lead = lambda words: F.array_join(words, " ")
-    words = F.split("text", " ")
-    places = documents(spark, sf_dir).select("doc_id", "text", words.alias("_w")).select("doc_id", "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("_w") - 4)), lambda i: F.xxhash64(lead(F.slice("_w", i + 1, 4)))))).alias("_key"))
-    asked = items.withColumn("_key", F.xxhash64(lead(F.slice(F.split("passage", " "), 2, 4))))
-    met = places.join(retrieval.small(asked), "_key").where(F.col("text").contains(F.col("passage")))
+    """Documents that hold a benchmark text: one window of four words of each text, the second to the fifth, is looked up among
+    the windows of every document, and the whole text is then compared. A text of fewer than five words is its own window."""
+    lead = lambda words, at: F.xxhash64(F.array_join(F.slice(words, at, 4), " "))
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("passage"), F.split("text", " ").alias("_w"))
+    short = F.size("_w") < 6  # words at the ends of a text may be parts of a document's words, so no window of it is sure to be one
+    asked = items.withColumn("_key", F.when(~short, lead(F.col("_w"), F.lit(2)))).drop("_w")
+    if not retrieval.is_small(asked):
+        raise ValueError(f"more than {retrieval.BROADCAST_ROWS} passages: look them up in blocks")
+    keys = asked.agg(F.collect_set("_key").alias("_keys"))  # one row
+    words = documents(spark, sf_dir).select("doc_id", "text", F.split("text", " ").alias("_w"))
+    windows = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("_w") - 3)), lambda i: lead(F.col("_w"), i))
+    found = words.select("doc_id", "text", windows.alias("_windows")).crossJoin(F.broadcast(keys)).select("doc_id", "text", F.explode(F.array_intersect("_windows", "_keys")).alias("_key"))
+    met = found.join(F.broadcast(asked.where("_key is not null")), "_key").where(F.col("text").contains(F.col("passage"))).select("qid", "doc_id", "text", "passage")
+    rest = documents(spark, sf_dir).select("doc_id", "text").join(F.broadcast(asked.where("_key is null").select("qid", "passage")), F.col("text").contains(F.col("passage"))).select("qid", "doc_id", "text", "passage")
     start = F.expr("locate(passage, text) - 1")
-    return met.select("qid", F.col("doc_id").alias("passage_id"), F.col("doc_id").alias("source_id"), start.alias("char_start"), (start + F.length("passage")).alias("char_end"))
+    return met.unionByName(rest).select("qid", F.col("doc_id").alias("passage_id"), F.col("doc_id").alias("source_id"), start.alias("char_start"), (start + F.length("passage")).alias("char_end"))
 
 
 def gold_and_hits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    passages = gold(spark, sf_dir)
-    rows = chunks(spark, sf_dir).select(F.col("doc_id").alias("source_id"), "position", "char_start", "char_end")
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy("source_id", "position"))
-    hits = passages.select("qid", "source_id").join(rows, "source_id").withColumn("rank", rank)
-    return passages, hits
+    rows = chunks(spark, sf_dir).select(F.concat(F.col("doc_id").cast("string"), F.lit("-"), F.col("position").cast("string")).alias("chunk_id"), F.col("doc_id").alias("source_id"), "char_start", "char_end", "text")
+    scored = retrieval.bm25_scores(rows, benchmark_queries(spark, sf_dir), "chunk_id", "text").withColumn("score", F.round("score", 9))
+    hits = retrieval.top_k(scored, 20, "chunk_id").select("qid", "chunk_id", "rank")
+    return gold(spark, sf_dir), hits.join(rows.drop("text"), "chunk_id")
 
 
 @register(_GOLD + " SELECT qid, passage_id, rank::INT AS rank, round(coverage, 6) coverage, whole FROM cov")
@@ -369,11 +377,11 @@ def conversation_titles(spark, sf_dir):
     return messages(spark, sf_dir).where("position = 0").select("conv_id", "position", X.title(F.col("text")).alias("title"))
 
 
-@register(r"""WITH a AS (SELECT conv_id, turn, format('as [{}] and [{}] say, not [99]', turn % 3 + 1, conv_id % 5 + 1) answer FROM conversations WHERE role = 'assistant'),
+@register(r"""WITH a AS (SELECT conv_id, turn, text || format(' as [{}] and [{}] say, not [99]', turn % 3 + 1, conv_id % 5 + 1) answer FROM conversations WHERE role = 'assistant'),
 i AS (SELECT DISTINCT conv_id, turn, unnest(list_transform(regexp_extract_all(answer, '\[(\d+)\]', 1), lambda x: x::INT)) citation_id FROM a)
 SELECT conv_id, turn, citation_id FROM i WHERE citation_id <= 4""")
 def citations(spark, sf_dir):
-    answers = table(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", "turn", F.format_string("as [%d] and [%d] say, not [99]", F.col("turn") % 3 + 1, F.col("conv_id") % 5 + 1).alias("answer"))
+    answers = table(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", "turn", F.format_string("%s as [%d] and [%d] say, not [99]", "text", F.col("turn") % 3 + 1, F.col("conv_id") % 5 + 1).alias("answer"))
     keyed = answers.withColumn("message", F.struct("conv_id", "turn"))
     available = keyed.select("message", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("citation_id"))
     return context.cited(keyed, available, "message", "answer").select("message.conv_id", "message.turn", "citation_id")
@@ -405,7 +413,7 @@ def run_compare(spark, sf_dir):
 @register()
 def bootstrap_ci(spark, sf_dir):
     halves = table(spark, sf_dir, "events").groupBy((F.col("user_id") % 40).alias("qid")).agg(F.avg(F.when(F.col("event_id") % 2 == 0, F.col("value"))).alias("a"), F.avg(F.when(F.col("event_id") % 2 == 1, F.col("value"))).alias("b"))
-    return evaluation.paired_bootstrap(halves.select("qid", F.col("a").alias("value")), halves.select("qid", F.col("b").alias("value")), "value", samples=1000)
+    return evaluation.paired_bootstrap(halves.select("qid", F.col("a").alias("value")), halves.select("qid", F.col("b").alias("value")), "value")
 
 
 @register()
@@ -419,6 +427,9 @@ def rate_limit(spark, sf_dir):
     return ingest.rate_limit_batch(requests, 3, 86_400.0)
 
 
+from quillgrid.plans import catalog_tables  # noqa: E402, F401  (registers the queries over tables, jobs and evaluation)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
