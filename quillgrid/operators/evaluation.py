@@ -37,41 +37,51 @@ def coverage(chunks: DataFrame, passages: DataFrame) -> DataFrame:
     return met.withColumn("coverage", common / (F.col("p_end") - F.col("p_start"))).withColumn("whole", (F.col("char_start") <= F.col("p_start")) & (F.col("char_end") >= F.col("p_end")))
 
 
-def _union(covered: DataFrame, cuts: tuple[int, ...]) -> DataFrame:
-    """(qid, passage_id, k, coverage): of the first k chunks together, for each cut."""
-    cut = F.explode(F.filter(F.array(*[F.lit(k) for k in cuts]), lambda k: k >= F.col("rank")))
-    clipped = covered.select("qid", "passage_id", "p_start", "p_end", F.greatest("char_start", "p_start").alias("s"), F.least("char_end", "p_end").alias("e"), cut.alias("k")).where("e > s")
-    before = Window.partitionBy("qid", "passage_id", "k").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
+def union_coverage(covered: DataFrame, k: int) -> DataFrame:
+    """(qid, passage_id, coverage) of the first k chunks together: clipped intervals, overlaps counted once."""
+    clipped = covered.where(F.col("rank") <= k).select("qid", "passage_id", "p_start", "p_end", F.greatest("char_start", "p_start").alias("s"), F.least("char_end", "p_end").alias("e")).where("e > s")
+    before = Window.partitionBy("qid", "passage_id").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
     new = F.greatest(F.lit(0), F.col("e") - F.greatest("s", F.coalesce(F.max("e").over(before), F.col("s"))))
-    return clipped.withColumn("new", new).groupBy("qid", "passage_id", "k").agg((F.sum("new") / F.first(F.col("p_end") - F.col("p_start"))).alias("coverage"))
+    return clipped.withColumn("new", new).groupBy("qid", "passage_id").agg((F.sum("new") / F.first(F.col("p_end") - F.col("p_start"))).alias("coverage"))
 
 
-def union_coverage(covered: DataFrame, k: int) -> DataFrame:
-    """(qid, passage_id, coverage) of the first k chunks together: clipped intervals, overlaps counted once."""
-    return _union(covered, (k,)).drop("k")
+def _merged(spans: Column) -> Column:
+    """Length of a union of intervals, as structs that begin with s and e."""
+    start = F.struct(F.lit(0).cast("long").alias("total"), F.lit(0).cast("long").alias("reach"))
+    longer = lambda a, x: F.struct((a["total"] + F.greatest(F.lit(0), x["e"] - F.greatest(x["s"], a["reach"]))).cast("long").alias("total"), F.greatest(a["reach"], x["e"].cast("long")).alias("reach"))
+    return F.aggregate(F.array_sort(spans), start, longer)["total"]
 
 
 def query_metrics(chunks: DataFrame, passages: DataFrame, threshold: float = 0.5, cuts: tuple[int, ...] = (5, 10, 20)) -> DataFrame:
     """A row a query that has passages: recall, passage_coverage and boundary_completeness at each cut, mrr,
-    precision_at_5, irrelevant_at_5, ndcg_at_10. All cuts come out of the same aggregations."""
+    precision_at_5, irrelevant_at_5, ndcg_at_10.
+
+    One pass: passages meet their hits once, a query's few hits are held in an array, and all cuts are read off it."""
     if not 0 < threshold <= 1:
         raise ValueError("relevance_threshold must be above 0 and at most 1")
-    covered = coverage(chunks, passages)
-    total = passages.groupBy("qid").agg(F.countDistinct("passage_id").alias("passages"))
-    grade = covered.groupBy("qid", "rank").agg(F.max("coverage").alias("grade"))
-    hit = F.col("grade") >= threshold
-    gain = F.when(F.col("rank") <= 10, (F.pow(F.lit(2.0), "grade") - 1) / F.log2(F.col("rank") + F.lit(1)))
-    ranked = grade.groupBy("qid").agg(F.min(F.when(hit, F.col("rank"))).alias("first"), F.count(F.when(hit & (F.col("rank") <= 5), 1)).alias("relevant_5"), F.sum(gain).alias("dcg"))
-    at = lambda k, c: F.max(F.when(F.col("rank") <= k, F.col(c)))
-    best = covered.groupBy("qid", "passage_id").agg(*[x for k in cuts for x in (at(k, "coverage").alias(f"c{k}"), at(k, "whole").alias(f"w{k}"))])
-    flags = best.groupBy("qid").agg(*[x for k in cuts for x in (F.count_if(F.col(f"c{k}") >= threshold).alias(f"found{k}"), F.count_if(f"w{k}").alias(f"whole{k}"))])
-    unions = _union(covered, cuts).groupBy("qid").agg(*[F.sum(F.when(F.col("k") == k, F.col("coverage"))).alias(f"cover{k}") for k in cuts])
-    out = total.join(ranked, "qid", "left").join(flags, "qid", "left").join(unions, "qid", "left")
-    share = lambda c: F.coalesce(F.col(c), F.lit(0.0)) / F.col("passages")
-    shares = [x for k in cuts for x in (share(f"found{k}").alias(f"recall_at_{k}"), share(f"cover{k}").alias(f"passage_coverage_at_{k}"), share(f"whole{k}").alias(f"boundary_completeness_at_{k}"))]
+    p = passages.select("qid", "source_id", "passage_id", F.col("char_start").alias("p_start"), F.col("char_end").alias("p_end"))
+    met = p.join(chunks.select("qid", "source_id", "rank", "char_start", "char_end"), ["qid", "source_id"], "left")
+    size = F.col("p_end") - F.col("p_start")
+    common = overlap(F.col("char_start"), F.col("char_end"), F.col("p_start"), F.col("p_end"))
+    hit = F.struct(F.greatest("char_start", "p_start").alias("s"), F.least("char_end", "p_end").alias("e"), "rank", (common / size).alias("coverage"), ((F.col("char_start") <= F.col("p_start")) & (F.col("char_end") >= F.col("p_end"))).alias("whole"))
+    each = met.groupBy("qid", "passage_id").agg(F.first(size).alias("size"), F.collect_list(F.when(F.col("rank").isNotNull(), hit)).alias("hits"))
+    first = lambda k, more: F.filter("hits", lambda x: (x["rank"] <= k) & more(x))
+    found = lambda k: F.size(first(k, lambda x: x["coverage"] >= threshold)) > 0
+    whole = lambda k: F.size(first(k, lambda x: x["whole"])) > 0
+    cover = lambda k: _merged(first(k, lambda x: x["e"] > x["s"])) / F.col("size")
+    flags = [x for k in cuts for x in (F.avg(found(k).cast("double")).alias(f"recall_at_{k}"), F.avg(cover(k)).alias(f"passage_coverage_at_{k}"), F.avg(whole(k).cast("double")).alias(f"boundary_completeness_at_{k}"))]
+    graded = F.flatten(F.collect_list(F.transform("hits", lambda x: F.struct(x["rank"].alias("rank"), x["coverage"].alias("coverage")))))
+    rows = each.groupBy("qid").agg(*flags, F.count("*").alias("passages"), graded.alias("all"))
+    best = lambda r: F.array_max(F.transform(F.filter("all", lambda x: x["rank"] == r), lambda x: x["coverage"]))
+    ranks = F.array_distinct(F.transform("all", lambda x: x["rank"]))
+    rows = rows.withColumn("grades", F.transform(ranks, lambda r: F.struct(r.alias("rank"), best(r).alias("grade"))))
+    relevant = F.transform(F.filter("grades", lambda g: g["grade"] >= threshold), lambda g: g["rank"])
+    in_five = F.size(F.filter(relevant, lambda r: r <= 5))
+    gain = lambda g: F.when(g["rank"] <= 10, (F.pow(F.lit(2.0), g["grade"]) - 1) / F.log2(g["rank"] + F.lit(1))).otherwise(0.0)
+    dcg = F.aggregate(F.transform(F.array_sort("grades"), gain), F.lit(0.0), lambda s, x: s + x)
     ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("passages"), F.lit(10)).cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + F.lit(1.0)))
-    relevant = F.coalesce("relevant_5", F.lit(0))
-    return out.select("qid", *shares, F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("mrr"), (relevant / 5).alias("precision_at_5"), (5 - relevant).cast("double").alias("irrelevant_at_5"), F.least(F.lit(1.0), F.coalesce(F.col("dcg") / ideal, F.lit(0.0))).alias("ndcg_at_10"))
+    names = [f"{m}_at_{k}" for k in cuts for m in ("recall", "passage_coverage", "boundary_completeness")]
+    return rows.select("qid", *names, F.coalesce(1 / F.array_min(relevant), F.lit(0.0)).alias("mrr"), (in_five / 5).alias("precision_at_5"), (5 - in_five).cast("double").alias("irrelevant_at_5"), F.least(F.lit(1.0), dcg / ideal).alias("ndcg_at_10"))
 
 
 def latency(df: DataFrame, value: str, by: list[str], points: tuple[float, ...] = (0.5, 0.95, 0.99), digits: int = 6) -> DataFrame:

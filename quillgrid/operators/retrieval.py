@@ -145,7 +145,7 @@ HIT = ["chunk_id", "document_id", "filename", "media_type", "text", "position",
 def hits_of(found: DataFrame, chunks: DataFrame, documents: DataFrame) -> DataFrame:
     """(qid, rank and the fields of HIT): what a search found, with its chunks and their documents."""
     named = documents.select(F.col("id").alias("document_id"), "filename", "media_type")
-    met = small(found.select("qid", "rank", "chunk_id", "score", "vector_score", "keyword_score")).join(chunks, "chunk_id").join(named, "document_id")
+    met = found.select("qid", "rank", "chunk_id", "score", "vector_score", "keyword_score").join(chunks, "chunk_id").join(named, "document_id")
     absent = [c for c in HIT if c not in met.columns]
     return met.withColumns({c: F.lit(None).cast("array<int>" if c == "page_numbers" else "string") for c in absent}).select("qid", "rank", *HIT)
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillgrid.functions import text as X
 from quillgrid.operators import chunking, context, evaluation, filters, retrieval, tables
+from quillgrid.sources.tables import read_table
 from quillgrid.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,7 +40,7 @@ def register(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, sf_dir, name)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -287,9 +288,9 @@ def context_budget(spark, sf_dir):
 
 
 # Gold passages: benchmark texts found word for word in documents; hits: the 20 best chunks of each item by BM25, asked with its whole text.
-_CHUNK_BM25 = _BM25.replace(f"dt AS (SELECT doc_id, {terms_sql('text')} terms FROM documents)", f"dt AS (SELECT doc_id || '-' || position doc_id, {terms_sql('text')} terms FROM chunks)")
+_CHUNK_BM25 = _BM25.replace(f"dt AS (SELECT doc_id, {terms_sql('text')} terms FROM documents)", f"dt AS (SELECT doc_id * 1000000 + position doc_id, {terms_sql('text')} terms FROM chunks)")
 _GOLD = _CHUNKS + ", " + _CHUNK_BM25 + """, gold AS (SELECT item_id qid, doc_id passage_id, doc_id, strpos(d.text, b.text) - 1 p_start, strpos(d.text, b.text) - 1 + length(b.text) p_end FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
-hits AS (SELECT br.qid, br.rank, c.doc_id, c.char_start, c.char_end FROM br JOIN chunks c ON br.doc_id = c.doc_id || '-' || c.position WHERE rank <= 20),
+hits AS (SELECT br.qid, br.rank, c.doc_id, c.char_start, c.char_end FROM br JOIN chunks c ON br.doc_id = c.doc_id * 1000000 + c.position WHERE rank <= 20),
 got AS (SELECT g.qid, g.passage_id, h.char_start, h.char_end, p_start, p_end, h.rank FROM gold g JOIN hits h USING (qid, doc_id)),
 cov AS (SELECT *, greatest(0, least(char_end, p_end) - greatest(char_start, p_start)) / (p_end - p_start) coverage, char_start <= p_start AND char_end >= p_end whole FROM got)"""
 
@@ -314,7 +315,7 @@ def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gold_and_hits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rows = chunks(spark, sf_dir).select(F.concat(F.col("doc_id").cast("string"), F.lit("-"), F.col("position").cast("string")).alias("chunk_id"), F.col("doc_id").alias("source_id"), "char_start", "char_end", "text")
+    rows = chunks(spark, sf_dir).select((F.col("doc_id") * 1_000_000 + F.col("position")).alias("chunk_id"), F.col("doc_id").alias("source_id"), "char_start", "char_end", "text")
     scored = retrieval.bm25_scores(rows, benchmark_queries(spark, sf_dir), "chunk_id", "text").withColumn("score", F.round("score", 9))
     hits = retrieval.top_k(scored, 20, "chunk_id").select("qid", "chunk_id", "rank")
     return gold(spark, sf_dir), hits.join(rows.drop("text"), "chunk_id")
