@@ -19,7 +19,8 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     labels = materialize(both.groupBy("node").agg(F.min("near").alias("least")).select("node", F.least("node", "least").alias("root")), "labels")
     while True:
         around = both.join(labels.select(F.col("node").alias("near"), "root"), "near").groupBy("node").agg(F.min("root").alias("around"))
-        hooked = labels.join(around, "node").select("node", F.col("root").alias("old"), F.least("root", "around").alias("root"))
+        # written, so that the jump deals both sides out itself and the rows of a giant component's root can be split
+        hooked = materialize(labels.join(around, "node").select("node", F.col("root").alias("old"), F.least("root", "around").alias("root")), "hooked")
         targets = hooked.select(F.col("node").alias("root"), F.col("root").alias("next"))
         jumped = materialize(hooked.join(targets, "root").select("node", F.col("next").alias("root"), (F.col("next") != F.col("old")).alias("moved")), "labels")
         labels = jumped.select("node", "root")

@@ -14,16 +14,18 @@ most 2,080 others within two bits: neither rows nor links grow with the square o
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
 from itertools import repeat
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillgrid.llm.common import materialize
+from quillgrid.llm.common import bounded_batches, materialize
 from quillgrid.llm.graph import connected_components
 
 SHINGLE_WORDS = 3
@@ -53,15 +55,17 @@ def fingerprint(text: str | None, words: int = SHINGLE_WORDS, seed: int = SEED)
     return int(np.packbits((2 * ones > n).astype(np.uint8), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprint_column(text: Column, words: int = SHINGLE_WORDS, seed: int = SEED) -> Column:
-    """The fingerprint as a signed long (the same 64 bits)."""
+def _printed(batches: Iterator[pa.RecordBatch], words: int, seed: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        made = np.fromiter((fingerprint(x.as_py(), words, seed) for x in batch.column("text")), dtype=np.uint64, count=len(batch))
+        kept = [c for c in batch.schema.names if c != "text"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(made.view(np.int64))], [*kept, "fp"])
 
-    @F.pandas_udf(T.LongType())
-    def of(texts: pd.Series) -> pd.Series:
-        made = np.fromiter((fingerprint(x, words, seed) for x in texts), dtype=np.uint64, count=len(texts))
-        return pd.Series(made.view(np.int64))
 
-    return of(text)
+def with_fingerprint(rows: DataFrame, words: int = SHINGLE_WORDS, seed: int = SEED) -> DataFrame:
+    """``rows`` with their column ``text`` replaced by its fingerprint ``fp`` as a signed long (the same 64 bits)."""
+    schema = T.StructType([*(f for f in rows.schema if f.name != "text"), T.StructField("fp", T.LongType())])
+    return bounded_batches(rows).mapInArrow(partial(_printed, words=words, seed=seed), schema)
 
 
 def _cut(bits: Column, at: int, width: int) -> Column:
@@ -89,7 +93,11 @@ def variant_keys(fp: Column) -> Column:
 
 def links(fingerprints: DataFrame, fp: str = "fp") -> DataFrame:
     """(a, b), a < b: all pairs of different fingerprints of the column that differ in one or two bits."""
-    index = fingerprints.select(F.col(fp).alias("f")).where("f is not null").distinct().select("f", F.explode(variant_keys(F.col("f"))).alias("key"))
+    known = fingerprints.select(F.col(fp).alias("f")).where("f is not null").distinct()
+    # small until each becomes 70 rows: partitions whose number is given aren't merged by size before that, and a key of
+    # their own keeps this exchange apart from the one of the distinct
+    spread = known.repartition(int(known.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("f"))
+    index = spread.select("f", F.explode(variant_keys(F.col("f"))).alias("key"))
     differs = F.col("a").bitwiseXOR(F.col("b"))
     kind = F.shiftrightunsigned(F.col("key"), 48)
     deleted = F.when(kind >= 6, F.expr("shiftleft(1L, cast(32 + shiftright(shiftrightunsigned(key, 48) - 6, 1) as int))")).otherwise(F.lit(0).cast("long"))
@@ -106,16 +114,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     their fingerprint and component; a repeated row gives a repeated row. A null doc_id stays null and gets the component
     of its fingerprint, which is null only if no row there has a doc_id. An empty table gives no rows. Other columns,
     whatever their names, are not read."""
-    prints = materialize(docs.select(F.col(doc_id).alias("doc_id"), fingerprint_column(F.col(text)).alias("fp")), "fingerprints")
+    prints = materialize(with_fingerprint(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))), "fingerprints")
     return _grouped(prints).select("doc_id", "fp", "component_id")
 
 
 def _grouped(prints: DataFrame) -> DataFrame:
     """Rows with doc_id and fp, and the component_id of each."""
     roots = connected_components(links(prints))
-    each = prints.groupBy("fp").agg(F.min("doc_id").alias("least")).join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    named = each.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = each.join(named, "root").select("fp", "component_id")
+    each = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")).join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"), "prints")
+    # written, so that joins deal both sides out themselves and the rows of a giant component or a frequent text can be split
+    named = materialize(each.groupBy("root").agg(F.min("least").alias("component_id")), "components")
+    by_print = materialize(each.join(named, "root").select("fp", "component_id"), "prints")
     return prints.join(by_print, "fp")
 
 
@@ -128,8 +137,11 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
 
     Repeated rows of that doc_id in the group stay together; rows of one doc_id with texts of different groups are judged
     each in its own group. A group without any doc_id stays whole."""
-    text_hash = F.xxhash64(F.col(text))
-    prints = materialize(docs.select(F.col(doc_id).alias("doc_id"), text_hash.alias("_hash"), fingerprint_column(F.col(text)).alias("fp")), "fingerprints")
+    text_hash = F.coalesce(F.md5(F.col(text)), F.lit("-"))
+    prints = materialize(with_fingerprint(docs.select(F.col(doc_id).alias("doc_id"), text_hash.alias("hash"), F.col(text).alias("text"))), "fingerprints")
     found = _grouped(prints).where(F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id")))
-    stays = found.select(F.col("doc_id").alias("_id"), "_hash").distinct()
-    return docs.join(stays, docs[doc_id].eqNullSafe(stays["_id"]) & (F.xxhash64(docs[text]) == stays["_hash"]), "left_semi")
+    stays = materialize(found.select("doc_id", "hash").distinct(), "kept")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r")  # so that no column's name meets those of this join
+    rows = docs.select(row, F.col(doc_id).alias("own"), text_hash.alias("own_hash"))
+    met = rows.join(stays, rows.own.eqNullSafe(stays.doc_id) & (rows.own_hash == stays["hash"]), "left_semi")
+    return met.select(*[F.col(f"r.`{c}`").alias(c) for c in docs.columns])
