@@ -154,3 +154,28 @@ def test_line_dedup_of_odd_rows(odd, odd_rows, none):
     assert by_id[9].text == "more words at the end" and by_id[10].text == text[10]
     assert [r.text for r in found if r.doc_id is None and r.text is not None] == [""]  # null is later than any other
     assert linededup.dedup_lines(none).count() == 0
+
+
+def test_blocks_shared_by_later_documents_go(spark):
+    """Documents 0 and 1 hold one line each of a block of six words that only 2 and 3 hold whole."""
+    rows = [(0, "own zero\none two three"), (1, "own one\nfour five six"), (2, "head of two\none two three\nfour five six"), (3, "another head\none two three\nfour five six\nend")]
+    found = {r.doc_id: r.text for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {0: rows[0][1], 1: rows[1][1], 2: rows[2][1], 3: "another head\nend"} == plain_lines(rows)
+
+
+def test_very_many_lines_and_a_common_window(spark):
+    body = [f"line number {i} of a very long document" for i in range(60_000)]
+    rows = [(1, "\n".join(body)), (2, "\n".join(["new first line of the second one", *body, "and its last"]))]
+    rng = random.Random(8)
+    common = ["this passage stands in every document here", "and goes on for another line"]
+    rows += [(100 + i, "\n".join([f"title {i}", *common, f"own words of number {i} only {rng.random()}"])) for i in range(400)]
+    found = {r.doc_id: r for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert found[2].text == "new first line of the second one\nand its last" and found[2].lines_deleted == 60_000
+    assert found[100].lines_deleted == 0 and all(found[100 + i].lines_deleted == 2 for i in range(1, 400))
+
+
+def test_extra_columns_pass_near_dedup(odd):
+    assert simhash.keep_one(odd).columns == odd.columns
+    assert [c for c in linededup.dedup_lines(odd).columns if c != "lines_before"] == [c for c in odd.columns if c != "lines_deleted"] + ["lines_deleted"]
+    kept = linededup.dedup_lines(odd).where("doc_id = 6").first()
+    assert (kept._rid, kept._gone, kept.r, kept.lines, kept["a b"]) == ("r", 1, 2, 3, 6)

@@ -142,11 +142,44 @@ def test_recall_and_scores(spark):
 
 
 def test_odd_vectors(spark):
-    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, []), (5, [float("nan"), 1.0]), (6, [0.0, 0.0]), (7, [None, 1.0]), (8, [float("inf"), 0.0]), (20, [0.5, 0.5]), (40, None), (None, [1.0, 1.0]), (9, [1.0, 2.0, 3.0]), (1, [1.0, 0.0])]
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, []), (5, [float("nan"), 1.0]), (6, [0.0, 0.0]), (7, [None, 1.0]), (8, [float("inf"), 0.0]), (20, [0.5, 0.5]), (40, None), (None, [1.0, 1.0]), (9, [1.0, 2.0, 3.0]), (1, [1.0, 0.0]), (60, [1.0, 1.0, 0.5])]
     df = spark.createDataFrame([(i, v, 1, "x") for i, v in rows], "vec_id long, embedding array<double>, rank int, shard string")
     found = [tuple(r) for r in ann.nearest(df, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect()]
-    assert found == [(0, 1, 1, 1.0), (0, 2, 2, 1.0), (0, 3, 20, 0.5), (20, 1, 0, 0.5), (20, 2, 1, 0.5), (20, 3, 2, 0.5)]
+    assert found == [(0, 1, 1, 1.0), (0, 2, 2, 1.0), (0, 3, 20, 0.5), (20, 1, 0, 0.5), (20, 2, 1, 0.5), (20, 3, 2, 0.5), (60, 1, 9, 4.5)]  # 9 and 60 have another length, and meet each other only
     assert ann.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
     same = spark.createDataFrame([(i, [0.6, 0.8]) for i in range(100)], "vec_id long, embedding array<double>")
     ties = ann.nearest(same, F.col("vec_id") % 20 == 0)
     assert [r.vec_id for r in ties.where("query_id = 20").orderBy("rank").collect()] == list(range(20))
+
+
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
+def test_recall_on_embeddings(spark, size):
+    path = f"/root/testdata/{size}/embeddings.parquet"
+    ids, vectors = zip(*duckdb.sql(f"SELECT vec_id, embedding::DOUBLE[] FROM '{path}' ORDER BY 1").fetchall(), strict=True)
+    found = defaultdict(set)
+    for r in ann.nearest(spark.read.parquet(path), F.col("vec_id") % 20 == 0).collect():
+        found[r.query_id].add(r.vec_id)
+    wanted = exact(list(ids), np.array(vectors), [i for i in ids if i % 20 == 0], 20)
+    assert found.keys() == wanted.keys() and all(len(v) == 20 for v in found.values())
+    assert sum(len(found[q] & {v for v, _ in best}) for q, best in wanted.items()) / (20 * len(wanted)) >= 0.9
+
+
+def test_few_are_verified():
+    rng = np.random.default_rng(5)
+    vectors = rng.normal(size=(8000, 64))
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    shard, ids = ann.Shard(np.arange(8000), vectors, 20), np.arange(40)
+    found = shard.search(ids, vectors[:40], 20)
+    assert np.mean([n for _, _, n in found]) / 8000 < 0.15
+    hits = [len(set(v.tolist()) & {i for i in np.argsort(-(vectors @ vectors[q]), kind="stable")[:21].tolist() if i != q}) for q, (v, _, _) in enumerate(found)]
+    assert np.mean(hits) >= 0.85 * 20
+
+
+def test_mix_plan_of_many_sources(spark):
+    rng = random.Random(2)
+    rows = [(i, " ".join(["w"] * rng.randint(0, 30)), f"s{rng.randrange(40)}") for i in range(3000)]
+    found = plan_of(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    taken, target = defaultdict(int), {r.source: r.target for r in found}
+    for r in found:
+        taken[r.source] += r.taken
+    assert all(abs(taken[s] - target[s]) <= 2 for s in target)

@@ -100,3 +100,50 @@ def test_views_hand_labels_over():
     for model, k in zip(models, (4, 3), strict=True):
         assert np.mean((model.logit(make(test, k)) > 0) == test) > 0.9
     assert cotraining.cotrain(make(y, 4), make(y, 3), np.ones(20), make(hidden, 4), make(hidden, 3)) is None
+
+
+def test_toxicity_ranks_held_out_documents(spark):
+    """AUC over the held-out quarter of a larger table; no word has a score but by the machine."""
+    where = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{where}/{t}.parquet") for t in ("documents", "labels"))
+    found = {r.doc_id: r.score for r in toxicity.toxicity(docs, labels).where("held_out").select("doc_id", "score").collect()}
+    known = duckdb.sql(f"SELECT doc_id, toxic FROM '{where}/labels.parquet' WHERE toxic IS NOT NULL").fetchall()
+    bad, good = [found[i] for i, t in known if t and i in found], [found[i] for i, t in known if not t and i in found]
+    assert np.mean([(b > g) + (b == g) / 2 for b in bad for g in good]) >= 0.95
+    assert np.mean([g < 0.3 for g in good]) > 0.97 and np.mean([b >= 0.3 for b in bad]) > 0.85
+
+
+def test_a_words_value_is_its_kernel_sum(labelled):
+    """The trained machine has no values of its own for known words."""
+    train = [r for r in labelled if zlib.crc32(str(r[0]).encode()) % 4 != 2][:150]
+    machine = toxicity.train([r[1] for r in train], [r[2] for r in train])
+    words = sorted({w for r in train[:40] for w in r[1].lower().split() if w.isalpha() and len(w) < 20})[:200]
+    index, weight = toxicity.subsequences(words, max(map(len, words)))
+    assert np.allclose(machine.values(words), (machine.weights[index] * weight).sum(axis=1) + machine.bias, atol=1e-4)
+    assert np.allclose([machine.largest([w])[0] for w in words[:50]], machine.values(words[:50]))
+
+
+def test_samples_have_one_row_an_id(spark):
+    docs = spark.createDataFrame([(i % 3, f"text {i % 3} of", "en", "s", 9) for i in range(3000)], "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(0, 1, 1), (1, 0, 0), (2, None, None)], "doc_id long, toxic int, quality int")
+    assert len(toxicity.training_rows(docs, labels)[0]) <= 2
+    rows, others, share = cotraining._sample(docs, labels, 10, 10)
+    assert len(rows) == 2 and len(others) == 1 and share == 0.5
+    long = spark.createDataFrame([(0, "x " * toxicity.TRAIN_CHARS), (1, "ok")], "doc_id long, text string")
+    assert all(len(r["_text"]) <= toxicity.TRAIN_CHARS for r in toxicity.training_rows(long, labels)[0])
+
+
+def test_views_share_no_feature_and_mostly_agree(spark, labelled):
+    content, metadata = cotraining.views("some plain words\nin two lines", 30, "en", "s1")
+    same, other = cotraining.views("xxxx yyyyy zzzzz\nqq rrr sssss", 30, "en", "s1")
+    assert np.array_equal(metadata, other) and not np.array_equal(content, same)
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    scored = cotraining.quality(docs, labels).selectExpr("avg(if((content_score >= 0.5) = (metadata_score >= 0.5), 1, 0)) agree").first()
+    assert scored.agree > 0.8
+
+
+def test_quality_keeps_clashing_columns(spark, odd):
+    labels = spark.createDataFrame([(0, 1), (8, 1), (11, 0), (6, 0)], "doc_id long, quality int")
+    found = cotraining.quality(odd, labels)
+    assert found.columns == [c for c in odd.columns if c not in cotraining.SCORES] + list(cotraining.SCORES)
+    assert {(r._logits, r.r, r.z) for r in found.collect()} == {(0.1, 2, "z")}

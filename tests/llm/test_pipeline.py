@@ -81,3 +81,23 @@ def test_packing_holds_every_copy(stages):
             at += length
         assert at <= 4096
     check_packing([type("Row", (), r) for r in once], texts, 4096)
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stage_on_odd_rows_and_an_empty_table(spark, sf, odd, none, name):
+    stage = dict(corpus_pipeline.STAGES)[name]
+    found = stage(spark, odd, sf).collect()
+    wanted = {r.doc_id for r in odd.select("doc_id").collect()}
+    assert {r.doc_id for r in found} <= wanted and len(found) > 0
+    if name != "best_fit_packing":
+        assert stage(spark, odd, sf).columns == stage(spark, none, sf).columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    else:
+        assert {r.doc_id for r in found} == wanted
+    assert stage(spark, none, sf).count() == 0
+
+
+def test_all_stages_in_a_row_on_odd_rows(spark, sf, odd):
+    docs = odd
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, sf)
+    assert docs.where("length > 4096 or offset + length > 4096").count() == 0

@@ -143,13 +143,14 @@ def test_packing_over_many_shards(spark):
 
 def test_evolution_never_gets_worse_and_keeps_every_piece():
     rng = random.Random(6)
-    lengths = [rng.randint(20, 70) for _ in range(200)]
-    first = packing.best_fit(list(range(200)), lengths, 100)
-    best = packing.evolve([first, packing.best_fit(sorted(range(200), key=lambda i: -lengths[i]), lengths, 100)], lengths, 100, 10, rng)[0]
-    assert len(best) <= len(first) and sorted(i for b in best for i in b) == list(range(200)) and all(sum(lengths[i] for i in b) <= 100 for b in best)
+    lengths = sorted((rng.randint(20, 70) for _ in range(200)), reverse=True)
+    first = packing.best_fit(sorted(range(200), key=lambda i: lengths[i]), lengths, 100)
+    best = packing.evolve([first, *packing.seeds(lengths, 100, rng)], lengths, 100, 10, rng)[0]
+    assert len(best) <= len(first) and sorted(i for _, b in best for i in b) == list(range(200))
+    assert all(used == sum(lengths[i] for i in b) <= 100 for used, b in best)
     # a case whose best is known: each bin is a pair
-    pairs = [x for _ in range(20) for x in (63, 37)]
-    assert len(packing.evolve([packing.best_fit(list(range(40)), pairs, 100)], pairs, 100, 5, rng)[0]) == 20
+    pairs = sorted((x for _ in range(20) for x in (63, 37)), reverse=True)
+    assert len(packing.evolve(packing.seeds(pairs, 100, rng), pairs, 100, 5, rng)[0]) == 20
 
 
 def test_packing_of_odd_rows(odd, odd_rows, none):
@@ -157,3 +158,63 @@ def test_packing_of_odd_rows(odd, odd_rows, none):
     assert len([r for r in rows if r.piece == 0]) == len(odd_rows)
     assert sum(1 for r in rows if r.length == 1 and r.piece == 0) == 6  # null, empty and blank texts
     assert packing.pack_documents(none).count() == 0
+
+
+def test_large_ids_beside_a_null_id_stay_whole(spark):
+    ids = [9007199254740993, None, 9223372036854775807]
+    docs = spark.createDataFrame([(i, "some words\nof text") for i in ids], "doc_id long, text string").coalesce(1)
+    for made in (packing.pack_documents(docs).select("doc_id"), tokencounts.token_counts(docs, "doc_id", "text").select("key"), tokenpack.unpack(tokenpack.pack_token_ids(docs)).select("doc_id")):
+        assert {r[0] for r in made.collect()} == set(ids)
+
+
+def exhaustive(lengths, capacity):
+    """The least number of bins, by trying every bin for every piece."""
+    best = [len(lengths)]
+
+    def place(i, free):
+        if len(free) >= best[0]:
+            return
+        if i == len(lengths):
+            best[0] = len(free)
+            return
+        for k in range(len(free)):
+            if free[k] >= lengths[i] and free[k] not in free[:k]:
+                place(i + 1, [*free[:k], free[k] - lengths[i], *free[k + 1 :]])
+        place(i + 1, [*free, capacity - lengths[i]])
+
+    place(0, [])
+    return best[0]
+
+
+def test_evolution_finds_the_optimum_that_the_seed_misses():
+    missed = 0
+    rng = random.Random(12)
+    for _ in range(12):
+        lengths = sorted((x for _ in range(4) for x in (lambda a, b: (a, b, 100 - a - b))(rng.randint(26, 48), rng.randint(20, 35))), reverse=True)
+        least = exhaustive(lengths, 100)
+        seed = packing.best_fit(list(range(len(lengths))), lengths, 100)
+        population = packing.seeds(lengths, 100, rng)
+        for _ in range(packing.EPOCHS):
+            population = packing.evolve(population, lengths, 100, packing.GENERATIONS, rng)
+        missed += len(seed) > least
+        assert len(population[0]) == least
+    assert missed >= 3
+
+
+def test_small_shards_reach_the_bound_over_levels(spark):
+    rng = random.Random(7)
+    lengths = [min(4095, int(rng.lognormvariate(6.3, 0.9)) + 20) for _ in range(2000)]
+    report = []
+    items = spark.createDataFrame(list(enumerate(lengths)), "item long, length long")
+    rows = items.join(packing.pack(items, 4096, shard_pieces=200, report=report), "item").collect()
+    places = defaultdict(list)
+    for r in rows:
+        places[r.sequence_id].append((r.offset, r.length))
+    assert len(rows) == 2000 and len(places) <= math.ceil(sum(lengths) / 4096) + 1
+    for own in places.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= 4096
+    assert len(report) >= 2 and report[0][:2] == (0, 10) and report[0][2] > 0
