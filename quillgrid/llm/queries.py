@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgrid.llm import ann, cotraining, linededup, media, merkle, mixing, negatives, packing, simhash, tokencounts, tokenpack, toxicity
+from quillgrid.llm import ann, cotraining, linededup, media, merkle, mixing, negatives, packing, sigtree, simhash, tokencounts, tokenpack, toxicity
 from quillgrid.llm.common import table
 
 
@@ -65,6 +65,10 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"), merkle.without_newlines())
 
 
+def op13_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sigtree.similar_components(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: made for name, made in globals().items() if name.startswith("op") and name[2].isdigit()}
 
@@ -79,6 +83,15 @@ FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT own AND 50 * positive_score <
 WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) QUALIFY row_number() OVER w <= 3"""
 
 
+_JACCARD = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
+e AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM s),
+links AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.t = b.t AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, c.component_id FROM s JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON c.a = s.doc_id"""
+
+
 def _merkle_sql(levels: int = 9, outer: int = 4) -> str:
     """Level by level, as many as 19,683 rows a source and 81 sources need; a tree that has reached its root stays as it is."""
     part = lambda c: f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')"
@@ -107,4 +120,4 @@ def _merkle_sql(levels: int = 9, outer: int = 4) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op11_hard_negatives": _HARD_NEGATIVES, "op12_merkle_manifest": _merkle_sql()}
+    return {"op11_hard_negatives": _HARD_NEGATIVES, "op12_merkle_manifest": _merkle_sql(), "op13_ngram_jaccard": _JACCARD}
