@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgrid.llm.common import bounded_batches, materialize
@@ -37,16 +37,31 @@ COUNTERS = 1 << 18  # of the table of token frequencies
 BITS = 1 << 14  # of a signature, at most
 LEAF = 256  # members of a leaf node
 HELD = 8192  # pairs of one class that are verified in a task
+CACHED = 50_000  # words whose hashes a worker keeps
+SIEVE = 1 << 23  # bits of the filter that texts of wanted classes pass
 PAIRS = 4096  # pairs of nodes that are looked at together
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], dtype=np.uint64)
 
 
+class _Hashes(dict):
+    """Hashes of words met lately."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= CACHED:
+            self.clear()
+        self[word] = found = xxhash.xxh64_intdigest(word)
+        return found
+
+
+_HASHES = _Hashes()
+
+
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     """The sorted 64-bit hashes of a text's distinct shingles; with fewer words that of the whole sequence; without words none."""
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and the six ASCII blanks only
     if not tokens:
         return np.empty(0, np.uint64)
-    hashed = np.fromiter(map(xxhash.xxh64_intdigest, tokens), dtype=np.uint64, count=len(tokens))
+    hashed = np.fromiter(map(_HASHES.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
     k = min(words, len(tokens))
     made = np.full(len(tokens) - k + 1, k, np.uint64)
     for i in range(k):
@@ -100,6 +115,14 @@ def prefix(tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return tokens[order[: prefix_length(len(tokens))]]
 
 
+def signature(tokens: np.ndarray) -> np.ndarray:
+    """A bitmap of the tokens, of a power of two of bits, two for each token at least while that is at most BITS."""
+    width = min(BITS, max(64, 1 << (2 * len(tokens) - 1).bit_length()))
+    bits = np.zeros(width, np.uint8)
+    bits[((tokens >> np.uint64(20)) & np.uint64(width - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").view(np.uint64)
+
+
 def _prefixed(batches: Iterator[pa.RecordBatch], words: int, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [shingles(t.as_py(), words) for t in batch.column("text")]
@@ -107,23 +130,15 @@ def _prefixed(batches: Iterator[pa.RecordBatch], words: int, counts: np.ndarray)
         ids = [_identity(s) for s in sets]
         values = pa.array(np.concatenate(first).view(np.int64) if first else np.empty(0, np.int64))
         offsets = pa.array(np.concatenate([[0], np.cumsum([len(p) for p in first])]).astype(np.int32))
-        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("doc_id"), pa.array([i for i, _ in ids], pa.int64()), pa.array([i for _, i in ids], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(offsets, values)], ["key", "doc_id", "h1", "h2", "n", "prefix"])
+        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("doc_id"), pa.array([i for i, _ in ids], pa.int64()), pa.array([i for _, i in ids], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(offsets, values), pa.array([signature(s).tobytes() for s in sets], pa.binary())], ["key", "doc_id", "h1", "h2", "n", "prefix", "bitmap"])
 
 
-def signature(tokens: np.ndarray) -> np.ndarray:
-    """A bitmap of the tokens, of a power of two of bits, two for each token at least while that is at most BITS."""
-    width = min(BITS, max(64, 1 << (2 * len(tokens) - 1).bit_length()))
-    bits = np.zeros(width, np.uint8)
-    bits[((tokens >> np.uint64(20)) & np.uint64(width - 1)).astype(np.int64)] = 1
-    return np.packbits(bits, bitorder="little").view(np.uint64)
-
-
-def _signed(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+def _whole(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [shingles(t.as_py(), words) for t in batch.column("text")]
         same = np.array([_identity(s) == (a, b) for s, a, b in zip(sets, batch.column("h1").to_pylist(), batch.column("h2").to_pylist(), strict=True)], dtype=bool)
         at = np.flatnonzero(same)
-        yield pa.RecordBatch.from_arrays([batch.column("cls").take(pa.array(at)), pa.array([len(sets[i]) for i in at], pa.int64()), pa.array([sets[i].tobytes() for i in at], pa.binary()), pa.array([signature(sets[i]).tobytes() for i in at], pa.binary())], ["cls", "n", "tokens", "bitmap"])
+        yield pa.RecordBatch.from_arrays([batch.column("cls").take(pa.array(at)), pa.array([sets[i].tobytes() for i in at], pa.binary())], ["cls", "tokens"])
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,14 +249,48 @@ def _met(batches: Iterator[pa.RecordBatch], other: bool) -> Iterator[pa.RecordBa
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(bound)], ["a", "b", "bound"])
 
 
-def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b) of the pairs that link. A class of many pairs meets them in several tasks, HELD pairs each."""
+def _plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs whose bitmaps and sizes let them be alike."""
+    num, den = LIKE
+    for batch in batches:
+        good = []
+        for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+            (m, a), (n, b) = ((v["n"].as_py(), np.frombuffer(v["bitmap"].as_buffer(), np.uint64)) for v in (x, y))
+            words = min(len(a), len(b))
+            a, b = (np.bitwise_or.reduce(v.reshape(-1, words), axis=0) for v in (a, b))
+            ones = [int(np.bitwise_count(v).sum()) for v in (a, b, a & b)]
+            good.append((num + den) * min(ones[2] + min(m - ones[0], n - ones[1]), m, n) >= num * (m + n))
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(good, pa.bool_())], ["a", "b", "linked"])
+
+
+def _paired(pairs: DataFrame, held: DataFrame, value: Column) -> DataFrame:
+    """(a, b, x, y): the pairs with ``value`` of each of their classes. A class of many pairs meets them in several tasks, HELD each."""
     fan = pairs.groupBy(F.col("a").alias("one")).agg(F.ceil(F.count("*") / HELD).alias("shares"))
     dealt = pairs.join(fan, pairs.a == fan.one).select("a", "b", F.pmod(F.xxhash64("b"), F.col("shares")).alias("share"))
-    shared = sets.select(F.col("cls").alias("one"), F.col("tokens").alias("x")).join(fan, "one").select("one", "x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("part"))
+    shared = held.select(F.col("cls").alias("one"), value.alias("x")).join(fan, "one").select("one", "x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("part"))
     half = dealt.join(shared, (dealt.a == shared.one) & (dealt.share == shared.part)).select("a", "b", "x")
-    whole = half.join(sets.select(F.col("cls").alias("two"), F.col("tokens").alias("y")), F.col("b") == F.col("two")).select("a", "b", "x", "y")
-    return whole.mapInArrow(_verified, "a long, b long, linked boolean").where("linked").select("a", "b")
+    return half.join(held.select(F.col("cls").alias("two"), value.alias("y")), F.col("b") == F.col("two")).select("a", "b", "x", "y")
+
+
+def _token_sets(given: DataFrame, classes: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
+    """(cls, tokens) of the classes of ``pairs``, cut from one text of each.
+
+    Texts pass a filter of SIEVE bits (one row, whatever the number of classes) before they are shuffled."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    wanted = materialize(classes.join(ends, "cls").select("cls", "key", "h1", "h2"), "wanted")
+    word, bit = F.expr(f"pmod(key, {SIEVE}L) div 64"), F.expr("shiftleft(1L, cast(pmod(key, 64L) as int))")
+    marked = wanted.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits"))
+    full = wanted.sparkSession.range(SIEVE // 64).withColumnRenamed("id", "word").join(marked, "word", "left").select("word", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
+    sieve = full.agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "bits"))), lambda x: x["bits"]).alias("sieve"))
+    some = given.crossJoin(F.broadcast(sieve)).where(F.get("sieve", word.cast("int")).bitwiseAND(bit) != 0).select("key", "text")
+    cut = some.join(wanted, "key").select("cls", "h1", "h2", "text").mapInArrow(partial(_whole, words=words), "cls long, tokens binary")
+    return materialize(cut.groupBy("cls").agg(F.first("tokens").alias("tokens")), "sets")
+
+
+def _verify(pairs: DataFrame, given: DataFrame, classes: DataFrame, words: int) -> DataFrame:
+    """(a, b) of the pairs that link, by whole sets."""
+    sets = _token_sets(given, classes, pairs, words)
+    return _paired(pairs, sets, F.col("tokens")).mapInArrow(_verified, "a long, b long, linked boolean").where("linked").select("a", "b")
 
 
 def _components(links: DataFrame) -> DataFrame:
@@ -254,12 +303,12 @@ def _tagged(rows: DataFrame, comps: DataFrame, cls: str = "cls", comp: str = "co
     return rows.join(named, cls, "left").withColumn(comp, F.coalesce(comp, cls))
 
 
-def candidates(members: DataFrame, comps: DataFrame, sets: DataFrame) -> DataFrame:
+def candidates(members: DataFrame, comps: DataFrame, classes: DataFrame) -> DataFrame:
     """(a, b, bound): pairs of classes of different components that the trees let through. members: token, cls."""
     tagged = materialize(_tagged(members, comps), "members")
     held = tagged.groupBy("token").agg(F.min("comp").alias("first"), F.max("comp").alias("last"), F.count("*").alias("many"), F.bit_xor(F.xxhash64("cls")).alias("x1"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("x2"))
     trees = held.where("first < last").groupBy("many", "x1", "x2").agg(F.min("token").alias("tree"))
-    own = tagged.withColumnRenamed("token", "tree").join(trees.select("tree"), "tree").join(sets.select("cls", "n", "bitmap"), "cls").select("tree", "cls", "comp", "n", "bitmap")
+    own = tagged.withColumnRenamed("token", "tree").join(trees.select("tree"), "tree").join(classes.select("cls", "n", "bitmap"), "cls").select("tree", "cls", "comp", "n", "bitmap")
     order = ["tree", "n", "cls"]
     width = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     leaves = materialize(own.repartitionByRange(width, *order).sortWithinPartitions(*order).mapInArrow(partial(_leaves, limit=LEAF), _LEAF_SQL), "leaves")
@@ -292,21 +341,20 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     counts = np.zeros((-(-COUNTERS // _PART), min(_PART, COUNTERS)), np.int64)
     for r in parts.collect():  # COUNTERS numbers
         counts[r.part] = np.frombuffer(r.counts, np.int64)
-    prefixed = given.mapInArrow(partial(_prefixed, words=words, counts=counts.ravel()), "key long, doc_id long, h1 long, h2 long, n long, prefix array<long>")
-    each = prefixed.where("n > 0").groupBy("h1", "h2").agg(F.min("key").alias("key"), F.min("doc_id").alias("least"), F.first("prefix").alias("prefix"))
+    prefixed = given.mapInArrow(partial(_prefixed, words=words, counts=counts.ravel()), "key long, doc_id long, h1 long, h2 long, n long, prefix array<long>, bitmap binary")
+    each = prefixed.where("n > 0").groupBy("h1", "h2").agg(F.min("key").alias("key"), F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("n", "prefix", "bitmap")])
     classes = materialize(each.withColumn("cls", F.monotonically_increasing_id()), "classes")
     tokens = classes.select("cls", F.explode("prefix").alias("token"))
     shared = tokens.groupBy("token").agg(F.min("cls").alias("head"), F.max("cls").alias("tail")).where("head < tail").select("token", "head")
     members = materialize(tokens.join(shared, "token").select("token", "cls", "head"), "members")
-    wanted = members.select("cls").distinct().join(classes.select("cls", "key", "h1", "h2"), "cls")
-    signed = given.select("key", "text").join(wanted, "key").select("cls", "h1", "h2", "text").mapInArrow(partial(_signed, words=words), "cls long, n long, tokens binary, bitmap binary")
-    sets = materialize(signed.groupBy("cls").agg(*[F.first(c).alias(c) for c in ("n", "tokens", "bitmap")]), "sets")
     # each class with the heads of the trees that it shares most with
     stars = members.where("cls <> head").groupBy("head", "cls").agg(F.count("*").alias("many"))
     best = Window.partitionBy("cls").orderBy(F.desc("many"), "head")
-    found = materialize(_verify(stars.withColumn("at", F.row_number().over(best)).where("at <= 2").select(F.col("head").alias("a"), F.col("cls").alias("b")), sets), "links")
+    most = stars.withColumn("at", F.row_number().over(best)).where("at <= 2").select(F.col("head").alias("a"), F.col("cls").alias("b"))
+    hopeful = _paired(materialize(most, "stars"), classes, F.struct("n", "bitmap")).mapInArrow(_plausible, "a long, b long, linked boolean").where("linked").select("a", "b")
+    found = materialize(_verify(materialize(hopeful, "stars"), given, classes, words), "links")
     comps = _components(found)
-    open_ = candidates(members.select("token", "cls"), comps, sets)
+    open_ = candidates(members.select("token", "cls"), comps, classes)
     take = 4
     while True:
         open_ = materialize(_tagged(_tagged(open_, comps, "a", "ca"), comps, "b", "cb").where("ca <> cb"), "open")
@@ -314,7 +362,7 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
             break
         alike = Window.partitionBy(F.least("ca", "cb"), F.greatest("ca", "cb")).orderBy(F.desc("bound"), "a", "b")
         ranked = materialize(open_.withColumn("at", F.row_number().over(alike)), "ranked")
-        found = materialize(found.unionByName(_verify(ranked.where(F.col("at") <= take).select("a", "b"), sets)), "links")
+        found = materialize(found.unionByName(_verify(ranked.where(F.col("at") <= take).select("a", "b"), given, classes, words)), "links")
         comps, open_ = _components(found), ranked.where(F.col("at") > take).select("a", "b", "bound")
         take *= 16
     placed = materialize(_tagged(classes.select("h1", "h2", "cls", "least"), comps), "placed")
