@@ -37,37 +37,25 @@ COUNTERS = 1 << 18  # of the table of token frequencies
 BITS = 1 << 14  # of a signature, at most
 LEAF = 256  # members of a leaf node
 HELD = 8192  # pairs of one class that are verified in a task
-CACHED = 50_000  # words whose hashes a worker keeps
-SIEVE = 1 << 23  # bits of the filter that texts of wanted classes pass
+SIEVE = 1 << 23  # bits of a filter that goes ahead of a join
+FEW = 10_000  # pairs of leaf nodes whose numbers may be broadcast
 PAIRS = 4096  # pairs of nodes that are looked at together
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], dtype=np.uint64)
 
 
-class _Hashes(dict):
-    """Hashes of words met lately."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHED:
-            self.clear()
-        self[word] = found = xxhash.xxh64_intdigest(word)
-        return found
-
-
-_HASHES = _Hashes()
-
-
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     """The sorted 64-bit hashes of a text's distinct shingles; with fewer words that of the whole sequence; without words none."""
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and the six ASCII blanks only
     if not tokens:
         return np.empty(0, np.uint64)
-    hashed = np.fromiter(map(_HASHES.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
+    hashed = np.fromiter(map(xxhash.xxh64_intdigest, tokens), dtype=np.uint64, count=len(tokens))
     k = min(words, len(tokens))
     made = np.full(len(tokens) - k + 1, k, np.uint64)
     for i in range(k):
         made = (made ^ (made >> np.uint64(29))) * _ODD[i % len(_ODD)] + hashed[i : len(tokens) - k + 1 + i]
     made = (made ^ (made >> np.uint64(32))) * _ODD[1]
-    return np.unique(made ^ (made >> np.uint64(29)))
+    made = np.sort(made ^ (made >> np.uint64(29)))
+    return made[np.concatenate([[True], made[1:] != made[:-1]])]
 
 
 def _identity(tokens: np.ndarray) -> tuple[int, int]:
@@ -272,19 +260,22 @@ def _paired(pairs: DataFrame, held: DataFrame, value: Column) -> DataFrame:
     return half.join(held.select(F.col("cls").alias("two"), value.alias("y")), F.col("b") == F.col("two")).select("a", "b", "x", "y")
 
 
-def _token_sets(given: DataFrame, classes: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
-    """(cls, tokens) of the classes of ``pairs``, cut from one text of each.
-
-    Texts pass a filter of SIEVE bits (one row, whatever the number of classes) before they are shuffled."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    wanted = materialize(classes.join(ends, "cls").select("cls", "key", "h1", "h2"), "wanted")
-    word, bit = F.expr(f"pmod(key, {SIEVE}L) div 64"), F.expr("shiftleft(1L, cast(pmod(key, 64L) as int))")
+def _sieved(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose long ``key`` isn't one of ``wanted``'s: a filter of SIEVE bits, one row whatever the
+    number of keys. It spares a shuffle of rows that a join would drop; the join must follow."""
+    word, bit = F.expr(f"pmod({key}, {SIEVE}L) div 64"), F.expr(f"shiftleft(1L, cast(pmod({key}, 64L) as int))")
     marked = wanted.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits"))
     full = wanted.sparkSession.range(SIEVE // 64).withColumnRenamed("id", "word").join(marked, "word", "left").select("word", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
     sieve = full.agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "bits"))), lambda x: x["bits"]).alias("sieve"))
-    some = given.crossJoin(F.broadcast(sieve)).where(F.get("sieve", word.cast("int")).bitwiseAND(bit) != 0).select("key", "text")
-    cut = some.join(wanted, "key").select("cls", "h1", "h2", "text").mapInArrow(partial(_whole, words=words), "cls long, tokens binary")
-    return materialize(cut.groupBy("cls").agg(F.first("tokens").alias("tokens")), "sets")
+    return rows.crossJoin(F.broadcast(sieve)).where(F.get("sieve", word.cast("int")).bitwiseAND(bit) != 0).select(*rows.columns)
+
+
+def _token_sets(given: DataFrame, classes: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
+    """(cls, tokens) of the classes of ``pairs``, cut from one text of each."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    wanted = materialize(classes.join(ends, "cls").select("cls", "key", "h1", "h2"), "wanted")
+    texts = _sieved(given.select("key", "text"), "key", wanted).groupBy("key").agg(F.first("text").alias("text"))  # rows may be repeated
+    return materialize(texts.join(wanted, "key").select("cls", "h1", "h2", "text").mapInArrow(partial(_whole, words=words), "cls long, tokens binary"), "sets")
 
 
 def _verify(pairs: DataFrame, given: DataFrame, classes: DataFrame, words: int) -> DataFrame:
@@ -322,6 +313,9 @@ def candidates(members: DataFrame, comps: DataFrame, classes: DataFrame) -> Data
     apart = (F.col("first") != F.col("last")) | (F.col("o_first") != F.col("o_last")) | (F.col("first") != F.col("o_first"))
     pairs = materialize(names.join(other, "tree").where(near & apart).select("leaf", "o_leaf"), "leaf-pairs")
     body = ("cls", "comp", "n", "bitmaps")
+    ends = pairs.select(F.explode(F.array("leaf", "o_leaf")).alias("leaf")).distinct()
+    if pairs.count() <= FEW:  # of most trees there is one leaf node only
+        leaves = leaves.join(F.broadcast(ends), "leaf", "left_semi")
     left, right = leaves.select("leaf", *body), leaves.select(F.col("leaf").alias("o_leaf"), *[F.col(c).alias(f"o_{c}") for c in body])
     outer = pairs.join(left, "leaf").join(right, "o_leaf").mapInArrow(partial(_met, other=True), made)
     return materialize(inner.unionByName(outer).groupBy("a", "b").agg(F.max("bound").alias("bound")), "candidates")
@@ -345,8 +339,8 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     each = prefixed.where("n > 0").groupBy("h1", "h2").agg(F.min("key").alias("key"), F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("n", "prefix", "bitmap")])
     classes = materialize(each.withColumn("cls", F.monotonically_increasing_id()), "classes")
     tokens = classes.select("cls", F.explode("prefix").alias("token"))
-    shared = tokens.groupBy("token").agg(F.min("cls").alias("head"), F.max("cls").alias("tail")).where("head < tail").select("token", "head")
-    members = materialize(tokens.join(shared, "token").select("token", "cls", "head"), "members")
+    shared = materialize(tokens.groupBy("token").agg(F.min("cls").alias("head"), F.max("cls").alias("tail")).where("head < tail").select("token", "head"), "shared")
+    members = materialize(_sieved(tokens, "token", shared).join(shared, "token").select("token", "cls", "head"), "members")
     # each class with the heads of the trees that it shares most with
     stars = members.where("cls <> head").groupBy("head", "cls").agg(F.count("*").alias("many"))
     best = Window.partitionBy("cls").orderBy(F.desc("many"), "head")
@@ -355,7 +349,7 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     found = materialize(_verify(materialize(hopeful, "stars"), given, classes, words), "links")
     comps = _components(found)
     open_ = candidates(members.select("token", "cls"), comps, classes)
-    take = 4
+    take = 1
     while True:
         open_ = materialize(_tagged(_tagged(open_, comps, "a", "ca"), comps, "b", "cb").where("ca <> cb"), "open")
         if open_.isEmpty():
@@ -364,7 +358,7 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         ranked = materialize(open_.withColumn("at", F.row_number().over(alike)), "ranked")
         found = materialize(found.unionByName(_verify(ranked.where(F.col("at") <= take).select("a", "b"), given, classes, words)), "links")
         comps, open_ = _components(found), ranked.where(F.col("at") > take).select("a", "b", "bound")
-        take *= 16
+        take *= 8
     placed = materialize(_tagged(classes.select("h1", "h2", "cls", "least"), comps), "placed")
     named = materialize(placed.groupBy("comp").agg(F.min("least").alias("component_id")), "components")
     by_set = materialize(placed.join(named, "comp").select("h1", "h2", "component_id"), "sets-named")
