@@ -10,10 +10,11 @@ together, downwards from their roots: of one member each, no more tokens can be
 tokens that share a bit; where that is less than their sizes need, or the sizes are too far apart, or all members already are
 one component, the pair of nodes is left. Pairs of members that remain are verified by their whole sets.
 
-Only components are asked for. First each class is compared with the smallest member of the trees that it shares most with, so
-that large groups of near copies become one component without their pairs; then trees whose members are one component are
-dropped, trees of the same members are walked once, and pairs of members are verified in rounds, the most alike of any two
-components first, until all that remain lie within components.
+Only components are asked for. First each class is compared with the heads of the trees that it shares most with (a tree's head
+is the member that shares most tokens at all), so that large groups of near copies become one component without their pairs;
+then trees whose members are one component are dropped and trees of the same members are walked once. Walks give the best pairs
+of each member, 1, 4, 16, ... in rounds; between rounds what was linked becomes one component, until no pair is left that was
+not verified.
 """
 
 from __future__ import annotations
@@ -224,8 +225,18 @@ def _leaves(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Record
         yield packed([node()])
 
 
-def _met(batches: Iterator[pa.RecordBatch], other: bool) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of classes: of each leaf node within itself, or of a leaf node and an ``other``."""
+def _places(member: np.ndarray, bound: np.ndarray) -> np.ndarray:
+    """The place, from 0, of each pair among those of its member, the most tokens in common first."""
+    order = np.lexsort((-bound, member))
+    firsts = np.flatnonzero(np.concatenate([[True], np.diff(member[order]) != 0])) if len(member) else np.empty(0, np.int64)
+    places = np.empty(len(member), np.int64)
+    places[order] = np.arange(len(member)) - np.repeat(firsts, np.diff(np.append(firsts, len(member))))
+    return places
+
+
+def _met(batches: Iterator[pa.RecordBatch], other: bool, take: int) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs of classes: of each leaf node within itself, or of a leaf node and an ``other``. Pairs are given that are
+    one of the ``take`` best of a member; ``more``: whether there are others."""
     for batch in batches:
         for row in batch.to_pylist():
             sides = [{k: row[s + k] for k in ("cls", "comp", "n", "bitmaps")} for s in (("", "o_") if other else ("",))]
@@ -234,7 +245,10 @@ def _met(batches: Iterator[pa.RecordBatch], other: bool) -> Iterator[pa.RecordBa
             i, j, bound = walk(trees[0], trees[-1])
             if len(i):
                 a, b = trees[0].cls[i], trees[-1].cls[j]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(bound)], ["a", "b", "bound"])
+                ends, twice = np.concatenate([a, b]), np.concatenate([bound, bound])
+                best = (_places(ends, twice) < take).reshape(2, -1).any(axis=0)
+                more, a, b, bound = bool((~best).any()), a[best], b[best], bound[best]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), row["tree"])), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(bound), pa.array(np.full(len(a), more))], ["tree", "a", "b", "bound", "more"])
 
 
 def _plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,8 +308,9 @@ def _tagged(rows: DataFrame, comps: DataFrame, cls: str = "cls", comp: str = "co
     return rows.join(named, cls, "left").withColumn(comp, F.coalesce(comp, cls))
 
 
-def candidates(members: DataFrame, comps: DataFrame, classes: DataFrame) -> DataFrame:
-    """(a, b, bound): pairs of classes of different components that the trees let through. members: token, cls."""
+def candidates(members: DataFrame, comps: DataFrame, classes: DataFrame, take: int) -> DataFrame:
+    """(tree, a, b, bound, more): pairs of classes of different components that the trees let through, the ``take`` best of each
+    class in a walk; ``more``: whether the walk has others. members: token, cls."""
     tagged = materialize(_tagged(members, comps), "members")
     held = tagged.groupBy("token").agg(F.min("comp").alias("first"), F.max("comp").alias("last"), F.count("*").alias("many"), F.bit_xor(F.xxhash64("cls")).alias("x1"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("x2"))
     trees = held.where("first < last").groupBy("many", "x1", "x2").agg(F.min("token").alias("tree"))
@@ -303,8 +318,8 @@ def candidates(members: DataFrame, comps: DataFrame, classes: DataFrame) -> Data
     order = ["tree", "n", "cls"]
     width = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     leaves = materialize(own.repartitionByRange(width, *order).sortWithinPartitions(*order).mapInArrow(partial(_leaves, limit=LEAF), _LEAF_SQL), "leaves")
-    made = "a long, b long, bound long"
-    inner = leaves.where("first < last").mapInArrow(partial(_met, other=False), made)
+    made = "tree long, a long, b long, bound long, more boolean"
+    inner = leaves.where("first < last").mapInArrow(partial(_met, other=False, take=take), made)
     # pairs of leaf nodes of one tree, by their ranges of sizes and components first; then their members
     names = leaves.select("tree", "leaf", "small", "large", "first", "last")
     other = names.select("tree", *[F.col(c).alias(f"o_{c}") for c in ("leaf", "small", "large", "first", "last")])
@@ -316,9 +331,9 @@ def candidates(members: DataFrame, comps: DataFrame, classes: DataFrame) -> Data
     ends = pairs.select(F.explode(F.array("leaf", "o_leaf")).alias("leaf")).distinct()
     if pairs.count() <= FEW:  # of most trees there is one leaf node only
         leaves = leaves.join(F.broadcast(ends), "leaf", "left_semi")
-    left, right = leaves.select("leaf", *body), leaves.select(F.col("leaf").alias("o_leaf"), *[F.col(c).alias(f"o_{c}") for c in body])
-    outer = pairs.join(left, "leaf").join(right, "o_leaf").mapInArrow(partial(_met, other=True), made)
-    return materialize(inner.unionByName(outer).groupBy("a", "b").agg(F.max("bound").alias("bound")), "candidates")
+    left, right = leaves.select("leaf", "tree", *body), leaves.select(F.col("leaf").alias("o_leaf"), *[F.col(c).alias(f"o_{c}") for c in body])
+    outer = pairs.join(left, "leaf").join(right, "o_leaf").mapInArrow(partial(_met, other=True, take=take), made)
+    return materialize(inner.unionByName(outer), "candidates")
 
 
 def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
@@ -340,25 +355,31 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     classes = materialize(each.withColumn("cls", F.monotonically_increasing_id()), "classes")
     tokens = classes.select("cls", F.explode("prefix").alias("token"))
     shared = materialize(tokens.groupBy("token").agg(F.min("cls").alias("head"), F.max("cls").alias("tail")).where("head < tail").select("token", "head"), "shared")
-    members = materialize(_sieved(tokens, "token", shared).join(shared, "token").select("token", "cls", "head"), "members")
-    # each class with the heads of the trees that it shares most with
-    stars = members.where("cls <> head").groupBy("head", "cls").agg(F.count("*").alias("many"))
+    members = materialize(_sieved(tokens, "token", shared).join(shared, "token").select("token", "cls"), "members")
+    # each class with the heads of the trees that it shares most with: what others were copied from has most tokens shared
+    ranked = members.join(members.groupBy("cls").agg(F.count("*").alias("held")), "cls")
+    heads = ranked.groupBy("token").agg(F.max(F.struct("held", -F.col("cls"))).alias("head")).select("token", (-F.col("head.col2")).alias("head"))
+    stars = members.join(heads, "token").where("cls <> head").groupBy("head", "cls").agg(F.count("*").alias("many"))
     best = Window.partitionBy("cls").orderBy(F.desc("many"), "head")
     most = stars.withColumn("at", F.row_number().over(best)).where("at <= 2").select(F.col("head").alias("a"), F.col("cls").alias("b"))
     hopeful = _paired(materialize(most, "stars"), classes, F.struct("n", "bitmap")).mapInArrow(_plausible, "a long, b long, linked boolean").where("linked").select("a", "b")
     found = materialize(_verify(materialize(hopeful, "stars"), given, classes, words), "links")
     comps = _components(found)
-    open_ = candidates(members.select("token", "cls"), comps, classes)
-    take = 1
+    # the best pairs of each class first: what they link, the next walk leaves
+    tried, take, own = None, 1, members
     while True:
-        open_ = materialize(_tagged(_tagged(open_, comps, "a", "ca"), comps, "b", "cb").where("ca <> cb"), "open")
-        if open_.isEmpty():
+        met = candidates(own, comps, classes, take)
+        each = met.groupBy("a", "b").agg(F.max("bound").alias("bound"))
+        open_ = materialize(each if tried is None else each.join(tried, ["a", "b"], "left_anti"), "open")
+        place = lambda end: F.row_number().over(Window.partitionBy(end).orderBy(F.desc("bound"), "a", "b"))
+        chosen = materialize(open_.withColumns({"at_a": place("a"), "at_b": place("b")}).where((F.col("at_a") <= take) | (F.col("at_b") <= take)).select("a", "b"), "chosen")
+        if chosen.isEmpty() and met.where("more").isEmpty():
             break
-        alike = Window.partitionBy(F.least("ca", "cb"), F.greatest("ca", "cb")).orderBy(F.desc("bound"), "a", "b")
-        ranked = materialize(open_.withColumn("at", F.row_number().over(alike)), "ranked")
-        found = materialize(found.unionByName(_verify(ranked.where(F.col("at") <= take).select("a", "b"), given, classes, words)), "links")
-        comps, open_ = _components(found), ranked.where(F.col("at") > take).select("a", "b", "bound")
-        take *= 8
+        tried = chosen if tried is None else materialize(tried.unionByName(chosen), "tried")
+        found = materialize(found.unionByName(_verify(chosen, given, classes, words)), "links")
+        comps = _components(found)
+        own = own.join(met.select(F.col("tree").alias("token")).distinct(), "token", "left_semi")  # other trees had no pair left
+        take *= 4
     placed = materialize(_tagged(classes.select("h1", "h2", "cls", "least"), comps), "placed")
     named = materialize(placed.groupBy("comp").agg(F.min("least").alias("component_id")), "components")
     by_set = materialize(placed.join(named, "comp").select("h1", "h2", "component_id"), "sets-named")
