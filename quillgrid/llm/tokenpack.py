@@ -2,8 +2,8 @@
 
 A document's ids end with the end id. Longer documents than a sequence are cut losslessly into full pieces and a rest.
 Pieces are placed longest first, each into the fullest sequence that still has room; a segment tree over the free
-capacities finds it. A task packs what it reads, in blocks of a bounded number of tokens, so that no text is shuffled and
-a lost task is made again alike. Rows of a matrix are filled up with the end id.
+capacities finds it. Documents are dealt to shards by their ids; a task packs a shard, in blocks of a bounded number of tokens, so
+that the sequences don't hang on files or cores and a lost task is made again alike. Rows of a matrix are filled up with the end id.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from quillgrid.llm.encoding import byte_tokens, clean, tokenizer_path
 
 LENGTH = 2048
 END = 50256
+SHARD = 4096  # expected documents of a shard
 BLOCK_TOKENS = 8_000_000  # held by a task at once
 
 OUT = "sequence_id long, n_tokens int, ids binary, cu_seqlens array<int>, doc_ids array<long>, doc_starts array<long>, position_resets array<int>"
@@ -117,9 +118,14 @@ def pack_token_ids(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     begin at 0 again).
 
     Null text is empty and gives the end id alone. A null doc_id stays null; repeated rows are packed each by itself; an
-    empty table gives no rows. Other columns are not read."""
+    empty table gives no rows. Other columns are not read. Documents are dealt to shards by their ids (those without one by their
+    texts) and packed in the order of ids and texts; the number of shards hangs on the number of documents alone, so the same
+    table gives the same sequences whatever its files, their order and the cores."""
     read = bounded_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return read.mapInArrow(partial(_pack, path=tokenizer_path(tokenizer), length=length, block_tokens=block_tokens), OUT)
+    shards = max(1, -(-read.count() // SHARD))
+    order = [F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.col("doc_id"), F.xxhash64("text"), F.length("text")]
+    dealt = read.repartition(shards, order[0]).sortWithinPartitions(*order)
+    return dealt.mapInArrow(partial(_pack, path=tokenizer_path(tokenizer), length=length, block_tokens=block_tokens), OUT)
 
 
 def write_matrices(packed: DataFrame, path: str | None = None) -> DataFrame:

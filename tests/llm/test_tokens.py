@@ -88,6 +88,14 @@ def test_best_fit_decreasing_equals_a_plain_scan():
     assert len(tokenpack.best_fit_decreasing(lengths, 60)) == len(free)
 
 
+def test_sequences_dont_hang_on_files_or_cores(spark, sf, monkeypatch):
+    monkeypatch.setattr(tokenpack, "SHARD", 64)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    made = lambda rows: sorted((r.sequence_id, bytes(r.ids), tuple(r.doc_ids), tuple(r.doc_starts)) for r in tokenpack.pack_token_ids(rows).collect())
+    assert made(docs.coalesce(1)) == made(docs.orderBy("text").repartition(8))
+
+
+
 def test_matrices_hold_every_document(spark, sf, odd, odd_rows, none):
     byte = encoding.byte_tokens(encoding.tokenizer_path("byte_bpe_50k.tiktoken"))
     docs = spark.read.parquet(f"{sf}/documents.parquet")
