@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import pickle
 import random
 from collections.abc import Iterator
 from functools import partial
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillgrid.operators.ranks import in_place, with_percentiles
+from quillgrid.sources.tables import written
+
 #: Fields of a run that must agree before its metrics are compared.
 CONTROL = ["dataset_sha256", "mode", "top_k", "vector_weight", "relevance_threshold", "repetitions", "embedding_models"]
 RESAMPLES_AT_ONCE = 500
+ROWS_AT_ONCE = 50_000
 #: Metrics of which less is better.
 LESS_IS_BETTER = ("irrelevant_at_5", "latency_mean_ms", "latency_p50_ms", "latency_p95_ms")
 
@@ -85,8 +91,9 @@ def query_metrics(chunks: DataFrame, passages: DataFrame, threshold: float = 0.5
 
 
 def latency(df: DataFrame, value: str, by: list[str], points: tuple[float, ...] = (0.5, 0.95, 0.99), digits: int = 6) -> DataFrame:
-    """Count, mean and interpolated percentiles."""
-    return df.groupBy(*by).agg(F.count(value).alias("n"), F.round(F.avg(value), digits).alias("mean"), *[F.round(F.percentile(value, F.lit(p)), digits).alias(f"p{round(p * 100)}") for p in points])
+    """Count, mean and interpolated percentiles, by ranks: no task holds a group."""
+    counts = df.groupBy(*by).agg(F.count(value).alias("n"), F.round(F.avg(value), digits).alias("mean"))
+    return with_percentiles(counts, df, by, {value: F.col(value)}, {f"p{round(p * 100)}": (value, p) for p in points}, digits)
 
 
 def macro_average(metrics: DataFrame) -> DataFrame:
@@ -111,15 +118,23 @@ def mismatches(measured: DataFrame, truth: DataFrame, key: str, value: str) -> D
     return met.agg(F.count_if(~F.col(value).eqNullSafe(F.col("_true"))).alias("stale"), F.count("*").alias("compared"))
 
 
-def cache_summary(log: DataFrame, by: list[str], ok: Column, hit: Column, latency_ms: str) -> DataFrame:
-    """Requests, successes, hit rate and latency of hits and misses."""
+def cache_summary(log: DataFrame, by: list[str], ok: Column, hit: Column, latency_ms: str, embedding_hit: Column | None = None) -> DataFrame:
+    """Requests, successes, hit rates and p95 latency of the three states of the caches: fully warm (the result was
+    cached), embedding warm (only the query's vector was) and cold. Without ``embedding_hit`` there are two states."""
     ms = F.col(latency_ms)
-    return log.groupBy(*by).agg(F.count("*").alias("requests"), F.count_if(ok).alias("successes"), F.round(F.coalesce(F.try_divide(F.count_if(ok & hit), F.count_if(ok)), F.lit(0.0)), 6).alias("hit_rate"), F.round(F.percentile(F.when(ok & hit, ms), F.lit(0.95)), 3).alias("warm_p95"), F.round(F.percentile(F.when(ok & ~hit, ms), F.lit(0.95)), 3).alias("cold_p95"))
+    half = F.lit(False) if embedding_hit is None else embedding_hit & ~hit
+    rate = lambda c: F.round(F.coalesce(F.try_divide(F.count_if(ok & c), F.count_if(ok)), F.lit(0.0)), 6)
+    counts = log.groupBy(*by).agg(F.count("*").alias("requests"), F.count_if(ok).alias("successes"), rate(hit).alias("hit_rate"), rate(hit | half).alias("embedding_hit_rate"))
+    states = {"warm": F.when(ok & hit, ms), "embedding": F.when(ok & half, ms), "cold": F.when(ok & ~hit & ~half, ms)}
+    found = with_percentiles(counts, log, by, states, {f"{name}_p95": (name, 0.95) for name in states}, 3)
+    return found if embedding_hit is not None else found.drop("embedding_hit_rate", "embedding_p95")
 
 
 def profile_medians(runs: DataFrame, measures: list[str], totals: tuple[str, ...] = ("requests", "errors")) -> DataFrame:
     """(mode, repeat_rate) with the number of runs, sums of totals and the median of each measure, nulls left out."""
-    return runs.groupBy("mode", "repeat_rate").agg(F.count("*").alias("runs"), *[F.sum(c).alias(c) for c in totals], *[F.round(F.median(c), 3).alias(c) for c in measures])
+    by = ["mode", "repeat_rate"]
+    counts = runs.groupBy(*by).agg(F.count("*").alias("runs"), *[F.sum(c).alias(c) for c in totals])
+    return with_percentiles(counts, runs, by, {c: F.col(c) for c in measures}, {c: (c, 0.5) for c in measures}, 3)
 
 
 def check_control(baseline: DataFrame, candidate: DataFrame, fields: list[str] | None = None) -> None:
@@ -149,33 +164,67 @@ def check_same_queries(baseline: DataFrame, candidate: DataFrame, key: str = "qi
         raise ValueError("runs must hold the same queries")
 
 
-def _resampled(batches: Iterator[pd.DataFrame], samples: int, seed: int, reduction: bool) -> Iterator[pd.DataFrame]:
+def _states(batches: Iterator[pd.DataFrame], samples: int, seed: int, at_once: int) -> Iterator[pd.DataFrame]:
+    """The state of the generator before each slice of resamples: the stream is run through once, nothing is summed."""
     for batch in batches:
-        for rows in batch["rows"]:
-            a, b = ([r[c] for r in rows] for c in ("a", "b"))
-            rng, n = random.Random(seed), len(a)
-            for at in range(0, samples, RESAMPLES_AT_ONCE):
-                effects = []
-                for _ in range(min(RESAMPLES_AT_ONCE, samples - at)):
-                    picks = [rng.randrange(n) for _ in range(n)]
-                    x, y = sum(a[i] for i in picks) / n, sum(b[i] for i in picks) / n
-                    effects.append(((x - y) if reduction else (y - x)) / x * 100 if x else 0.0)
-                yield pd.DataFrame({"effect": effects})
+        for n in batch["n"]:
+            rng = random.Random(seed)
+            for first in range(0, samples, at_once):
+                yield pd.DataFrame({"first": [first], "n": [n], "state": [pickle.dumps(rng.getstate())]})
+                for _ in range(min(at_once, samples - first) * n):
+                    rng.randrange(n)
 
 
-def paired_bootstrap(baseline: DataFrame, candidate: DataFrame, value: str, samples: int = 10_000, seed: int = 42, reduction: bool = False) -> DataFrame:
-    """(lower, upper) of the 95 % interval of the relative change of the mean in percent (its fall, for ``reduction``)
-    over resampled queries; a resample whose baseline is 0 counts as no change.
+def _picks(batches: Iterator[pd.DataFrame], samples: int, at_once: int) -> Iterator[pd.DataFrame]:
+    """(sample, place, times) of the resamples of each slice."""
+    rng = random.Random()
+    for batch in batches:
+        for first, n, state in zip(batch["first"], batch["n"], batch["state"], strict=True):
+            rng.setstate(pickle.loads(state))
+            parts = []
+            for sample in range(first, min(first + at_once, samples)):
+                places, times = np.unique([rng.randrange(n) for _ in range(n)], return_counts=True)
+                parts.append((np.full(len(places), sample), places, times))
+                if len(parts) * n >= ROWS_AT_ONCE or sample + 1 == min(first + at_once, samples):
+                    yield pd.DataFrame(dict(zip(("sample", "place", "times"), map(np.concatenate, zip(*parts, strict=True)), strict=True)))
+                    parts = []
+
+
+def seeded_draws(queries: DataFrame, samples: int, seed: int) -> DataFrame:
+    """(sample, place, times): how often each of ``samples`` resamples of n rows draws each place; queries: one row with n.
+
+    The draws are those of one seeded generator, as if made one after another; slices of resamples are drawn in tasks."""
+    states = written(queries.mapInPandas(partial(_states, samples=samples, seed=seed, at_once=RESAMPLES_AT_ONCE), "first long, n long, state binary"), "states")
+    slices = -(-samples // RESAMPLES_AT_ONCE)
+    return states.repartition(slices, "first").mapInPandas(partial(_picks, samples=samples, at_once=RESAMPLES_AT_ONCE), "sample long, place long, times long")
+
+
+def resampled_interval(pairs: DataFrame, draws: DataFrame, reduction: bool = False) -> DataFrame:
+    """(lower, upper) of the 95 % interval of the relative change of the mean in percent (its fall, for ``reduction``).
+
+    pairs: place, a, b; draws: sample, place, times. A resample whose baseline is 0 counts as no change."""
+    sums = draws.join(pairs, "place").groupBy("sample").agg(F.sum(F.col("times") * F.col("a")).alias("x"), F.sum(F.col("times") * F.col("b")).alias("y"))
+    change = (F.col("x") - F.col("y")) if reduction else (F.col("y") - F.col("x"))
+    effects = sums.select(F.when(F.col("x") != 0, change / F.col("x") * 100).otherwise(0.0).alias("effect"))
+    ordered = effects.agg(F.array_sort(F.collect_list("effect")).alias("e"), F.count("*").alias("n"))  # one number a sample
+    return ordered.select(F.get("e", F.floor(0.025 * (F.col("n") - 1)).cast("int")).alias("lower"), F.get("e", F.ceil(0.975 * (F.col("n") - 1)).cast("int")).alias("upper"))
+
 
-    Both frames hold (qid, value) of the same queries, else an error. The draws are those of one seeded generator, so that
-    they can be drawn again: one task holds a number a query and makes them, a slice of resamples at a time."""
-    met = baseline.select("qid", F.col(value).alias("a")).join(candidate.select("qid", F.col(value).alias("b")), "qid", "full")
+def paired_rows(baseline: DataFrame, candidate: DataFrame, value: str) -> DataFrame:
+    """(qid, a, b, place, n): both runs' values by query in the order of qid; an error where they don't hold the same queries."""
+    met = written(baseline.select("qid", F.col(value).alias("a")).join(candidate.select("qid", F.col(value).alias("b")), "qid", "full"), "paired")
     if met.isEmpty() or not met.where("a is null or b is null").isEmpty():
         raise ValueError("runs must hold the same queries")
-    listed = met.agg(F.array_sort(F.collect_list(F.struct("qid", F.col("a").cast("double").alias("a"), F.col("b").cast("double").alias("b")))).alias("rows"))
-    effect = listed.mapInPandas(partial(_resampled, samples=samples, seed=seed, reduction=reduction), "effect double")
-    ordered = effect.agg(F.array_sort(F.collect_list("effect")).alias("e"), F.count("*").alias("n"))  # one number a sample
-    return ordered.select(F.get("e", F.floor(0.025 * (F.col("n") - 1)).cast("int")).alias("lower"), F.get("e", F.ceil(0.975 * (F.col("n") - 1)).cast("int")).alias("upper"))
+    rows = met.select(F.lit(0).alias("all"), "qid", F.col("a").cast("double").alias("a"), F.col("b").cast("double").alias("b"))
+    return in_place(rows, "all", ["qid"]).drop("all")
+
+
+def paired_bootstrap(baseline: DataFrame, candidate: DataFrame, value: str, samples: int = 10_000, seed: int = 42, reduction: bool = False) -> DataFrame:
+    """(lower, upper) of the 95 % interval of the relative change of the mean over resampled queries, by seeded draws.
+
+    Both frames hold (qid, value) of the same queries, else an error. Values meet draws by place and are summed by resample."""
+    pairs = paired_rows(baseline, candidate, value)
+    return resampled_interval(pairs.select("place", "a", "b"), seeded_draws(pairs.agg(F.count("*").alias("n")), samples, seed), reduction)
 
 
 def corpus_totals(documents: DataFrame, stable: DataFrame) -> DataFrame:

@@ -84,7 +84,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 def vector_scores(vectors: DataFrame, queries: DataFrame, key: str, vector: str) -> DataFrame:
     """(qid, key, score) of each query against each present vector, exactly. Queries are a small stated set, checked in size."""
-    asked = queries.select("qid", F.col("vector").alias("_q"))
+    asked = queries.where("vector is not null").select("qid", F.col("vector").alias("_q"))
     if asked.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
         raise ValueError(f"more than {BROADCAST_ROWS} query vectors: search in blocks")
     return vectors.where(F.col(vector).isNotNull()).crossJoin(F.broadcast(asked)).select("qid", F.col(key), cosine(F.col(vector), F.col("_q")).alias("score"))
@@ -120,22 +120,27 @@ def branches(mode: str, top: int, vector_weight: float) -> tuple[bool, bool]:
     return mode == "vector" or (mode == "hybrid" and vector_weight > 0), mode == "keyword" or (mode == "hybrid" and vector_weight < 1)
 
 
-def search(texts: DataFrame, queries: DataFrame, key: str = "chunk_id", text: str = "text", vector: str = "embedding", mode: str = "hybrid", top: int = 10, vector_weight: float = 0.7, where: Column | None = None, candidate_multiplier: int = 4, rrf_k: int = 60) -> DataFrame:
+def search(texts: DataFrame, queries: DataFrame, key: str = "chunk_id", text: str = "text", vector: str = "embedding", mode: str = "hybrid", top: int = 10, vector_weight: float = 0.7, where: Column | None = None, candidate_multiplier: int = 4, rrf_k: int = 60, index=None, digits: int | None = None) -> DataFrame:
     """(qid, key, score, vector_score, keyword_score, rank). queries: qid, query, vector (needed unless keyword only).
 
-    Filters hold before ranking. A branch of weight 0 isn't planned at all; each branch gives top * multiplier candidates."""
+    Filters hold before ranking. A branch of weight 0 isn't planned at all; each branch gives top * multiplier candidates. Texts
+    without a vector are found by their words, queries without one ask by theirs. With an ``index`` of the texts (index.py), and
+    no filter, words are looked up there. ``digits``: scores are rounded to so many before they are ranked, so that ties don't
+    hang on the order of a sum."""
     use_vector, use_keyword = branches(mode, top, vector_weight)
     rows = texts if where is None else texts.where(where)
     many = top * candidate_multiplier if mode == "hybrid" else top
-    by_vector = top_k(vector_scores(rows, queries, key, vector), many, key) if use_vector else None
-    by_keyword = top_k(keyword_scores(rows, queries, key, text), many, key) if use_keyword else None
+    even = lambda scored: scored if digits is None else scored.withColumn("score", F.round("score", digits))
+    by_vector = top_k(even(vector_scores(rows, queries, key, vector)), many, key) if use_vector else None
+    by_word = lambda: keyword_scores(rows, queries, key, text) if index is None or where is not None else index.keyword(queries, many)
+    by_keyword = top_k(even(by_word()), many, key) if use_keyword else None
     none = F.lit(None).cast("double")
     if mode == "vector":
         return by_vector.select("qid", key, "score", F.col("score").alias("vector_score"), none.alias("keyword_score"), "rank")
     if mode == "keyword":
         return by_keyword.select("qid", key, "score", none.alias("vector_score"), F.col("score").alias("keyword_score"), "rank")
     empty = (by_vector if by_vector is not None else by_keyword).limit(0)
-    return top_k(fuse(empty if by_vector is None else by_vector, empty if by_keyword is None else by_keyword, key, vector_weight, rrf_k), top, key)
+    return top_k(even(fuse(empty if by_vector is None else by_vector, empty if by_keyword is None else by_keyword, key, vector_weight, rrf_k)), top, key)
 
 
 #: The fields of a hit, in order.

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillgrid.functions import text as X
-from quillgrid.operators import chunking, context, evaluation, filters, retrieval, tables
-from quillgrid.sources.tables import read_table
+from quillgrid.operators import chunking, context, evaluation, filters, index, retrieval, tables
+from quillgrid.sources.tables import read_table, written
 from quillgrid.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,6 +43,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return read_table(spark, sf_dir, name)
 
 
+#: What was written for a session: texts are cut, and cut into words, once for all its queries.
+_KEPT: dict[tuple[str, str, str], object] = {}
+
+
+def kept(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], object]):
+    """What ``make`` writes, made once for a session and folder."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _KEPT:
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def document_index(spark: SparkSession, sf_dir: str) -> index.Index:
+    return kept(spark, sf_dir, "document-index", lambda: index.write_index(documents(spark, sf_dir), "doc_id", "text"))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
@@ -139,7 +155,7 @@ kr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id
 
 @register(f"WITH {_KEYWORD} SELECT qid, doc_id, round(score, 6) score, rank::INT AS rank FROM kr WHERE rank <= 10")
 def keyword_topk(spark, sf_dir):
-    scored = retrieval.keyword_scores(documents(spark, sf_dir), benchmark_queries(spark, sf_dir), "doc_id", "text")
+    scored = index.keyword_scores(document_index(spark, sf_dir), benchmark_queries(spark, sf_dir), 10)
     return retrieval.top_k(scored, 10, "doc_id").select("qid", "doc_id", r6(F.col("score")).alias("score"), "rank")
 
 
@@ -155,7 +171,7 @@ br AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DE
 
 @register(f"WITH {_BM25} SELECT qid, doc_id, round(score, 6) score, rank::INT AS rank FROM br WHERE rank <= 10")
 def bm25_topk(spark, sf_dir):
-    scored = retrieval.bm25_scores(documents(spark, sf_dir), benchmark_queries(spark, sf_dir), "doc_id", "text").withColumn("score", F.round("score", 9))
+    scored = index.bm25_scores(document_index(spark, sf_dir), benchmark_queries(spark, sf_dir), 10).withColumn("score", F.round("score", 9))
     return retrieval.top_k(scored, 10, "doc_id").select("qid", "doc_id", r6(F.col("score")).alias("score"), "rank")
 
 
@@ -192,16 +208,13 @@ def conversation_messages(spark, sf_dir):
     return messages(spark, sf_dir).select("conv_id", "position", "role", "text").orderBy("conv_id", "position")
 
 
-_TEXT_QUERIES = "q AS (SELECT item_id qid, text query FROM benchmark JOIN embeddings ON item_id = vec_id)"
-
-
 def text_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every benchmark item asks with its whole text and the vector of its number."""
+    """Every benchmark item asks with its whole text and, where there is one, the vector of its number."""
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
-    return benchmark_queries(spark, sf_dir).join(vectors, "qid")
+    return benchmark_queries(spark, sf_dir).join(vectors, "qid", "left")
 
 
-_HYBRID = f"""{_KEYWORD.replace(_QUERIES, _TEXT_QUERIES).replace('FROM documents)', 'FROM documents JOIN embeddings ON doc_id = vec_id)')},
+_HYBRID = f"""{_KEYWORD},
 v AS (SELECT doc_id vec_id, embedding::DOUBLE[] e FROM embeddings JOIN documents ON doc_id = vec_id),
 av AS (SELECT item_id vec_id, embedding::DOUBLE[] e FROM embeddings JOIN benchmark ON item_id = vec_id),
 vs AS (SELECT a.vec_id qid, b.vec_id doc_id, round(coalesce(list_dot_product(a.e, b.e) / nullif(sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e)), 0), 0), 9) score FROM av a, v b),
@@ -212,12 +225,9 @@ fr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id
 
 
 def hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = documents(spark, sf_dir).join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
-    asked = text_queries(spark, sf_dir)
-    by_vector = retrieval.top_k(retrieval.vector_scores(rows, asked, "doc_id", "embedding").withColumn("score", F.round("score", 9)), 40, "doc_id")
-    by_keyword = retrieval.top_k(retrieval.keyword_scores(rows, asked, "doc_id", "text"), 40, "doc_id")
-    fused = retrieval.fuse(by_vector, by_keyword, "doc_id").withColumn("score", F.round("score", 9))
-    return retrieval.top_k(fused, 10, "doc_id")
+    """Documents without a vector are found by their words."""
+    rows = documents(spark, sf_dir).join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", "left")
+    return retrieval.search(rows, text_queries(spark, sf_dir), "doc_id", index=document_index(spark, sf_dir), digits=9)
 
 
 @register(f"WITH {_HYBRID} SELECT qid, doc_id, round(score, 6) score, round(vector_score, 6) vector_score, round(keyword_score, 6) keyword_score, rank::INT AS rank FROM fr WHERE rank <= 10")
@@ -231,9 +241,9 @@ f AS (SELECT qid, doc_id, round(sum(w) * 61, 9) score FROM u GROUP BY ALL),
 fr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id::VARCHAR) AS rank FROM f)
 SELECT qid, doc_id, round(score, 6) score, rank::INT AS rank FROM fr WHERE rank <= 10""")
 def weighted_rrf(spark, sf_dir):
-    docs, asked = documents(spark, sf_dir), benchmark_queries(spark, sf_dir)
-    by_bm25 = retrieval.top_k(retrieval.bm25_scores(docs, asked, "doc_id", "text").withColumn("score", F.round("score", 9)), 20, "doc_id")
-    by_keyword = retrieval.top_k(retrieval.keyword_scores(docs, asked, "doc_id", "text"), 20, "doc_id")
+    held, asked = document_index(spark, sf_dir), benchmark_queries(spark, sf_dir)
+    by_bm25 = retrieval.top_k(index.bm25_scores(held, asked, 20).withColumn("score", F.round("score", 9)), 20, "doc_id")
+    by_keyword = retrieval.top_k(index.keyword_scores(held, asked, 20), 20, "doc_id")
     fused = retrieval.weighted_rrf([(by_bm25, 0.6), (by_keyword, 0.4)], "doc_id").withColumn("score", F.round("score", 9))
     return retrieval.top_k(fused, 10, "doc_id").select("qid", "doc_id", r6(F.col("score")).alias("score"), "rank")
 
@@ -251,7 +261,7 @@ rr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY blended DESC, rank
 
 def reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, asked = documents(spark, sf_dir), benchmark_queries(spark, sf_dir)
-    hits = retrieval.top_k(retrieval.keyword_scores(docs, asked, "doc_id", "text"), 20, "doc_id")
+    hits = retrieval.top_k(index.keyword_scores(document_index(spark, sf_dir), asked, 20), 20, "doc_id")
     met = hits.join(asked, "qid").join(docs.select("doc_id", "text", "source", "lang"), "doc_id")
     scored = context.rerank(met, "doc_id").withColumn("blended", F.round("blended", 9))
     order = Window.partitionBy("qid").orderBy(F.desc("blended"), "rank", F.col("doc_id").cast("string"))
@@ -314,11 +324,19 @@ def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.unionByName(rest).select("qid", F.col("doc_id").alias("passage_id"), F.col("doc_id").alias("source_id"), start.alias("char_start"), (start + F.length("passage")).alias("char_end"))
 
 
+def written_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lambda: chunks(spark, sf_dir).select((F.col("doc_id") * 1_000_000 + F.col("position")).alias("chunk_id"), F.col("doc_id").alias("source_id"), "char_start", "char_end", "text")
+    return kept(spark, sf_dir, "chunks", lambda: written(rows(), "chunks"))
+
+
+def chunk_index(spark: SparkSession, sf_dir: str) -> index.Index:
+    return kept(spark, sf_dir, "chunk-index", lambda: index.write_index(written_chunks(spark, sf_dir), "chunk_id", "text"))
+
+
 def gold_and_hits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rows = chunks(spark, sf_dir).select((F.col("doc_id") * 1_000_000 + F.col("position")).alias("chunk_id"), F.col("doc_id").alias("source_id"), "char_start", "char_end", "text")
-    scored = retrieval.bm25_scores(rows, benchmark_queries(spark, sf_dir), "chunk_id", "text").withColumn("score", F.round("score", 9))
+    scored = index.bm25_scores(chunk_index(spark, sf_dir), benchmark_queries(spark, sf_dir), 20).withColumn("score", F.round("score", 9))
     hits = retrieval.top_k(scored, 20, "chunk_id").select("qid", "chunk_id", "rank")
-    return gold(spark, sf_dir), hits.join(rows.drop("text"), "chunk_id")
+    return gold(spark, sf_dir), hits.join(written_chunks(spark, sf_dir).drop("text"), "chunk_id")
 
 
 @register(_GOLD + " SELECT qid, passage_id, rank::INT AS rank, round(coverage, 6) coverage, whole FROM cov")
@@ -389,11 +407,12 @@ def citations(spark, sf_dir):
 
 
 @register("""SELECT user_id % 10 AS profile, count(*) requests, count(*) FILTER (event_type <> 'error') successes,
-round(coalesce(count(*) FILTER (event_type IN ('view', 'click')) / nullif(count(*) FILTER (event_type <> 'error'), 0), 0), 6) hit_rate,
-round(quantile_cont(value, 0.95) FILTER (event_type IN ('view', 'click')), 3) warm_p95, round(quantile_cont(value, 0.95) FILTER (event_type NOT IN ('view', 'click', 'error')), 3) cold_p95 FROM events GROUP BY 1""")
+round(coalesce(count(*) FILTER (event_type = 'view') / nullif(count(*) FILTER (event_type <> 'error'), 0), 0), 6) hit_rate, round(coalesce(count(*) FILTER (event_type IN ('view', 'click')) / nullif(count(*) FILTER (event_type <> 'error'), 0), 0), 6) embedding_hit_rate,
+round(quantile_cont(value, 0.95) FILTER (event_type = 'view'), 3) warm_p95, round(quantile_cont(value, 0.95) FILTER (event_type = 'click'), 3) embedding_p95, round(quantile_cont(value, 0.95) FILTER (event_type NOT IN ('view', 'click', 'error')), 3) cold_p95 FROM events GROUP BY 1""")
 def cache_hit_rates(spark, sf_dir):
+    """Views stand for requests whose result was cached, clicks for those whose vector was, errors for failures."""
     log = table(spark, sf_dir, "events").withColumn("profile", F.col("user_id") % 10)
-    return evaluation.cache_summary(log, ["profile"], F.col("event_type") != "error", F.col("event_type").isin("view", "click"), "value")
+    return evaluation.cache_summary(log, ["profile"], F.col("event_type") != "error", F.col("event_type") == "view", "value", F.col("event_type") == "click")
 
 
 @register("SELECT user_id, arg_max(event_type, event_id) AS status, max(event_id) AS event_id FROM events GROUP BY 1")
@@ -417,6 +436,22 @@ def bootstrap_ci(spark, sf_dir):
     return evaluation.paired_bootstrap(halves.select("qid", F.col("a").alias("value")), halves.select("qid", F.col("b").alias("value")), "value")
 
 
+_HALVES = "h AS (SELECT user_id % 40 AS qid, avg(value) FILTER (event_id % 2 = 0) a, avg(value) FILTER (event_id % 2 = 1) b FROM events GROUP BY 1), p AS (SELECT *, row_number() OVER (ORDER BY qid) - 1 AS place, count(*) OVER () AS n FROM h)"
+
+
+@register(f"""WITH {_HALVES}, d AS (SELECT sample, (sample * 7919 + j * j * 104729 + j * 31) % n AS place FROM range(1000) s(sample), (SELECT any_value(n) AS n FROM p), range(40) r(j) WHERE j < n),
+e AS (SELECT sample, (sum(b) - sum(a)) / sum(a) * 100 AS effect FROM d JOIN p USING (place) GROUP BY 1), o AS (SELECT list(effect ORDER BY effect) AS e, count(*) AS n FROM e)
+SELECT round(e[floor(0.025 * (n - 1))::INT + 1], 6) AS lower, round(e[ceil(0.975 * (n - 1))::INT + 1], 6) AS upper FROM o""")
+def bootstrap_fixed_draws(spark, sf_dir):
+    """The interval of A23 over draws that are given: 1,000 resamples by a formula."""
+    halves = table(spark, sf_dir, "events").groupBy((F.col("user_id") % 40).alias("qid")).agg(F.avg(F.when(F.col("event_id") % 2 == 0, F.col("value"))).alias("a"), F.avg(F.when(F.col("event_id") % 2 == 1, F.col("value"))).alias("b"))
+    pairs = evaluation.paired_rows(halves.select("qid", F.col("a").alias("value")), halves.select("qid", F.col("b").alias("value")), "value")
+    drawn = pairs.select(F.col("place").alias("j"), "n").join(spark.range(1000).withColumnRenamed("id", "sample"))
+    draws = drawn.select("sample", F.expr("(sample * 7919 + j * j * 104729 + j * 31) % n").alias("place")).groupBy("sample", "place").agg(F.count("*").alias("times"))
+    found = evaluation.resampled_interval(pairs.select("place", "a", "b"), draws)
+    return found.select(r6(F.col("lower")).alias("lower"), r6(F.col("upper")).alias("upper"))
+
+
 @register()
 def embed_deterministic(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", X.embed_deterministic(64)(F.col("text")).alias("embedding"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillgrid.functions import text as X
-from quillgrid.operators import chunking, context, evaluation, filters, jobs, retrieval, tables
+from quillgrid.operators import chunking, context, evaluation, filters, index, jobs, retrieval, tables
 from quillgrid.plans import benchmark
 from quillgrid.plans import catalog as C
 from quillgrid.plans.catalog import documents, messages, r6, register, table, tokens_sql
@@ -106,14 +106,14 @@ def duplicate_counts(spark, sf_dir):
     return benchmark.duplicates(table(spark, sf_dir, "events").where("event_type = 'error'"), "user_id").select("user_id", "count")
 
 
-# Two runs of each user's events; ranks of odd and of even ids.
-_RUNS = "runs AS (SELECT user_id qid, event_id % 2 repetition, row_number() OVER (PARTITION BY user_id, event_id % 2 ORDER BY event_id) AS rank, event_type chunk_id FROM events QUALIFY rank <= 2)"
+# Two runs of each user's events: those of odd and those of even ids.
+_RUNS = "runs AS (SELECT user_id qid, event_id % 2 repetition, row_number() OVER (PARTITION BY user_id, event_id % 2 ORDER BY event_id) AS rank, event_type chunk_id FROM events)"
 
 
 def run_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = Window.partitionBy("qid", "repetition").orderBy("event_id")
     rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("qid"), (F.col("event_id") % 2).alias("repetition"), "event_id", F.col("event_type").alias("chunk_id"))
-    return rows.withColumn("rank", F.row_number().over(order)).where("rank <= 2")
+    return rows.withColumn("rank", F.row_number().over(order))
 
 
 @register(f"WITH {_RUNS}, l AS (SELECT qid, repetition, list(chunk_id ORDER BY rank) ids FROM runs GROUP BY ALL) SELECT qid, count(DISTINCT ids) = 1 AS stable FROM l GROUP BY 1")
@@ -292,7 +292,7 @@ def checked_spans(spark, sf_dir):
 
 @register(f"""WITH {C._KEYWORD}, h AS (SELECT qid, doc_id, rank FROM kr WHERE rank <= 3) SELECT qid, string_agg(rank || ':' || doc_id || ':' || source, ',' ORDER BY rank) AS citations FROM h JOIN documents USING (doc_id) GROUP BY 1""")
 def available_citations(spark, sf_dir):
-    hits = retrieval.top_k(retrieval.keyword_scores(documents(spark, sf_dir), C.benchmark_queries(spark, sf_dir), "doc_id", "text"), 3, "doc_id")
+    hits = retrieval.top_k(index.keyword_scores(C.document_index(spark, sf_dir), C.benchmark_queries(spark, sf_dir), 3), 3, "doc_id")
     rows = hits.join(documents(spark, sf_dir).select("doc_id", "source"), "doc_id").select("qid", F.col("rank").alias("citation_id"), F.col("doc_id").alias("chunk_id"), F.col("source").alias("filename"), F.lit(0).alias("position"))
     listed = benchmark.available_citations(rows)
     return listed.select("qid", F.array_join(F.transform("citations", lambda c: F.concat_ws(":", c["citation_id"].cast("string"), c["chunk_id"].cast("string"), F.coalesce(c["filename"], F.lit("")))), ",").alias("citations"))
@@ -301,7 +301,7 @@ def available_citations(spark, sf_dir):
 @register(f"""WITH {C._KEYWORD}, h AS (SELECT *, 1.0 / (1 + rank) AS rerank_score, min(score) OVER (PARTITION BY qid) lo, max(score) OVER (PARTITION BY qid) hi FROM kr WHERE rank <= 5),
 b AS (SELECT qid, doc_id, round(0.7 * rerank_score + (1 - 0.7) * CASE WHEN abs(hi - lo) <= 1e-9 * greatest(abs(hi), abs(lo)) THEN 1.0 ELSE (score - lo) / (hi - lo) END, 6) AS blended FROM h) SELECT * FROM b""")
 def rerank_given_scores(spark, sf_dir):
-    hits = retrieval.top_k(retrieval.keyword_scores(documents(spark, sf_dir), C.benchmark_queries(spark, sf_dir), "doc_id", "text"), 5, "doc_id")
+    hits = retrieval.top_k(index.keyword_scores(C.document_index(spark, sf_dir), C.benchmark_queries(spark, sf_dir), 5), 5, "doc_id")
     scores = hits.select("qid", "doc_id", (1.0 / (1 + F.col("rank"))).alias("rerank_score"))
     return context.rerank_external(hits, scores, "doc_id").select("qid", "doc_id", r6(F.col("blended")).alias("blended"))
 
@@ -311,14 +311,14 @@ def search_hits(spark, sf_dir):
     docs = documents(spark, sf_dir)
     one = docs.select(F.concat(F.col("doc_id").cast("string"), F.lit("-0")).alias("chunk_id"), F.col("doc_id").alias("document_id"), "text", F.lit(0).alias("position"), F.lit(0).alias("token_start"), X.token_count(F.col("text")).alias("token_end"), F.lit(0).alias("char_start"), F.length("text").alias("char_end"))
     named = docs.select(F.col("doc_id").alias("id"), F.col("source").alias("filename"), F.col("lang").alias("media_type"))
-    ranked = retrieval.top_k(retrieval.keyword_scores(docs, C.benchmark_queries(spark, sf_dir), "doc_id", "text"), 10, "doc_id")
+    ranked = retrieval.top_k(index.keyword_scores(C.document_index(spark, sf_dir), C.benchmark_queries(spark, sf_dir), 10), 10, "doc_id")
     found = ranked.select("qid", "rank", F.concat(F.col("doc_id").cast("string"), F.lit("-0")).alias("chunk_id"), "score", F.lit(None).cast("double").alias("vector_score"), F.col("score").alias("keyword_score"))
     return retrieval.hits_of(found, one, named).select("qid", "document_id", "chunk_id", "filename", "media_type", "position", "rank", r6(F.col("score")).alias("score"))
 
 
 @register(f"WITH q AS (SELECT item_id qid, list_distinct({C.terms_sql('text')}) w FROM benchmark), d AS (SELECT doc_id, {C.terms_sql('text')} t FROM documents) SELECT qid, doc_id FROM q, d WHERE len(w) > 0 AND list_has_all(t, w)")
 def full_text_matches(spark, sf_dir):
-    return retrieval.text_matches(documents(spark, sf_dir), C.benchmark_queries(spark, sf_dir), "doc_id", "text")
+    return index.text_matches(C.document_index(spark, sf_dir), C.benchmark_queries(spark, sf_dir))
 
 
 @register("""SELECT user_id AS client, event_id AS request_id, to_json({'event_id': event_id, 'event_type': event_type}) AS line FROM events""")
@@ -328,10 +328,10 @@ def log_lines(spark, sf_dir):
     return rows.select(F.col("user_id").alias("client"), F.col("event_id").alias("request_id")).join(lines, "request_id")
 
 
-@register(f"WITH a AS (SELECT conv_id, turn, text, len({tokens_sql('text')})::INT n FROM conversations) SELECT conv_id, turn, n AS tokens, strpos(text, 'e') - 1 AS first_e FROM a WHERE n > 5")
+@register(f"WITH a AS (SELECT conv_id, turn, text, len({tokens_sql('text')})::INT n FROM conversations) SELECT conv_id, turn, n AS tokens, strpos(text, 'e') - 1 AS first_e FROM a")
 def message_tokens(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").withColumn("tokens", X.token_count(F.col("text")))
-    return rows.where("tokens > 5").select("conv_id", "turn", "tokens", (F.instr("text", "e") - 1).alias("first_e"))
+    return rows.select("conv_id", "turn", "tokens", (F.instr("text", "e") - 1).alias("first_e"))
 
 
 # Gold annotations: the first line of each document as a marker on a page that is the whole text.

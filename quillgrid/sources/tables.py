@@ -1,21 +1,33 @@
-"""Parquet tables."""
+"""Parquet tables, and tables that a session writes for itself in the shared folder."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+import tempfile
+import uuid
 
-SMALL_BYTES = 64 << 20  # a table up to this size may be dealt out anew
+from pyspark.sql import DataFrame, SparkSession
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table by Spark's own reader, so that any store Spark knows will do."""
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def own_path(spark: SparkSession, name: str) -> str:
+    """A new path for a table of this application, in the folder of ``spark.checkpoint.dir`` that driver and executors share.
+
+    Only a local session may do without that setting: it gets a temporary folder. On a cluster it's an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="quillgrid-")
+    return f"{found.rstrip('/')}/quillgrid-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A small table that the reader can't split among the cores (a file of one row group) is dealt out to them; any other is
-    left as it is. Columns and filters still reach the scan."""
-    plan, cores = df._jdf.queryExecution(), df.sparkSession.sparkContext.defaultParallelism
-    if plan.optimizedPlan().stats().sizeInBytes() > SMALL_BYTES or plan.toRdd().getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores)
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written and read back: the lineage ends there, and the rows outlive a lost executor."""
+    path = own_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
