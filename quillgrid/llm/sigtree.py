@@ -105,8 +105,8 @@ def prefix(tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def signature(tokens: np.ndarray) -> np.ndarray:
-    """A bitmap of the tokens, of a power of two of bits, two for each token at least while that is at most BITS."""
-    width = min(BITS, max(64, 1 << (2 * len(tokens) - 1).bit_length()))
+    """A bitmap of the tokens, of a power of two of bits, eight for each token at least while that is at most BITS."""
+    width = min(BITS, max(64, 1 << (8 * len(tokens) - 1).bit_length()))
     bits = np.zeros(width, np.uint8)
     bits[((tokens >> np.uint64(20)) & np.uint64(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").view(np.uint64)
@@ -198,6 +198,23 @@ _LEAF = pa.schema([("tree", pa.int64()), ("leaf", pa.int64()), ("small", pa.int6
 _LEAF_SQL = "tree long, leaf long, small long, large long, first long, last long, cls array<long>, comp array<long>, n array<long>, bitmaps array<binary>"
 
 
+def _met_by_size(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of members sorted by tree and size those that have a neighbour near enough in size; and the first and last of the range."""
+    num, den = LIKE
+    held, before = None, True  # the last row waits for the next; whether its own predecessor is near
+    for batch in batches:
+        rows = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks().to_batches()
+        if not rows:
+            continue
+        tree, n = (rows[0].column(c).to_numpy() for c in ("tree", "n"))
+        near = (tree[1:] == tree[:-1]) & (den * n[:-1] >= num * n[1:])
+        left, right = np.concatenate([[before], near]), np.concatenate([near, [False]])
+        yield rows[0].slice(0, len(tree) - 1).filter(pa.array((left | right)[:-1], pa.bool_()))
+        held, before = rows[0].slice(len(tree) - 1), bool(left[-1])
+    if held is not None:
+        yield held
+
+
 def _leaves(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
     """Members sorted by tree and size as leaf nodes of one tree."""
     number, tree, held = TaskContext.get().partitionId() << 36, None, []
@@ -314,10 +331,12 @@ def candidates(members: DataFrame, comps: DataFrame, classes: DataFrame, take: i
     tagged = materialize(_tagged(members, comps), "members")
     held = tagged.groupBy("token").agg(F.min("comp").alias("first"), F.max("comp").alias("last"), F.count("*").alias("many"), F.bit_xor(F.xxhash64("cls")).alias("x1"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("x2"))
     trees = held.where("first < last").groupBy("many", "x1", "x2").agg(F.min("token").alias("tree"))
-    own = tagged.withColumnRenamed("token", "tree").join(trees.select("tree"), "tree").join(classes.select("cls", "n", "bitmap"), "cls").select("tree", "cls", "comp", "n", "bitmap")
+    own = tagged.withColumnRenamed("token", "tree").join(trees.select("tree"), "tree").join(classes.select("cls", "n"), "cls").select("tree", "cls", "comp", "n")
     order = ["tree", "n", "cls"]
     width = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    leaves = materialize(own.repartitionByRange(width, *order).sortWithinPartitions(*order).mapInArrow(partial(_leaves, limit=LEAF), _LEAF_SQL), "leaves")
+    fitting = own.repartitionByRange(width, *order).sortWithinPartitions(*order).mapInArrow(_met_by_size, "tree long, cls long, comp long, n long")
+    signed = fitting.join(classes.select("cls", "bitmap"), "cls").select("tree", "cls", "comp", "n", "bitmap")
+    leaves = materialize(signed.repartitionByRange(width, *order).sortWithinPartitions(*order).mapInArrow(partial(_leaves, limit=LEAF), _LEAF_SQL), "leaves")
     made = "tree long, a long, b long, bound long, more boolean"
     inner = leaves.where("first < last").mapInArrow(partial(_met, other=False, take=take), made)
     # pairs of leaf nodes of one tree, by their ranges of sizes and components first; then their members
