@@ -463,7 +463,7 @@ def rate_limit(spark, sf_dir):
     return ingest.rate_limit_batch(requests, 3, 86_400.0)
 
 
-from quillgrid.plans import catalog_tables  # noqa: E402, F401  (registers the queries over tables, jobs and evaluation)
+from quillgrid.plans import catalog_english, catalog_tables  # noqa: E402, F401  (register English search, and the queries over tables, jobs and evaluation)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
