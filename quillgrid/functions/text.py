@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import sys
 
 import pandas as pd
 from pyspark.sql import Column
@@ -30,21 +32,39 @@ def tiles(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(rf"({SPACE}*)({TOKEN})"), F.lit(0))
 
 
-def casefold(text: Column) -> Column:
-    """F3 for Latin script: lower case, sharp s as ss, the micro sign as mu."""
+#: Characters that lower case, sharp s and micro sign apart, may leave unlike Python's fold. What isn't listed is Latin letters up to
+#: U+017E but one, and the large ranges without case (Hebrew to Myanmar, Hangul, Ethiopic, Indic, ideographs and kana, emoji).
+ODD = r"[^\x{0}-\x{148}\x{14A}-\x{17E}\x{590}-\x{109F}\x{1100}-\x{139F}\x{1400}-\x{1C7F}\x{2000}-\x{20FF}\x{2E80}-\x{A63F}\x{AC00}-\x{FAFF}\x{FE00}-\x{FF20}\x{1F000}-\x{10FFFF}]"
+
+
+@functools.cache
+def folds() -> tuple[dict[str, str], dict[str, str]]:
+    """The characters that fold to one other character, and those that fold to several, by Python's own tables."""
+    changed = {c: c.casefold() for c in map(chr, range(sys.maxunicode + 1)) if c.casefold() != c}
+    return {c: f for c, f in changed.items() if len(f) == 1}, {c: f for c, f in changed.items() if len(f) > 1}
+
+
+def _casefold_latin(text: Column) -> Column:
     return F.replace(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), F.lit("µ"), F.lit("μ"))
 
 
-@F.pandas_udf(T.StringType())
-def casefold_exact(text: pd.Series) -> pd.Series:
-    """F3 for any script."""
-    return text.map(str.casefold, na_action="ignore")
+def _casefold_any(text: Column) -> Column:
+    """F3 by the whole table. What folds to several characters goes first; no fold has a character that folds."""
+    one, several = folds()
+    pairs = F.array(*[F.array(F.lit(c), F.lit(f)) for c, f in several.items()])
+    spread = F.when(text.rlike(f"[{''.join(several)}]"), F.aggregate(pairs, text, lambda t, p: F.replace(t, p[0], p[1]))).otherwise(text)
+    return F.translate(spread, "".join(one), "".join(one.values()))
+
+
+def casefold(text: Column) -> Column:
+    """as Python folds. Texts without characters that need the table are put in lower case, sharp s as ss, the micro sign as mu."""
+    return F.when(text.rlike(ODD), _casefold_any(text)).otherwise(_casefold_latin(text))
 
 
 def _folded(text: Column, pattern: str) -> Column:
-    """All matches, folded. Folding the whole text first is cheaper, and the same but for the dotted capital I, whose fold isn't one letter."""
-    each = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), casefold)
-    return F.when(F.contains(text, F.lit("İ")), each).otherwise(F.regexp_extract_all(casefold(text), F.lit(pattern), F.lit(0)))
+    """All matches, folded. Folding the whole text first is cheaper, and the same where no letter folds to a letter and a mark."""
+    each = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), _casefold_any)
+    return F.when(text.rlike(ODD) | F.contains(text, F.lit("İ")), each).otherwise(F.regexp_extract_all(_casefold_latin(text), F.lit(pattern), F.lit(0)))
 
 
 def terms(text: Column) -> Column:

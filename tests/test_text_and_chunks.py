@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 from quillgrid.functions import text as X
@@ -15,7 +17,7 @@ def test_tokens(spark):
 
 def test_folding_and_white_space(spark):
     assert one(spark, "Straße STRASSE", X.terms(F.col("t"))) == ["strasse", "strasse"]
-    assert one(spark, "Straße ǅ", X.casefold_exact(F.col("t"))) == "strasse ǆ"
+    assert one(spark, "Straße ǅ", X.casefold(F.col("t"))) == "strasse ǆ"
     assert one(spark, "  a  b\n\tc ", X.normalize(F.col("t"))) == "a b c"
     assert one(spark, "_ a_b é! x", X.rerank_terms(F.col("t"))) == ["a_b", "é", "x"]
     assert len(one(spark, "word " * 40, X.title(F.col("t")))) == 80
@@ -76,3 +78,18 @@ def test_rollup_and_stats(spark):
     twenty = spark.range(1, 21).select(F.col("id").cast("int").alias("token_count"))
     stats = chunking.chunk_stats(twenty).first()
     assert (stats.p95_tokens, stats.median_tokens, stats.tokens) == (19, 10.5, 210)
+
+
+def test_casefold_of_all_characters(spark):
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(every[i : i + 64]) for i in range(0, len(every), 64)] + ["ΑΣ ΟΔΥΣΣΕΥΣ", "ﬁŉſ İ", "", None]  # a sigma at the end
+    texts += every[:0x600] + every[0x1000:0x2200] + every[0xA000 : 0xA000 + 0xC00]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.casefold(F.col("t")).alias("f")).collect()
+    assert [r.t for r in rows if r.f != (None if r.t is None else r.t.casefold())] == []
+    assert not any(re.search(re.sub(r"\\x\{(\w+)\}", lambda m: f"\\U{int(m[1], 16):08x}", X.ODD), c) is None for c in X.folds()[0] | X.folds()[1] if ord(c) > 0x17E)
+
+
+def test_terms_are_folded_after_they_are_cut(spark):
+    texts = ["Ǩǰ İstanbul ŉa", "ΌΔΟΣ ﬁn", "Ünïcode Straße", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.terms(F.col("t")).alias("f")).collect()
+    assert [r.f for r in rows] == [None if r.t is None else [w.casefold() for w in re.findall(r"\w+", r.t)] for r in rows]
