@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillgrid.functions import text as X
-from quillgrid.operators import chunking, context, evaluation, filters, index, retrieval, tables
+from quillgrid.operators import chunking, context, evaluation, filters, index, ivf, retrieval, tables
 from quillgrid.sources.tables import read_table, written
 from quillgrid.streaming import ingest
 
@@ -196,6 +196,14 @@ def vector_topk_batch(spark, sf_dir):
     return vector_ranked(spark, sf_dir, 10).select("qid", "doc_id", r6(F.col("score")).alias("score"), "rank")
 
 
+@register()
+def vector_topk_ivf(spark, sf_dir):
+    """The same search by an inverted file; approximate, so without SQL: its recall is tested."""
+    made = kept(spark, sf_dir, "vector-ivf", lambda: ivf.write_ivf(table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "doc_id"), "doc_id", "embedding"))
+    found = ivf.search(made, vector_queries(spark, sf_dir), 10, ivf.probes(made))
+    return found.select("qid", "doc_id", r6(F.col("score")).alias("score"), "rank")
+
+
 @register(f"WITH {_VECTOR} SELECT doc_id, round(score, 6) score, rank::INT AS rank FROM vr WHERE qid = 0 AND rank <= 10")
 def vector_topk(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "doc_id")
