@@ -10,7 +10,7 @@ from collections.abc import Callable
 from datetime import UTC, datetime, timedelta
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillgrid.functions import text as X
@@ -73,6 +73,22 @@ def expired(expires_at: Column, now: Column) -> Column:
     return expires_at <= now
 
 
+def versions_at(log: DataFrame, seq: str, invalidates: Column, span: int = 1_000_000) -> DataFrame:
+    """``log`` with the corpus version under which each entry ran: 1, and 1 more for each invalidation at an earlier place.
+
+    ``seq`` is the entry's number in the log, whole and not null; entries of one number see the same version. Invalidations are
+    counted by stretches of ``span`` numbers, running sums over stretches (one row each) give what a stretch begins with, and
+    only within a stretch are entries put in order: no task holds the log. Columns of ``log`` named _stretch and _now aren't allowed."""
+    marked = log.withColumns({"_stretch": F.floor(F.col(seq) / span), "_now": F.coalesce(invalidates, F.lit(False)).cast("long")})
+    counted = marked.groupBy("_stretch").agg(F.sum("_now").alias("_many"))
+    earlier = Window.orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    begun = counted.select("_stretch", F.coalesce(F.sum("_many").over(earlier), F.lit(0)).alias("_begun"))
+    within = Window.partitionBy("_stretch").orderBy(seq).rangeBetween(Window.unboundedPreceding, -1)
+    placed = marked.withColumn("_within", F.coalesce(F.sum("_now").over(within), F.lit(0))).join(begun, "_stretch")
+    return placed.withColumn("corpus_version", 1 + F.col("_begun") + F.col("_within")).drop("_stretch", "_now", "_begun", "_within")
+
+
+
 class QueryCache:
     """Embedding and result caches of one service, as dictionaries on the driver; every result key holds the
     corpus version, so that results of an older corpus can't be reached. Hits, misses and the like are counted."""

@@ -8,12 +8,17 @@ from pyspark.sql import functions as F
 from quillgrid.operators import context, evaluation, retrieval
 
 
-def verify_corpus(documents: DataFrame, expected: DataFrame) -> None:
-    """An error naming expected files that aren't ready and indexed."""
+def missing(documents: DataFrame, expected: DataFrame) -> DataFrame:
+    """The expected files that aren't ready and indexed."""
     ready = documents.where("status = 'ready' and indexing_status = 'indexed'").select("filename")
-    missing = [r.filename for r in expected.join(ready, "filename", "left_anti").orderBy("filename").limit(20).collect()]
-    if missing:
-        raise ValueError(f"documents are missing or not indexed: {', '.join(missing)}")
+    return expected.join(ready, "filename", "left_anti")
+
+
+def verify_corpus(documents: DataFrame, expected: DataFrame) -> None:
+    """An error naming expected files that are missing."""
+    absent = [r.filename for r in missing(documents, expected).orderBy("filename").limit(20).collect()]
+    if absent:
+        raise ValueError(f"documents are missing or not indexed: {', '.join(absent)}")
 
 
 def duplicates(df: DataFrame, key: str) -> DataFrame:

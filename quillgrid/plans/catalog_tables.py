@@ -220,12 +220,11 @@ def cache_rows(spark, sf_dir):
     return tables.latest(log, ["key"], "seq", "deleted").select("key", "payload", "seq")
 
 
-@register("SELECT event_id, 1 + count(*) FILTER (event_type = 'error') OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS corpus_version FROM events WHERE user_id % 10 = 3")
+@register("SELECT event_id, 1 + count(*) FILTER (event_type = 'error') OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS corpus_version FROM events")
 def corpus_versions(spark, sf_dir):
-    """The version under which each request of a service ran, where every error was an invalidation."""
-    log = table(spark, sf_dir, "events").where("user_id % 10 = 3").withColumn("service", F.lit(3))
-    before = Window.partitionBy("service").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
-    return log.select("event_id", (F.lit(1) + F.coalesce(F.count_if(F.col("event_type") == "error").over(before), F.lit(0))).alias("corpus_version"))
+    """The version under which each request ran, where every error was an invalidation."""
+    log = table(spark, sf_dir, "events").select("event_id", "event_type")
+    return tables.versions_at(log, "event_id", F.col("event_type") == "error").select("event_id", "corpus_version")
 
 
 @register("""SELECT item_id, sha256('{"dimension":64,"model":"m","query":"' || regexp_replace(trim(text, ' ' || chr(10)), '\\s+', ' ', 'g') || '"}') AS key FROM benchmark""")
@@ -268,7 +267,7 @@ def missing_files(spark, sf_dir):
     name = F.concat("source", F.lit("-"), "lang").alias("filename")
     named = documents(spark, sf_dir).select(name).where("filename is not null").distinct()
     present = documents(spark, sf_dir).where("n_chars > 3000").select(name)
-    return named.join(present, "filename", "left_anti")
+    return benchmark.missing(present.withColumns({"status": F.lit("ready"), "indexing_status": F.lit("indexed")}), named)
 
 
 @register(C._GOLD + " SELECT h.qid, h.rank::INT AS rank, round(coalesce(max(coverage), 0), 6) coverage, coalesce(max(coverage), 0) >= 0.5 relevant FROM hits h LEFT JOIN cov USING (qid, rank) GROUP BY ALL")
@@ -283,11 +282,10 @@ def macro_average(spark, sf_dir):
     return evaluation.macro_average(rows).select(r6(F.col("a")).alias("a"), r6(F.col("b")).alias("b"))
 
 
-@register("SELECT doc_id, position FROM (SELECT doc_id, unnest([0, 1, 2]) AS position FROM documents) WHERE position * 10 + 10 > position * 10")
+@register(C._CHUNKS + "SELECT doc_id, position, char_start, char_end FROM chunks WHERE char_start >= 0 AND char_end > char_start")
 def checked_spans(spark, sf_dir):
-    rows = documents(spark, sf_dir).select("doc_id", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("position"))
-    spans_ = rows.withColumns({"char_start": F.col("position") * 10, "char_end": F.col("position") * 10 + 10})
-    return evaluation.check_spans(spans_).select("doc_id", "position")
+    """The spans of all chunks; one that isn't a span would be an error."""
+    return evaluation.check_spans(C.chunk_fixed(spark, sf_dir)).select("doc_id", "position", "char_start", "char_end")
 
 
 @register(f"""WITH {C._KEYWORD}, h AS (SELECT qid, doc_id, rank FROM kr WHERE rank <= 3) SELECT qid, string_agg(rank || ':' || doc_id || ':' || source, ',' ORDER BY rank) AS citations FROM h JOIN documents USING (doc_id) GROUP BY 1""")

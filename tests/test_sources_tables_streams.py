@@ -172,3 +172,10 @@ def test_rate_limits(spark, tmp_path):
     query = ingest.rate_limit(stream, 2, 60).writeStream.format("memory").queryName("allowed").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert [r.allowed for r in spark.table("allowed").orderBy("request_id").collect()] == wanted
+
+
+def test_versions_over_stretches(spark):
+    rows = [(i, i % 7 == 3 if i % 5 else None) for i in [*range(0, 60), 59, 200, 201, 31]]
+    found = tables.versions_at(spark.createDataFrame(rows, "n long, bad boolean"), "n", F.col("bad"), span=8).collect()
+    assert sorted((r.n, r.corpus_version) for r in found) == sorted((n, 1 + sum(1 for m, bad in rows if bad and m < n)) for n, _ in rows)
+    assert tables.versions_at(spark.createDataFrame([], "n long, bad boolean"), "n", F.col("bad")).count() == 0
