@@ -104,7 +104,8 @@ def links(fingerprints: DataFrame, fp: str = "fp") -> DataFrame:
     other = index.select(F.col("f").alias("b"), "key")
     # a pair is taken only where the deleted bit is one that differs, else it would come once for each bit that could be deleted
     near = (F.col("a") < F.col("b")) & (F.bit_count(differs) <= MAX_BITS) & (differs.bitwiseAND(deleted) == deleted)
-    return index.select(F.col("f").alias("a"), "key").join(other, "key").where(near).select("a", "b").distinct()
+    # by sort and merge always: each side is 70 rows a fingerprint, which the size that Spark has measured ahead of the explode doesn't say
+    return index.select(F.col("f").alias("a"), "key").join(other.hint("merge"), "key").where(near).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -121,11 +122,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 def _grouped(prints: DataFrame) -> DataFrame:
     """Rows with doc_id and fp, and the component_id of each."""
     roots = connected_components(links(prints))
-    each = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")).join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"), "prints")
+    each = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")).join(roots.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"), "prints")
     # written, so that joins deal both sides out themselves and the rows of a giant component or a frequent text can be split
     named = materialize(each.groupBy("root").agg(F.min("least").alias("component_id")), "components")
-    by_print = materialize(each.join(named, "root").select("fp", "component_id"), "prints")
-    return prints.join(by_print, "fp")
+    by_print = materialize(each.join(named.hint("merge"), "root").select("fp", "component_id"), "prints")
+    return prints.join(by_print.hint("merge"), "fp")
 
 
 def hexadecimal(fp: Column) -> Column:
@@ -143,5 +144,5 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     stays = materialize(found.select("doc_id", "hash").distinct(), "kept")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r")  # so that no column's name meets those of this join
     rows = docs.select(row, F.col(doc_id).alias("own"), text_hash.alias("own_hash"))
-    met = rows.join(stays, rows.own.eqNullSafe(stays.doc_id) & (rows.own_hash == stays["hash"]), "left_semi")
+    met = rows.join(stays.hint("merge"), rows.own.eqNullSafe(stays.doc_id) & (rows.own_hash == stays["hash"]), "left_semi")
     return met.select(*[F.col(f"r.`{c}`").alias(c) for c in docs.columns])

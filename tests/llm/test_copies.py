@@ -5,6 +5,7 @@ from collections import Counter
 
 import duckdb
 import xxhash
+from pyspark.sql import functions as F
 from quillgrid.llm import linededup, simhash
 from quillgrid.llm.graph import connected_components
 
@@ -179,3 +180,11 @@ def test_extra_columns_pass_near_dedup(odd):
     assert [c for c in linededup.dedup_lines(odd).columns if c != "lines_before"] == [c for c in odd.columns if c != "lines_deleted"] + ["lines_deleted"]
     kept = linededup.dedup_lines(odd).where("doc_id = 6").first()
     assert (kept._rid, kept._gone, kept.r, kept.lines, kept["a b"]) == ("r", 1, 2, 3, 6)
+
+
+def test_nothing_that_grows_with_the_fingerprints_is_broadcast(spark):
+    rows = spark.range(3000).select((F.xxhash64("id")).alias("fp")).union(spark.range(3000).select(F.xxhash64("id").bitwiseXOR(F.lit(1)).alias("fp")))
+    found = simhash.links(rows.repartition(4))
+    assert found.count() == 3000
+    found.collect()
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
