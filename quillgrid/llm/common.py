@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgrid.sources.tables import read_table
+from quillgrid.sources.tables import BATCH_BYTES, bounded_batches, read_table  # noqa: F401  (the operators here take them from this module)
 
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -20,19 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return read_table(spark, sf_dir, name)
 
 
-#: Arrow batches between the JVM and Python hold whole texts; Spark's own bound (64 MB, 10,000 rows) is a large part of an executor's memory.
-BATCH_BYTES = 4 << 20
-_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
-
-
-def bounded_batches(df: DataFrame) -> DataFrame:
-    """``df`` as it is; where the session's creator left the size of Arrow batches alone, it is bounded by BATCH_BYTES from now on."""
-    spark = df.sparkSession
-    if spark.sparkContext.getConf().get(_BATCH_SETTING, None) is None:
-        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
-    return df
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgrid.functions import text as X
+from quillgrid.operators import exact
 
 BROADCAST_ROWS = 10_000  # queries (a stated set) that may be broadcast; more are joined by shuffle
 
@@ -90,6 +91,22 @@ def vector_scores(vectors: DataFrame, queries: DataFrame, key: str, vector: str)
     return vectors.where(F.col(vector).isNotNull()).crossJoin(F.broadcast(asked)).select("qid", F.col(key), cosine(F.col(vector), F.col("_q")).alias("score"))
 
 
+def nearest(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int, digits: int = 9) -> DataFrame:
+    """(qid, key, score) with the k best of each query by :func:`vector_scores`, rounded to ``digits``; any number of queries.
+
+    Vectors of one width, finite and not zero, are scored as matrix products of blocks. Others, on either side, pair by pair."""
+    rows = vectors.where(F.col(vector).isNotNull()).select(F.col(key).alias("key"), F.col(vector).alias("vector"))
+    asked = queries.where("vector is not null").select("qid", "vector")
+    width = rows.agg(F.max(F.size("vector"))).first()[0] or 1
+    good = exact.regular(F.col("vector"), width)
+    pairs = lambda a, b: a.crossJoin(b.withColumnRenamed("vector", "_q")).select("qid", "key", F.round(cosine(F.col("vector"), F.col("_q")), digits).alias("score"))
+    found = exact.best_pairs(rows.where(good), asked.where(good), width, k, digits, is_small(asked))
+    for odd, others in ((rows.where(~good), asked), (rows.where(good), asked.where(~good))):
+        if not odd.isEmpty() and not others.isEmpty():
+            found = found.unionByName(pairs(odd, others))
+    return found.withColumnRenamed("key", key)
+
+
 def fuse(vector_hits: DataFrame, keyword_hits: DataFrame, key: str, vector_weight: float = 0.7, rrf_k: int = 60) -> DataFrame:
     """(qid, key, score, vector_score, keyword_score) of ranked lists by weighted reciprocal rank, 1 at best."""
     if not 0 <= vector_weight <= 1 or rrf_k < 0:
@@ -131,7 +148,7 @@ def search(texts: DataFrame, queries: DataFrame, key: str = "chunk_id", text: st
     rows = texts if where is None else texts.where(where)
     many = top * candidate_multiplier if mode == "hybrid" else top
     even = lambda scored: scored if digits is None else scored.withColumn("score", F.round("score", digits))
-    by_vector = top_k(even(vector_scores(rows, queries, key, vector)), many, key) if use_vector else None
+    by_vector = top_k(vector_scores(rows, queries, key, vector) if digits is None else nearest(rows, queries, key, vector, many, digits), many, key) if use_vector else None
     by_word = lambda: keyword_scores(rows, queries, key, text) if index is None or where is not None else index.keyword(queries, many)
     by_keyword = top_k(even(by_word()), many, key) if use_keyword else None
     none = F.lit(None).cast("double")
