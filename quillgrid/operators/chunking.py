@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgrid.functions import text as X
+from quillgrid.sources.tables import bounded_batches
 
 SIZE, OVERLAP = 200, 20
 
@@ -98,7 +99,7 @@ def chunk_recursive(docs: DataFrame, key: str, text: str, size: int = SIZE, over
     """As :func:`chunk_fixed`, cut at headings, paragraphs, sentences and lines where they fit."""
     check_window(size, overlap)
     kind = docs.schema[key].dataType.simpleString()
-    made = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(partial(_recursive, size=size, overlap=overlap), f"key {kind}, position int, token_start int, token_end int, token_count int, char_start int, char_end int, text string")
+    made = bounded_batches(docs.select(F.col(key).alias("key"), F.col(text).alias("text"))).mapInPandas(partial(_recursive, size=size, overlap=overlap), f"key {kind}, position int, token_start int, token_end int, token_count int, char_start int, char_end int, text string")
     return made.withColumnRenamed("key", key)
 
 

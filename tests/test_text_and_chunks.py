@@ -93,3 +93,20 @@ def test_terms_are_folded_after_they_are_cut(spark):
     texts = ["Ǩǰ İstanbul ŉa", "ΌΔΟΣ ﬁn", "Ünïcode Straße", None]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.terms(F.col("t")).alias("f")).collect()
     assert [r.f for r in rows] == [None if r.t is None else [w.casefold() for w in re.findall(r"\w+", r.t)] for r in rows]
+
+
+def test_recursive_chunks_come_in_bounded_batches(spark, monkeypatch):
+    sizes = spark.sparkContext.accumulator(0)
+    plain = chunking._recursive
+
+    def watched(batches, size, overlap):
+        for batch in batches:
+            if batch["text"].str.len().sum() > 6 << 20:
+                sizes.add(1)
+            yield from plain(iter([batch]), size, overlap)
+
+    monkeypatch.setattr(chunking, "_recursive", watched)
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    docs = spark.range(0, 400, 1, 1).select("id", F.repeat(F.lit("words and more. "), 2500).alias("text"))
+    assert chunking.chunk_recursive(docs, "id", "text").select("id").distinct().count() == 400
+    assert sizes.value == 0
