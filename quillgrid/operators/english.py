@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgrid.functions import text as X
-from quillgrid.operators.index import Index
+from quillgrid.operators.index import Index, met_lists, small_words
 from quillgrid.operators.retrieval import query_terms, small
 from quillgrid.sources.tables import written
 
@@ -94,18 +94,20 @@ def asked(queries: DataFrame, words: DataFrame) -> DataFrame:
     return words.join(small(numbered), "stem", "right").select("qid", "at", "wanted", "part", "term")
 
 
-def _all_met(rows: DataFrame, key: str) -> DataFrame:
-    """(qid, key) where each stem of the query is met; rows: qid, key, at, wanted, repeats allowed."""
-    each = rows.groupBy("qid", key, "at", "wanted").agg(F.lit(1)).groupBy("qid", key, "wanted").agg(F.count("*").alias("met"))
-    return each.where("met = wanted").select("qid", key)
+def _all_met(rows: DataFrame, key: str, *more: str) -> DataFrame:
+    """(more, qid, key) where each stem of the query is met; rows: more, qid, key, at, wanted, repeats allowed."""
+    each = rows.groupBy(*more, "qid", key, "at", "wanted").agg(F.lit(1)).groupBy(*more, "qid", key, "wanted").agg(F.count("*").alias("met"))
+    return each.where("met = wanted").select(*more, "qid", key)
 
 
 def matches(index: Index, wanted: DataFrame) -> DataFrame:
-    """P5: (qid, key) of the texts with all stems of a query. Slices of texts that lack one are not read."""
+    """P5: (qid, key) of the texts with all stems of a query. Slices of texts that lack one are not read.
+
+    Lists are dealt by slice before they meet the queries, so what is counted, of slices and of texts, stays in the task of the slice."""
     words = wanted.where("term is not null")
-    slices = _all_met(index.meta().join(words, ["part", "term"]).select("qid", "slice", "at", "wanted"), "slice")
-    lists = index.rows.select("part", "term", "slice", "entries").join(words.join(slices, "qid"), ["part", "term", "slice"])
-    return _all_met(lists.select("qid", "at", "wanted", F.explode("entries.key").alias(index.key)), index.key)
+    slices = written(_all_met(met_lists(index, words, index.meta()).select("qid", "slice", "at", "wanted"), "slice"), "slices")
+    lists = met_lists(index, words, index.rows.select("part", "term", "slice", "entries"), slices)
+    return _all_met(lists.select("slice", "qid", "at", "wanted", F.explode("entries.key").alias(index.key)), index.key, "slice").select("qid", index.key)
 
 
 def cover_density(entries: Column, wanted: Column) -> Column:
@@ -131,9 +133,13 @@ def ranked(texts: DataFrame, index: Index, words: DataFrame, queries: DataFrame,
     key = index.key
     wanted = written(asked(queries, words), "asked")
     met = written(matches(index, wanted), "matches")
-    used = wanted.where("term is not null").select("term").distinct()
-    cut = texts.join(met.select(key).distinct(), key).select(key, F.posexplode(X.terms(F.col(text))).alias("pos", "term"))
-    places = cut.join(small(used), "term").groupBy(key, "term").agg(F.collect_list("pos").alias("places"))
-    each = met.join(wanted.where("term is not null"), "qid").join(places, [key, "term"]).select("qid", key, "wanted", F.explode("places").alias("pos"), "at")
+    asking = wanted.where("term is not null").groupBy("term").agg(F.collect_list(F.struct("qid", "wanted", "at")).alias("_asking"))
+    few = small_words(asking)
+    # each text goes to one task with the queries that it matches; its words meet what asks for them there
+    own = met.groupBy(key).agg(F.collect_set("qid").alias("_qids")).hint("merge")
+    cut = texts.select(key, text).join(own.select(key).hint("merge"), key).select(key, F.posexplode(X.terms(F.col(text))).alias("pos", "term"))
+    places = cut.join(few(asking.select("term")), "term", "left_semi").groupBy(key, "term").agg(F.collect_list("pos").alias("places"))
+    asked_here = places.join(own, key).join(few(asking), "term").select(key, "places", F.explode(F.filter("_asking", lambda x: F.array_contains("_qids", x["qid"]))).alias("_a"))
+    each = asked_here.select(F.col("_a.qid").alias("qid"), key, F.col("_a.wanted").alias("wanted"), F.col("_a.at").alias("at"), F.explode("places").alias("pos"))
     rows = each.groupBy("qid", key, "wanted").agg(F.array_sort(F.collect_list(F.struct("pos", F.col("at").cast("int").alias("at")))).alias("entries"))
     return rows.select("qid", key, cover_density(F.col("entries"), F.col("wanted")).alias("score"))

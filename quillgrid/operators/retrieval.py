@@ -11,8 +11,8 @@ from quillgrid.operators import exact
 BROADCAST_ROWS = 10_000  # queries (a stated set) that may be broadcast; more are joined by shuffle
 
 
-def is_small(df: DataFrame) -> bool:
-    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+def is_small(df: DataFrame, most: int = BROADCAST_ROWS) -> bool:
+    return df.limit(most + 1).count() <= most
 
 
 def small(df: DataFrame) -> DataFrame:

@@ -1,9 +1,11 @@
 import itertools
+import re
 import random
 
 import pytest
 from pyspark.sql import functions as F
 from quillgrid.operators import english, index
+from quillgrid.sources.tables import written
 
 # Published examples of the algorithm: words and stems.
 SAMPLE = """consign consign consigned consign consigning consign consignment consign consist consist consistency consist consistently consist
@@ -58,3 +60,16 @@ def test_search_by_stems(spark):
     assert found == {(1, 1): 0.1, (1, 2): pytest.approx(0.1 + 0.05), (1, 6): 0.1, (5, 3): 0.1}
     empty = index.write_index(docs.limit(0), "id", "text")
     assert english.ranked(docs.limit(0), empty, english.lexicon(empty), queries).count() == 0
+
+
+def test_rows_of_words_are_not_shuffled(spark):
+    """Lists went through shuffles by word, by query and by text; now lists and matches stay in the task of their slice."""
+    docs = spark.range(300).select("id", F.concat_ws(" ", F.lit("dogs"), F.concat(F.lit("w"), F.col("id") % 7), F.lit("cat")).alias("text"))
+    made = index.write_index(docs, "id", "text", slice_texts=4)
+    queries = spark.createDataFrame([(1, "dog cats"), (2, "w3 dog"), (3, "w3 w4")], "qid long, query string")
+    found = english.matches(made, written(english.asked(queries, english.lexicon(made)), "asked"))
+    assert {q: found.where(f"qid = {q}").count() for q in (1, 2, 3)} == {1: 300, 2: 43, 3: 0}
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    dealt = re.findall(r"hashpartitioning\(([^)]*)\)", plan)
+    assert any(d.startswith("slice#") for d in dealt) and not any(re.search(r"\b(qid|id)#|term#\d+, slice#", d) for d in dealt)  # words of queries may be grouped
