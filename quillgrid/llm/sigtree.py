@@ -10,11 +10,11 @@ together, downwards from their roots: of one member each, no more tokens can be
 tokens that share a bit; where that is less than their sizes need, or the sizes are too far apart, or all members already are
 one component, the pair of nodes is left. Pairs of members that remain are verified by their whole sets.
 
+Tokens meet in one shuffle, where those of one class only are left; tokens of the same members are one tree, of that weight.
 Only components are asked for. First each class is compared with the heads of the trees that it shares most with (a tree's head
 is the member that shares most tokens at all), so that large groups of near copies become one component without their pairs;
-then trees whose members are one component are dropped and trees of the same members are walked once. Walks give the best pairs
-of each member, 1, 4, 16, ... in rounds; between rounds what was linked becomes one component, until no pair is left that was
-not verified.
+then trees whose members are one component are dropped. Walks give the best pairs of each member, TAKE, 8 TAKE, 64 TAKE, ... in
+rounds; between rounds what was linked becomes one component. A round that gave all pairs of its walks is the last: mostly the first.
 """
 
 from __future__ import annotations
@@ -40,6 +40,7 @@ LEAF = 256  # members of a leaf node
 HELD = 8192  # pairs of one class that are verified in a task
 SIEVE = 1 << 23  # bits of a filter that goes ahead of a join
 FEW = 10_000  # pairs of leaf nodes whose numbers may be broadcast
+TAKE = 16  # pairs of a member that the first walk gives
 PAIRS = 4096  # pairs of nodes that are looked at together
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], dtype=np.uint64)
 
@@ -194,10 +195,6 @@ def walk(a: Nodes, b: Nodes, seen: list | None = None) -> tuple[np.ndarray, np.n
         i, j = x[real], y[real]
 
 
-_LEAF = pa.schema([("tree", pa.int64()), ("leaf", pa.int64()), ("small", pa.int64()), ("large", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("cls", pa.list_(pa.int64())), ("comp", pa.list_(pa.int64())), ("n", pa.list_(pa.int64())), ("bitmaps", pa.list_(pa.binary()))])
-_LEAF_SQL = "tree long, leaf long, small long, large long, first long, last long, cls array<long>, comp array<long>, n array<long>, bitmaps array<binary>"
-
-
 def _met_by_size(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of members sorted by tree and size those that have a neighbour near enough in size; and the first and last of the range."""
     num, den = LIKE
@@ -215,31 +212,20 @@ def _met_by_size(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield held
 
 
-def _leaves(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
-    """Members sorted by tree and size as leaf nodes of one tree."""
-    number, tree, held = TaskContext.get().partitionId() << 36, None, []
-
-    def node() -> list:
-        nonlocal number
-        number += 1
-        cls, comp, n, bitmaps = zip(*held, strict=True)
-        return [tree, number, min(n), max(n), min(comp), max(comp), cls, comp, n, bitmaps]
-
-    def packed(nodes: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*nodes, strict=True), _LEAF, strict=True)], schema=_LEAF)
-
+def _numbered(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """Members sorted by tree and size with the number of their leaf node, of one tree and at most ``limit`` members."""
+    number, last, place = TaskContext.get().partitionId() << 36, None, 0
     for batch in batches:
-        nodes = []
-        for row in zip(*(batch.column(c).to_pylist() for c in ("tree", "cls", "comp", "n", "bitmap")), strict=True):
-            if held and (row[0] != tree or len(held) == limit):
-                nodes.append(node())
-                held = []
-            tree = row[0]
-            held.append(row[1:])
-        if nodes:
-            yield packed(nodes)
-    if held:
-        yield packed([node()])
+        if not len(batch):
+            continue
+        tree = batch.column("tree").to_numpy()
+        starts = np.flatnonzero(np.concatenate([[tree[0] != last], tree[1:] != tree[:-1]]))
+        at = np.arange(len(tree)) + place
+        firsts = np.searchsorted(starts, np.arange(len(tree)), side="right")
+        at = np.where(firsts > 0, np.arange(len(tree)) - starts[firsts - 1], at) if len(starts) else at
+        leaf = number + np.cumsum(at % limit == 0)
+        number, last, place = int(leaf[-1]), tree[-1], int(at[-1]) + 1
+        yield pa.RecordBatch.from_arrays([pa.array(leaf), *(batch.column(c) for c in ("tree", "cls", "comp", "n"))], ["leaf", "tree", "cls", "comp", "n"])
 
 
 def _places(member: np.ndarray, bound: np.ndarray) -> np.ndarray:
@@ -325,18 +311,31 @@ def _tagged(rows: DataFrame, comps: DataFrame, cls: str = "cls", comp: str = "co
     return rows.join(named, cls, "left").withColumn(comp, F.coalesce(comp, cls))
 
 
+def shared_tokens(classes: DataFrame) -> DataFrame:
+    """(tree, cls, n, weight): the members of each tree. A tree stands for ``weight`` tokens, shared by the same classes.
+
+    classes: cls, n, prefix. Tokens are shuffled once; that a token has one class only shows where its rows have met."""
+    tokens = classes.select("cls", F.explode("prefix").alias("token"))
+    met = Window.partitionBy("token")
+    known = {"many": F.count("*").over(met), "x1": F.bit_xor(F.xxhash64("cls")).over(met), "x2": F.bit_xor(F.xxhash64("cls", F.lit(1))).over(met)}
+    trees = tokens.withColumns(known).where("many > 1").groupBy(F.xxhash64("many", "x1", "x2").alias("tree"), "cls").agg(F.count("*").alias("weight"))
+    return trees.join(classes.select("cls", "n"), "cls").select("tree", "cls", "n", "weight")
+
+
 def candidates(members: DataFrame, comps: DataFrame, classes: DataFrame, take: int) -> DataFrame:
     """(tree, a, b, bound, more): pairs of classes of different components that the trees let through, the ``take`` best of each
-    class in a walk; ``more``: whether the walk has others. members: token, cls."""
-    tagged = materialize(_tagged(members, comps), "members")
-    held = tagged.groupBy("token").agg(F.min("comp").alias("first"), F.max("comp").alias("last"), F.count("*").alias("many"), F.bit_xor(F.xxhash64("cls")).alias("x1"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("x2"))
-    trees = held.where("first < last").groupBy("many", "x1", "x2").agg(F.min("token").alias("tree"))
-    own = tagged.withColumnRenamed("token", "tree").join(trees.select("tree"), "tree").join(classes.select("cls", "n"), "cls").select("tree", "cls", "comp", "n")
+    class in a walk; ``more``: whether the walk has others. members: tree, cls, n."""
+    whole = Window.partitionBy("tree")
+    tagged = _tagged(members.select("tree", "cls", "n"), comps).withColumns({"first": F.min("comp").over(whole), "last": F.max("comp").over(whole)})
+    own = materialize(tagged.where("first < last").select("tree", "cls", "comp", "n"), "members")
     order = ["tree", "n", "cls"]
     width = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     fitting = own.repartitionByRange(width, *order).sortWithinPartitions(*order).mapInArrow(_met_by_size, "tree long, cls long, comp long, n long")
-    signed = fitting.join(classes.select("cls", "bitmap"), "cls").select("tree", "cls", "comp", "n", "bitmap")
-    leaves = materialize(signed.repartitionByRange(width, *order).sortWithinPartitions(*order).mapInArrow(partial(_leaves, limit=LEAF), _LEAF_SQL), "leaves")
+    numbered = materialize(fitting.mapInArrow(partial(_numbered, limit=LEAF), "leaf long, tree long, cls long, comp long, n long"), "numbered")
+    figures = [f(c).alias(name) for f, c, name in ((F.first, "tree", "tree"), (F.min, "n", "small"), (F.max, "n", "large"), (F.min, "comp", "first"), (F.max, "comp", "last"))]
+    body = ("cls", "comp", "n", "bitmaps")
+    signed = numbered.join(classes.select("cls", "bitmap"), "cls").groupBy("leaf").agg(*figures, F.collect_list(F.struct("cls", "comp", "n", F.col("bitmap").alias("bitmaps"))).alias("m"))  # LEAF at most
+    leaves = materialize(signed.select("leaf", "tree", "small", "large", "first", "last", *[F.col(f"m.{c}").alias(c) for c in body]), "leaves")
     made = "tree long, a long, b long, bound long, more boolean"
     inner = leaves.where("first < last").mapInArrow(partial(_met, other=False, take=take), made)
     # pairs of leaf nodes of one tree, by their ranges of sizes and components first; then their members
@@ -346,9 +345,11 @@ def candidates(members: DataFrame, comps: DataFrame, classes: DataFrame, take: i
     near = (F.col("leaf") < F.col("o_leaf")) & (den * F.col("large") >= num * F.col("o_small")) & (den * F.col("o_large") >= num * F.col("small"))
     apart = (F.col("first") != F.col("last")) | (F.col("o_first") != F.col("o_last")) | (F.col("first") != F.col("o_first"))
     pairs = materialize(names.join(other, "tree").where(near & apart).select("leaf", "o_leaf"), "leaf-pairs")
-    body = ("cls", "comp", "n", "bitmaps")
+    many = pairs.count()
+    if not many:
+        return materialize(inner, "candidates")
     ends = pairs.select(F.explode(F.array("leaf", "o_leaf")).alias("leaf")).distinct()
-    if pairs.count() <= FEW:  # of most trees there is one leaf node only
+    if many <= FEW:  # of most trees there is one leaf node only
         leaves = leaves.join(F.broadcast(ends), "leaf", "left_semi")
     left, right = leaves.select("leaf", "tree", *body), leaves.select(F.col("leaf").alias("o_leaf"), *[F.col(c).alias(f"o_{c}") for c in body])
     outer = pairs.join(left, "leaf").join(right, "o_leaf").mapInArrow(partial(_met, other=True, take=take), made)
@@ -372,36 +373,36 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     prefixed = given.mapInArrow(partial(_prefixed, words=words, counts=counts.ravel()), "key long, doc_id long, h1 long, h2 long, n long, prefix array<long>, bitmap binary")
     each = prefixed.where("n > 0").groupBy("h1", "h2").agg(F.min("key").alias("key"), F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("n", "prefix", "bitmap")])
     classes = materialize(each.withColumn("cls", F.monotonically_increasing_id()), "classes")
-    tokens = classes.select("cls", F.explode("prefix").alias("token"))
-    shared = materialize(tokens.groupBy("token").agg(F.min("cls").alias("head"), F.max("cls").alias("tail")).where("head < tail").select("token", "head"), "shared")
-    members = materialize(_sieved(tokens, "token", shared).join(shared, "token").select("token", "cls"), "members")
+    members = materialize(shared_tokens(classes), "shared")
     # each class with the heads of the trees that it shares most with: what others were copied from has most tokens shared
-    ranked = members.join(members.groupBy("cls").agg(F.count("*").alias("held")), "cls")
-    heads = ranked.groupBy("token").agg(F.max(F.struct("held", -F.col("cls"))).alias("head")).select("token", (-F.col("head.col2")).alias("head"))
-    stars = members.join(heads, "token").where("cls <> head").groupBy("head", "cls").agg(F.count("*").alias("many"))
+    ranked = members.join(members.groupBy("cls").agg(F.sum("weight").alias("held")), "cls")
+    heads = ranked.groupBy("tree").agg(F.max(F.struct("held", -F.col("cls"))).alias("head")).select("tree", (-F.col("head.col2")).alias("head"))
+    stars = members.join(heads, "tree").where("cls <> head").groupBy("head", "cls").agg(F.sum("weight").alias("many"))
     best = Window.partitionBy("cls").orderBy(F.desc("many"), "head")
     most = stars.withColumn("at", F.row_number().over(best)).where("at <= 2").select(F.col("head").alias("a"), F.col("cls").alias("b"))
     hopeful = _paired(materialize(most, "stars"), classes, F.struct("n", "bitmap")).mapInArrow(_plausible, "a long, b long, linked boolean").where("linked").select("a", "b")
-    found = materialize(_verify(materialize(hopeful, "stars"), given, classes, words), "links")
+    hopeful = materialize(hopeful, "stars")
+    found = materialize(_verify(hopeful, given, classes, words), "links")
     comps = _components(found)
     # the best pairs of each class first: what they link, the next walk leaves
-    tried, take, own = None, 1, members
+    tried, take, own = hopeful.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), TAKE, members
     while True:
         met = candidates(own, comps, classes, take)
-        each = met.groupBy("a", "b").agg(F.max("bound").alias("bound"))
-        open_ = materialize(each if tried is None else each.join(tried, ["a", "b"], "left_anti"), "open")
         place = lambda end: F.row_number().over(Window.partitionBy(end).orderBy(F.desc("bound"), "a", "b"))
-        chosen = materialize(open_.withColumns({"at_a": place("a"), "at_b": place("b")}).where((F.col("at_a") <= take) | (F.col("at_b") <= take)).select("a", "b"), "chosen")
-        if chosen.isEmpty() and met.where("more").isEmpty():
-            break
-        tried = chosen if tried is None else materialize(tried.unionByName(chosen), "tried")
-        found = materialize(found.unionByName(_verify(chosen, given, classes, words)), "links")
-        comps = _components(found)
-        own = own.join(met.select(F.col("tree").alias("token")).distinct(), "token", "left_semi")  # other trees had no pair left
-        take *= 4
+        open_ = met.groupBy("a", "b").agg(F.max("bound").alias("bound")).join(tried, ["a", "b"], "left_anti").withColumns({"at_a": place("a"), "at_b": place("b")})
+        judged = materialize(open_.select("a", "b", ((F.col("at_a") <= take) | (F.col("at_b") <= take)).alias("chosen")), "open")
+        chosen, later = judged.where("chosen").select("a", "b"), not judged.where("not chosen").isEmpty()
+        if not chosen.isEmpty():
+            found = materialize(found.unionByName(_verify(chosen, given, classes, words)), "links")
+            comps = _components(found)
+        more = met if later else met.where("more")
+        if more.isEmpty():
+            break  # each pair that a walk let through was verified
+        tried = materialize(tried.unionByName(chosen), "tried")
+        own = own.join(more.select("tree").distinct(), "tree", "left_semi")  # other trees had no pair left
+        take *= 8
     placed = materialize(_tagged(classes.select("h1", "h2", "cls", "least"), comps), "placed")
-    named = materialize(placed.groupBy("comp").agg(F.min("least").alias("component_id")), "components")
-    by_set = materialize(placed.join(named, "comp").select("h1", "h2", "component_id"), "sets-named")
+    by_set = placed.join(placed.groupBy("comp").agg(F.min("least").alias("component_id")), "comp").select("h1", "h2", "component_id")
     full = rows.where("n > 0").join(by_set, ["h1", "h2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     empty = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return full.unionByName(empty)

@@ -79,6 +79,33 @@ def test_groups_of_near_copies_chains_and_a_common_passage(spark, monkeypatch):
     assert found(spark.createDataFrame(given, "doc_id long, text string").repartition(5)) == brute(given)
 
 
+def test_tokens_meet_without_a_filter_of_fixed_size_and_one_walk_is_enough(spark, monkeypatch):
+    rng, sieved, walks, walked = random.Random(5), [], [], sigtree.candidates
+    rows = [(10 * g + i, near(rng, [f"g{g}w{w}" for w in range(90)], 0.012)) for g in range(6) for i in range(8)]
+    keep = sigtree._sieved
+    monkeypatch.setattr(sigtree, "_sieved", lambda df, key, wanted: sieved.append(key) or keep(df, key, wanted))
+    monkeypatch.setattr(sigtree, "candidates", lambda *a: walks.append(a[-1]) or walked(*a))
+    assert found(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+    assert "token" not in sieved and len(walks) == 1
+
+
+def test_trees_stand_for_the_tokens_that_the_same_classes_share(spark):
+    classes = spark.createDataFrame([(1, 9, [5, 6, 7, 8]), (2, 9, [5, 6, 9]), (3, 8, [7, 10]), (4, 1, [])], "cls long, n long, prefix array<long>")
+    trees = {}
+    for r in sigtree.shared_tokens(classes).collect():
+        trees.setdefault(r.tree, []).append((r.cls, r.n, r.weight))
+    assert sorted(map(sorted, trees.values())) == [[(1, 9, 1), (3, 8, 1)], [(1, 9, 2), (2, 9, 2)]]
+
+
+def test_pairs_that_a_walk_held_back_are_verified_later(spark, monkeypatch):
+    monkeypatch.setattr(sigtree, "TAKE", 1)
+    monkeypatch.setattr(sigtree, "LEAF", 4)
+    rng = random.Random(3)
+    base = [f"b{w}" for w in range(60)]
+    rows = [(i, near(rng, base, 0.025)) for i in range(70)]
+    assert found(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)) == brute(rows)
+
+
 def test_sets_at_the_limit_link(spark):
     # n and n + m tokens of which n are common: similarity n / (n + m), linked at four fifths exactly
     rows = []
