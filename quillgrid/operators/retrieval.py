@@ -20,6 +20,14 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if is_small(df) else df
 
 
+def texts_of(found: DataFrame, texts: DataFrame, key: str, most: int = 100_000) -> DataFrame:
+    """``found`` with its rows of ``texts``. Of these only those found are shuffled, by the ids of what was found (at most
+    ``most`` are broadcast, behind a check; with more both sides are shuffled). found: written, as it is read more than once."""
+    ids = found.select(key).distinct()
+    held = texts.join(F.broadcast(ids), key, "left_semi") if is_small(ids, most) else texts
+    return found.join(held, key)
+
+
 def top_k(scored: DataFrame, k: int, key: str, score: str = "score") -> DataFrame:
     """The k best of each query, score falling, then key as text rising; with their rank from 1."""
     if k <= 0:

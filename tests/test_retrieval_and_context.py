@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 from quillgrid.operators import context, filters, retrieval
+from quillgrid.plans import catalog
 
 
 @pytest.fixture(scope="module")
@@ -98,3 +99,19 @@ def test_history_citations_and_conversations(spark):
     assert [r.chunk for r in context.cited(answers, available, "m", "answer").collect()] == ["c1"]
     heads = spark.createDataFrame([(1,), (2,)], "conv int")
     assert {(r.conv, r.messages, r.next_position) for r in context.conversations(heads, said, "conv").collect()} == {(1, 4, 4), (2, 0, 0)}
+
+
+def test_of_texts_only_those_found_are_shuffled(spark, tmp_path):
+    texts = spark.range(500).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    spark.createDataFrame([(1, 7, 1), (1, 9, 2), (2, 7, 1), (2, 999, 2)], "qid long, doc_id long, rank int").write.parquet(str(tmp_path / "f"))
+    found = spark.read.parquet(str(tmp_path / "f"))
+    got = retrieval.texts_of(found, texts, "doc_id")
+    assert sorted((r.qid, r.doc_id, r.text) for r in got.collect()) == [(1, 7, "text 7"), (1, 9, "text 9"), (2, 7, "text 7")]
+    assert "LeftSemi" in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, retrieval.texts_of(found, texts, "doc_id", most=1).collect())) == sorted(map(tuple, got.collect()))  # too many ids: by shuffle
+
+
+@pytest.mark.parametrize("name", ["rerank_lexical", "context_budget"])
+def test_hits_fetch_their_own_texts_only(spark, sf, name):
+    plan = catalog.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan
