@@ -106,8 +106,8 @@ def matches(index: Index, wanted: DataFrame) -> DataFrame:
     Lists are dealt by slice before they meet the queries, so what is counted, of slices and of texts, stays in the task of the slice."""
     words = wanted.where("term is not null")
     slices = written(_all_met(met_lists(index, words, index.meta()).select("qid", "slice", "at", "wanted"), "slice"), "slices")
-    lists = met_lists(index, words, index.rows.select("part", "term", "slice", "entries"), slices)
-    return _all_met(lists.select("slice", "qid", "at", "wanted", F.explode("entries.key").alias(index.key)), index.key, "slice").select("qid", index.key)
+    lists = met_lists(index, words, index.rows.select("part", "term", "slice", F.col("entries.key").alias("_keys")), slices)
+    return _all_met(lists.select("slice", "qid", "at", "wanted", F.explode("_keys").alias(index.key)), index.key, "slice").select("qid", index.key)
 
 
 def cover_density(entries: Column, wanted: Column) -> Column:
