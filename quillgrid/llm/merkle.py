@@ -4,8 +4,9 @@ Rows get their places in their source from ranges in order: the place in the ran
 Places are cut into aligned buckets of FANOUT ** LEVELS rows, which are whole subtrees, whatever lies beside them. In an executor
 DuckDB takes a bucket as an Arrow table and computes its levels: ordered string_agg over runs of FANOUT nodes, sha256 of each
 run, and for each node the text left and right of it in its run. Spark takes the buckets' roots as the nodes of the next tree,
-by the same buckets, until one is left of each source; sources' roots make the last tree. Outer proofs are joined to inner ones
-by bucket. Digests are lowercase hex text throughout, also where they are hashed.
+by the same buckets, until one is left of each source; sources' roots make the last tree. Then each bucket meets the one path from
+its root outwards and is climbed again, for the paths of its rows: these are many times the rows, so they are neither shuffled nor
+written, but folded where they are made. Digests are lowercase hex text throughout, also where they are hashed.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import duckdb
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillgrid.llm.common import bounded_batches, materialize
 
@@ -53,20 +55,51 @@ def climb_bucket(bucket: pa.Table, fanout: int = FANOUT, levels: int = LEVELS) -
     path = pa.list_(pa.struct([("before", pa.string()), ("after", pa.string())]))
     return pa.table({"grp": same[0], "bucket": same[1], "place": made["place"].cast(pa.int64()), "path": made["path"].cast(path), "top": same[2]})
 
+def _top(bucket: pa.Table, fanout: int, levels: int) -> pa.Table:
+    return climb_bucket(bucket, fanout, levels).slice(0, 1).select(["grp", "bucket", "top"]).append_column("n", bucket["n"].slice(0, 1))
+
+def _inner(bucket: pa.Table, above: pa.Table, fanout: int, levels: int, names: list[str]) -> pa.Table:
+    """The rows of a bucket with their paths to its root, and the columns ``names`` of its one row of ``above``."""
+    bucket = bucket.sort_by("place")
+    made = bucket.append_column("path", climb_bucket(bucket, fanout, levels)["path"])
+    for name in names:
+        made = made.append_column(name, above[name].take(pa.array([0] * len(made))))
+    return made
+
+def buckets(nodes: DataFrame, fanout: int, levels: int) -> DataFrame:
+    """``nodes`` with the number of their bucket."""
+    return nodes.withColumn("bucket", F.expr(f"place div {fanout**levels}L"))
+
+def tops(cut: DataFrame, fanout: int, levels: int) -> DataFrame:
+    """(grp, bucket, top, n) of each bucket, written; n: nodes of the group. cut: nodes (grp, n, place, digest) with their bucket."""
+    def top_of(bucket: pa.Table) -> pa.Table:
+        return _top(bucket, fanout, levels)
+
+    return materialize(cut.select("grp", "n", "bucket", "place", "digest").groupBy("grp", "bucket").applyInArrow(top_of, "grp string, bucket long, top string, n long"), "merkle")
+
+def within(cut: DataFrame, above: DataFrame, fanout: int, levels: int) -> DataFrame:
+    """``cut`` with ``path``, that of each node to its bucket's root, and what ``above`` has of its bucket (a row each)."""
+    names = [c for c in above.columns if c not in ("grp", "bucket")]
+    schema = T.StructType([*cut.schema.fields, T.StructField("path", T.ArrayType(T.StructType([T.StructField("before", T.StringType()), T.StructField("after", T.StringType())]))), *[above.schema[c] for c in names]])
+
+    def inner_of(bucket: pa.Table, outside: pa.Table) -> pa.Table:
+        return _inner(bucket, outside, fanout, levels, names)
+
+    return cut.groupBy("grp", "bucket").cogroup(above.groupBy("grp", "bucket")).applyInArrow(inner_of, schema)
+
+def outwards(roots: DataFrame, fanout: int, levels: int) -> DataFrame:
+    """(grp, bucket, outer, root) of buckets (``tops``): the path of each from its root to that of its group."""
+    if roots.where("bucket > 0").isEmpty():
+        return roots.select("grp", "bucket", F.array().cast(_PATH).alias("outer"), F.col("top").alias("root"))
+    counted = roots.groupBy("grp").agg(F.count("*").alias("n"))
+    above = climb(roots.select("grp", F.col("bucket").alias("place"), F.col("top").alias("digest")).join(counted, "grp"), fanout, levels)
+    return above.select("grp", F.col("place").alias("bucket"), F.col("path").alias("outer"), "root")
+
 def climb(nodes: DataFrame, fanout: int = FANOUT, levels: int = LEVELS) -> DataFrame:
     """(grp, place, path, root) of nodes (grp, n, place, digest): the whole path of each to the root of its group."""
-    def levels_of(bucket: pa.Table) -> pa.Table:
-        return climb_bucket(bucket, fanout, levels)
-
-    cut = nodes.select("grp", "n", F.expr(f"place div {fanout**levels}L").alias("bucket"), "place", "digest")
-    inner = materialize(cut.groupBy("grp", "bucket").applyInArrow(levels_of, f"grp string, bucket long, place long, path {_PATH}, top string"), "merkle")
-    if inner.where("bucket > 0").isEmpty():
-        return inner.select("grp", "place", "path", F.col("top").alias("root"))
-    tops = inner.groupBy("grp", F.col("bucket").alias("place")).agg(F.first("top").alias("digest"))
-    counted = tops.groupBy("grp").agg(F.count("*").alias("n"))
-    above = climb(tops.join(counted, "grp"), fanout, levels)
-    outer = above.select("grp", F.col("place").alias("bucket"), F.col("path").alias("outer"), "root")
-    return inner.join(outer, ["grp", "bucket"]).select("grp", "place", F.concat("path", "outer").alias("path"), "root")
+    cut = buckets(nodes, fanout, levels)
+    met = within(cut, outwards(tops(cut, fanout, levels), fanout, levels), fanout, levels)
+    return met.select("grp", "place", F.concat("path", "outer").alias("path"), "root")
 
 def in_place(rows: DataFrame, by: str, order: list[str]) -> DataFrame:
     """``rows`` with ``place`` (from 0, in the order given) in their group and ``n``, the group's number of rows; written.
@@ -109,15 +142,16 @@ def manifest(docs: DataFrame, tampered: Column, doc_id: str = "doc_id", source:
     group = F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("n"))  # null sorts first
     leaves = bounded_batches(docs).select(group.alias("grp"), F.col(doc_id).alias("doc_id"), original.alias("leaf"), again.alias("later"))
     placed = materialize(in_place(leaves, "grp", ["doc_id", "leaf"]), "leaves")
-    inner = climb(placed.select("grp", "n", "place", F.col("leaf").alias("digest")))
+    shape = climb.__defaults__  # fanout, levels
+    cut = buckets(placed.withColumnRenamed("leaf", "digest"), *shape)
+    inner = materialize(outwards(tops(cut, *shape), *shape), "outwards")
     subroots = inner.groupBy("grp").agg(F.first("root").alias("digest"))
     top = in_place(subroots.select(F.lit("all").alias("of"), "grp", "digest"), "of", ["grp"])
-    outer = climb(top.select(F.col("of").alias("grp"), "n", "place", "digest")).select("place", F.col("path").alias("outer"), "root")
-    above = top.join(outer, "place").select("grp", F.col("digest").alias("subroot"), "outer", "root")
+    last = climb(top.select(F.col("of").alias("grp"), "n", "place", "digest")).select("place", F.col("path").alias("last"), "root")
+    sources = top.join(last, "place").select("grp", F.col("digest").alias("subroot"), "last", "root")
+    above = inner.select("grp", "bucket", "outer").join(sources, "grp").select("grp", "bucket", F.concat("outer", "last").alias("outer"), "subroot", "root")
     siblings = lambda path: F.array_join(F.transform(path, lambda x: F.concat(x["before"], x["after"])), "")
-    rows = placed.join(inner.select("grp", "place", "path"), ["grp", "place"])
-    # one row a source: Spark decides whether they are few enough to be broadcast
-    met = rows.join(above, "grp").withColumn("whole", F.concat("path", "outer"))
+    met = within(cut, above, *shape).withColumn("whole", F.concat("path", "outer")).withColumnRenamed("digest", "leaf")
     folded = fold(F.coalesce("later", "leaf"), F.col("whole"))
     return met.select("doc_id", "leaf", "subroot", "root", F.sha2(siblings(F.col("whole")), 256).alias("proof_sha256"), folded.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
 

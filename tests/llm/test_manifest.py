@@ -1,6 +1,7 @@
 """The Merkle manifest against a tree built in plain Python."""
 
 import hashlib
+import re
 import zlib
 from collections import defaultdict
 
@@ -106,3 +107,17 @@ def test_a_changed_row_alone_fails(spark):
     docs = spark.createDataFrame(rows, "doc_id long, source string, lang string, n_chars long, text string")
     found = merkle.manifest(docs, F.when(F.col("doc_id") == 4, "other").otherwise(F.col("text"))).collect()
     assert {r.doc_id for r in found if not r.verified} == {4}
+
+
+def test_paths_are_neither_shuffled_nor_written(spark):
+    """Paths joined to rows by their place were a shuffle of many times the rows, as soon as they weren't broadcast."""
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.lit("en").alias("lang"), F.lit(1).alias("n_chars"), F.lit("a").alias("text"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = merkle.manifest(docs, F.col("text"))
+        assert made.where("verified").count() == 3000
+        made.collect()
+        plan = made._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "FlatMapCoGroupsInArrow" in plan and not re.search(r"hashpartitioning\(grp#\d+, place#", plan)
