@@ -11,6 +11,9 @@ tokens that share a bit; where that is less than their sizes need, or the sizes
 one component, the pair of nodes is left. Pairs of members that remain are verified by their whole sets.
 
 Tokens meet in one shuffle, where those of one class only are left; tokens of the same members are one tree, of that weight.
+Two classes have no more tokens in common than follow the first of these in the order, itself included. So where a tree's first
+token stands late in a member's prefix, only smaller members can be its partners there (``partner_size``): members that have none
+are left before their signatures are fetched. A pair that links is found in the tree of its first common token.
 Only components are asked for. First each class is compared with the heads of the trees that it shares most with (a tree's head
 is the member that shares most tokens at all), so that large groups of near copies become one component without their pairs;
 then trees whose members are one component are dropped. Walks give the best pairs of each member, TAKE, 8 TAKE, 64 TAKE, ... in
@@ -19,6 +22,7 @@ rounds; between rounds what was linked becomes one component. A round that gave
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import partial
 
@@ -105,6 +109,11 @@ def prefix(tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return tokens[order[: prefix_length(len(tokens))]]
 
 
+def partner_size(n: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The largest set that one of n tokens can be like, if the first token in common is its at-th, from 0, in the order."""
+    return ((LIKE[0] + LIKE[1]) * (n - at)) // LIKE[0] - n
+
+
 def signature(tokens: np.ndarray) -> np.ndarray:
     """A bitmap of the tokens, of a power of two of bits, eight for each token at least while that is at most BITS."""
     width = min(BITS, max(64, 1 << (8 * len(tokens) - 1).bit_length()))
@@ -113,6 +122,16 @@ def signature(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(bits, bitorder="little").view(np.uint64)
 
 
+def _packed(bitmap: np.ndarray) -> bytes:
+    """A bitmap as it is kept and shuffled: seven of eight bits are 0, so Huffman's codes nearly halve it."""
+    made = zlib.compressobj(1, zlib.DEFLATED, -15, 9, zlib.Z_HUFFMAN_ONLY)
+    return made.compress(bitmap.tobytes()) + made.flush()
+
+
+def _unpacked(packed: bytes | pa.Buffer) -> bytes:
+    return zlib.decompress(packed, -15)
+
+
 def _prefixed(batches: Iterator[pa.RecordBatch], words: int, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [shingles(t.as_py(), words) for t in batch.column("text")]
@@ -120,7 +139,7 @@ def _prefixed(batches: Iterator[pa.RecordBatch], words: int, counts: np.ndarray)
         ids = [_identity(s) for s in sets]
         values = pa.array(np.concatenate(first).view(np.int64) if first else np.empty(0, np.int64))
         offsets = pa.array(np.concatenate([[0], np.cumsum([len(p) for p in first])]).astype(np.int32))
-        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("doc_id"), pa.array([i for i, _ in ids], pa.int64()), pa.array([i for _, i in ids], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(offsets, values), pa.array([signature(s).tobytes() for s in sets], pa.binary())], ["key", "doc_id", "h1", "h2", "n", "prefix", "bitmap"])
+        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("doc_id"), pa.array([i for i, _ in ids], pa.int64()), pa.array([i for _, i in ids], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(offsets, values), pa.array([_packed(signature(s)) for s in sets], pa.binary())], ["key", "doc_id", "h1", "h2", "n", "prefix", "bitmap"])
 
 
 def _whole(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
@@ -196,18 +215,31 @@ def walk(a: Nodes, b: Nodes, seen: list | None = None) -> tuple[np.ndarray, np.n
 
 
 def _met_by_size(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of members sorted by tree and size those that have a neighbour near enough in size; and the first and last of the range."""
+    """Of members sorted by tree and size those that may have a partner there; and the first and last of the range.
+
+    A larger partner isn't smaller than the next member, a smaller one not larger than the one before; and no partner of a member
+    is larger than its ``partner_size``, of which the largest so far is kept."""
     num, den = LIKE
-    held, before = None, True  # the last row waits for the next; whether its own predecessor is near
+    held, before, reach = None, True, 0  # the last row waits for the next; whether it has a smaller partner; how far those of its tree reach
+    unknown = None  # the tree that the range begins with: what earlier ranges hold of it isn't known
     for batch in batches:
         rows = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks().to_batches()
-        if not rows:
+        if not rows or not len(rows[0]):
             continue
-        tree, n = (rows[0].column(c).to_numpy() for c in ("tree", "n"))
-        near = (tree[1:] == tree[:-1]) & (den * n[:-1] >= num * n[1:])
-        left, right = np.concatenate([[before], near]), np.concatenate([near, [False]])
+        tree, n, at = (rows[0].column(c).to_numpy() for c in ("tree", "n", "at"))
+        most = partner_size(n, at)
+        if held is None:
+            unknown = tree[0]
+        else:
+            most[0] = max(most[0], reach)
+        starts = np.flatnonzero(np.concatenate([[True], tree[1:] != tree[:-1]]))
+        so_far = np.concatenate([np.maximum.accumulate(part) for part in np.split(most, starts[1:])]) if len(starts) < len(tree) else most
+        same = tree[1:] == tree[:-1]
+        smaller = same & (den * n[:-1] >= num * n[1:]) & ((so_far[:-1] >= n[1:]) | (tree[1:] == unknown))
+        larger = same & (n[1:] <= partner_size(n, at)[:-1])
+        left, right = np.concatenate([[before], smaller]), np.concatenate([larger, [False]])
         yield rows[0].slice(0, len(tree) - 1).filter(pa.array((left | right)[:-1], pa.bool_()))
-        held, before = rows[0].slice(len(tree) - 1), bool(left[-1])
+        held, before, reach = rows[0].slice(len(tree) - 1), bool(left[-1]), int(so_far[-1])
     if held is not None:
         yield held
 
@@ -243,6 +275,8 @@ def _met(batches: Iterator[pa.RecordBatch], other: bool, take: int) -> Iterator[
     for batch in batches:
         for row in batch.to_pylist():
             sides = [{k: row[s + k] for k in ("cls", "comp", "n", "bitmaps")} for s in (("", "o_") if other else ("",))]
+            for side in sides:
+                side["bitmaps"] = [_unpacked(m) for m in side["bitmaps"]]
             words = min(len(m) // 8 for s in sides for m in s["bitmaps"])
             trees = [Nodes(*(np.array(s[k], np.int64) for k in ("cls", "comp", "n")), s["bitmaps"], words) for s in sides]
             i, j, bound = walk(trees[0], trees[-1])
@@ -260,7 +294,7 @@ def _plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         good = []
         for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-            (m, a), (n, b) = ((v["n"].as_py(), np.frombuffer(v["bitmap"].as_buffer(), np.uint64)) for v in (x, y))
+            (m, a), (n, b) = ((v["n"].as_py(), np.frombuffer(_unpacked(v["bitmap"].as_buffer()), np.uint64)) for v in (x, y))
             words = min(len(a), len(b))
             a, b = (np.bitwise_or.reduce(v.reshape(-1, words), axis=0) for v in (a, b))
             ones = [int(np.bitwise_count(v).sum()) for v in (a, b, a & b)]
@@ -312,25 +346,26 @@ def _tagged(rows: DataFrame, comps: DataFrame, cls: str = "cls", comp: str = "co
 
 
 def shared_tokens(classes: DataFrame) -> DataFrame:
-    """(tree, cls, n, weight): the members of each tree. A tree stands for ``weight`` tokens, shared by the same classes.
+    """(tree, cls, n, weight, at): the members of each tree. A tree stands for ``weight`` tokens, shared by the same classes; the
+    first of them is the at-th of the member's prefix.
 
     classes: cls, n, prefix. Tokens are shuffled once; that a token has one class only shows where its rows have met."""
-    tokens = classes.select("cls", F.explode("prefix").alias("token"))
+    tokens = classes.select("cls", F.posexplode("prefix").alias("at", "token"))
     met = Window.partitionBy("token")
     known = {"many": F.count("*").over(met), "x1": F.bit_xor(F.xxhash64("cls")).over(met), "x2": F.bit_xor(F.xxhash64("cls", F.lit(1))).over(met)}
-    trees = tokens.withColumns(known).where("many > 1").groupBy(F.xxhash64("many", "x1", "x2").alias("tree"), "cls").agg(F.count("*").alias("weight"))
-    return trees.join(classes.select("cls", "n"), "cls").select("tree", "cls", "n", "weight")
+    trees = tokens.withColumns(known).where("many > 1").groupBy(F.xxhash64("many", "x1", "x2").alias("tree"), "cls").agg(F.count("*").alias("weight"), F.min("at").alias("at"))
+    return trees.join(classes.select("cls", "n"), "cls").select("tree", "cls", "n", "weight", "at")
 
 
 def candidates(members: DataFrame, comps: DataFrame, classes: DataFrame, take: int) -> DataFrame:
     """(tree, a, b, bound, more): pairs of classes of different components that the trees let through, the ``take`` best of each
-    class in a walk; ``more``: whether the walk has others. members: tree, cls, n."""
+    class in a walk; ``more``: whether the walk has others. members: tree, cls, n, at."""
     whole = Window.partitionBy("tree")
-    tagged = _tagged(members.select("tree", "cls", "n"), comps).withColumns({"first": F.min("comp").over(whole), "last": F.max("comp").over(whole)})
-    own = materialize(tagged.where("first < last").select("tree", "cls", "comp", "n"), "members")
+    tagged = _tagged(members.select("tree", "cls", "n", "at"), comps).withColumns({"first": F.min("comp").over(whole), "last": F.max("comp").over(whole)})
+    own = materialize(tagged.where("first < last").select("tree", "cls", "comp", "n", "at"), "members")
     order = ["tree", "n", "cls"]
     width = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    fitting = own.repartitionByRange(width, *order).sortWithinPartitions(*order).mapInArrow(_met_by_size, "tree long, cls long, comp long, n long")
+    fitting = own.repartitionByRange(width, *order).sortWithinPartitions(*order).mapInArrow(_met_by_size, "tree long, cls long, comp long, n long, at int")
     numbered = materialize(fitting.mapInArrow(partial(_numbered, limit=LEAF), "leaf long, tree long, cls long, comp long, n long"), "numbered")
     figures = [f(c).alias(name) for f, c, name in ((F.first, "tree", "tree"), (F.min, "n", "small"), (F.max, "n", "large"), (F.min, "comp", "first"), (F.max, "comp", "last"))]
     body = ("cls", "comp", "n", "bitmaps")

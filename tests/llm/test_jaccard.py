@@ -4,6 +4,7 @@ import random
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from quillgrid.llm import queries, sigtree
 
@@ -164,3 +165,19 @@ def test_a_tree_of_one_component_is_left_at_its_root():
     same = sigtree.Nodes(np.arange(64), np.zeros(64, np.int64), np.full(64, 40), [sigtree.signature(tokens).tobytes()] * 64, 2)
     looked = []
     assert len(sigtree.walk(same, same, looked)[0]) == 0 and sum(looked) == 1
+
+
+def test_members_that_share_too_late_are_left_and_no_pair_is_lost():
+    """By sizes alone most members of chance trees stayed, and their signatures were fetched: more than the input grew."""
+    rng = np.random.default_rng(4)
+    rows = sorted((int(t), int(n), int(rng.integers(0, n // 5 + 1)), i) for i, (t, n) in enumerate(zip(rng.integers(0, 300, 900), rng.integers(20, 60, 900), strict=True)))
+    table = pa.table({"tree": [r[0] for r in rows], "cls": [r[3] for r in rows], "comp": [r[3] for r in rows], "n": [r[1] for r in rows], "at": pa.array([r[2] for r in rows], pa.int32())})
+    wanted, by_size = set(), set()
+    for i, a in enumerate(rows):
+        for b in (b for b in rows[i + 1 :] if b[0] == a[0] and 5 * a[1] >= 4 * b[1]):
+            by_size |= {a[3], b[3]}
+            if 9 * min(a[1] - a[2], b[1] - b[2]) >= 4 * (a[1] + b[1]):
+                wanted |= {a[3], b[3]}
+    for size in (900, 7, 1):
+        kept = {c for batch in sigtree._met_by_size(iter(table.to_batches(max_chunksize=size))) for c in batch.column("cls").to_pylist()}
+        assert wanted <= kept and len(kept) < 0.8 * len(by_size)
