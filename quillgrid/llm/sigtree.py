@@ -411,8 +411,10 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     members = materialize(shared_tokens(classes), "shared")
     # each class with the heads of the trees that it shares most with: what others were copied from has most tokens shared
     ranked = members.join(members.groupBy("cls").agg(F.sum("weight").alias("held")), "cls")
-    heads = ranked.groupBy("tree").agg(F.max(F.struct("held", -F.col("cls"))).alias("head")).select("tree", (-F.col("head.col2")).alias("head"))
-    stars = members.join(heads, "tree").where("cls <> head").groupBy("head", "cls").agg(F.sum("weight").alias("many"))
+    heads = ranked.groupBy("tree").agg(F.max(F.struct("held", -F.col("cls"), "n", "at")).alias("head")).select("tree", (-F.col("head.col2")).alias("head"), F.col("head.n").alias("head_n"), F.col("head.at").alias("head_at"))
+    num, both = LIKE[0], sum(LIKE)
+    fits = both * F.least(F.col("n") - F.col("at"), F.col("head_n") - F.col("head_at")) >= num * (F.col("n") + F.col("head_n"))  # in the tree of their first common token
+    stars = members.join(heads, "tree").where("cls <> head").groupBy("head", "cls").agg(F.sum("weight").alias("many"), F.bool_or(fits).alias("fits")).where("fits")
     best = Window.partitionBy("cls").orderBy(F.desc("many"), "head")
     most = stars.withColumn("at", F.row_number().over(best)).where("at <= 2").select(F.col("head").alias("a"), F.col("cls").alias("b"))
     hopeful = _paired(materialize(most, "stars"), classes, F.struct("n", "bitmap")).mapInArrow(_plausible, "a long, b long, linked boolean").where("linked").select("a", "b")
