@@ -81,7 +81,8 @@ def evaluate_systems(systems: dict[str, DataFrame], passages: DataFrame, thresho
 
 
 def enrich_hits(hits: DataFrame, passages: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Hits with the best share of any passage they cover, and whether that makes them relevant."""
-    best = evaluation.coverage(hits, passages).groupBy("qid", "rank").agg(F.max("coverage").alias("coverage"))
-    met = hits.join(best, ["qid", "rank"], "left").withColumn("coverage", F.coalesce("coverage", F.lit(0.0)))
-    return met.withColumn("relevant", F.col("coverage") >= threshold)
+    """Hits with the best share of any passage they cover, and whether that makes them relevant. Hits, a search as a rule, are read once."""
+    spans = passages.groupBy("qid", "source_id").agg(F.collect_list(F.struct("char_start", "char_end")).alias("_spans"))  # a query's passages in one source
+    share = lambda p: evaluation.overlap(F.col("char_start"), F.col("char_end"), p["char_start"], p["char_end"]) / (p["char_end"] - p["char_start"])
+    best = F.coalesce(F.array_max(F.transform("_spans", share)), F.lit(0.0))
+    return hits.join(spans, ["qid", "source_id"], "left").withColumn("coverage", best).drop("_spans").withColumn("relevant", F.col("coverage") >= threshold)

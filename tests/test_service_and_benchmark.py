@@ -71,6 +71,17 @@ def test_systems(spark, chunks):
     assert benchmark.run_systems(chunks, queries, rerank=True)["hybrid"].where("rank = 1").first().chunk_id == "c"
 
 
+def test_hits_are_read_once_and_keep_the_best_share(spark, tmp_path):
+    """Hits that were joined with their own coverage were found twice: the search, not the join, is the work."""
+    rows = [(1, 1, "d1", 0, 10), (1, 2, "d1", 20, 30), (1, 3, "d2", 0, 10), (2, 1, "d1", 0, 10)]
+    spark.createDataFrame(rows, "qid int, rank int, source_id string, char_start int, char_end int").write.parquet(str(tmp_path / "hits"))
+    spans = [(1, 0, "d1", 5, 15), (1, 1, "d1", 0, 8), (1, 2, "d1", 29, 33), (2, 0, "d3", 0, 5)]
+    passages = spark.createDataFrame(spans, "qid int, passage_id int, source_id string, char_start int, char_end int")
+    met = benchmark.enrich_hits(spark.read.parquet(str(tmp_path / "hits")), passages)
+    assert {(r.qid, r.rank): (r.coverage, r.relevant) for r in met.collect()} == {(1, 1): (1.0, True), (1, 2): (0.25, False), (1, 3): (0.0, False), (2, 1): (0.0, False)}
+    assert met._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 1
+
+
 def test_corpus_check(spark):
     documents = spark.createDataFrame([("a", "ready", "indexed"), ("b", "ready", "failed")], "filename string, status string, indexing_status string")
     with pytest.raises(ValueError, match="b"):
